@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import bpe, decontamination, sharding, token_counts
+from tidegraph.llm import bpe, decontamination, ngram_join, sharding, token_counts
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents by 4-word shingles and a similarity of 0.85."""
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100).withColumnRenamed("component", "component_id")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, against a context of 1024 tokens."""
