@@ -20,6 +20,7 @@ by 128-bit ones. Extra columns are dropped. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.common import WordHashes, bound_batches, mix, saved, shingle_hashes, utf8
@@ -247,3 +248,13 @@ def jaccard_groups(df: DataFrame, *, k: int, num: int, den: int, id_col: str = "
     group_of = saved(nodes.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component")), "groups")
     placed = rows.select("id", "n", "d1", "d2").join(group_of, ["n", "d1", "d2"], "left")
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+
+
+def first_of_groups(df: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each group: that with the smallest id, and one only of rows with that id. Rows without an id all stay; all columns stay."""
+    groups = jaccard_groups(df, k=k, num=num, den=den, id_col=id_col, text_col=text_col)
+    goes = groups.filter(F.col(id_col) != F.col("component")).select(id_col).distinct()
+    nth = f"nth_{uuid.uuid4().hex[:8]}"
+    # a row without an id is its own partition, or shares it with equal texts
+    same = Window.partitionBy(df[id_col], F.when(df[id_col].isNull(), F.xxhash64(df[text_col]))).orderBy(df[text_col].isNull())
+    return df.join(goes, id_col, "left_anti").withColumn(nth, F.row_number().over(same)).filter((F.col(nth) == 1) | F.col(id_col).isNull()).select(df.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import bpe, decontamination, ngram_join, sharding, token_counts
+from tidegraph.llm import bpe, decontamination, ngram_join, quality, sharding, token_counts, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document, by 13-word windows and a coverage of one word in twenty."""
     found = decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def site_of(docs: DataFrame) -> tuple[F.Column, F.Column]:
+    """Host and path of a document: its source, and the section of its language."""
+    return docs["source"], docs["lang"]
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, site posterior and decision of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels)
+    return quality.judge(docs, quality.sites(docs, labels, model, *site_of(docs)), model, *site_of(docs))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
