@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import bpe, decontamination, ngram_join, quality, sharding, token_counts, toxicity
+from tidegraph.llm import bpe, decontamination, ngram_join, quality, sharding, token_counts, toxicity, url_filter, warc
+from tidegraph.llm.common import fresh_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+#: The url rules of the query, by verdict.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and, beyond them, the n-gram model, on every page's url."""
+    labelled = spark.createDataFrame([(u, 1) for u in url_filter.BLOCKED] + [(u, 0) for u in url_filter.ALLOWED], "url string, blocked int")
+    return url_filter.judge(table(spark, sf_dir, "pages"), [url_filter.rule(*r) for r in URL_RULES], url_filter.train(labelled))
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page, normalise the archives, and read them back."""
+    folder = fresh_path(spark, "warc")
+    archives = warc.archive(table(spark, sf_dir, "pages"), folder)
+    return warc.read(archives.select("file"), f"{folder}/warc").withColumnRenamed("id", "page_id")
