@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import bpe, decontamination, ngram_join, quality, sharding, token_counts, toxicity, url_filter, warc
+from tidegraph.llm import ann, bpe, decontamination, ngram_join, quality, sharding, token_counts, toxicity, url_filter, warc
 from tidegraph.llm.common import fresh_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -96,3 +96,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     archives = warc.archive(table(spark, sf_dir, "pages"), folder)
     return warc.read(archives.select("file"), f"{folder}/warc").withColumnRenamed("id", "page_id")
+
+
+@query
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all other vectors to every hundredth."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
