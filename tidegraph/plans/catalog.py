@@ -2,5 +2,304 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegraph.functions import edges as fe
+from tidegraph.operators import incremental as inc
+from tidegraph.operators import scc as ops
+from tidegraph.operators import time_coupled as tc
+from tidegraph.plans import registry
+from tidegraph.sources import graphs
+from tidegraph.storage import fresh_path
+from tidegraph.streaming.maintain import follow
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+_NODE = "node AS (SELECT CAST(p_partkey AS BIGINT) AS id, CAST(1980 + (p_partkey * 40) // (SELECT count(*) FROM part) AS BIGINT) AS y FROM part)"
+_RAW = """raw AS (
+  SELECT l_partkey AS s, l_partkey - 1 - (l_orderkey*7 + l_suppkey*13 + l_linenumber) % 80 AS t, l_orderkey % 10 AS b FROM lineitem WHERE l_orderkey % 17 = 0
+  UNION ALL
+  SELECT l_partkey AS s, l_partkey + 1 + (l_orderkey*5 + l_suppkey*11 + l_linenumber) % 12 AS t, l_orderkey % 10 AS b FROM lineitem WHERE l_orderkey % 31 = 1)"""
+_EDGE = "edge AS (SELECT CAST(s AS BIGINT) AS s, CAST(t AS BIGINT) AS t, CAST(min(b) AS BIGINT) AS b FROM raw WHERE t >= 0 AND t < (SELECT count(*) FROM part) AND s <> t GROUP BY s, t)"
+_BASE = f"WITH RECURSIVE {_NODE}, {_RAW}, {_EDGE}"
+_DATED = "dated AS (SELECT e.s, e.t, a.y AS ys, b.y AS yt, CASE WHEN a.y < b.y THEN 'unorder' WHEN a.y = b.y THEN 'same' ELSE 'normal' END AS edge_class FROM edge e JOIN node a ON a.id = e.s JOIN node b ON b.id = e.t)"
+
+
+def _closure(edge: str = "edge", tag: str = "") -> str:
+    """Components of all nodes, by the closure of the edges."""
+    return f"""r{tag}(s, t) AS (SELECT s, t FROM {edge} UNION SELECT r.s, e.t FROM r{tag} r JOIN {edge} e ON r.t = e.s),
+mutual{tag} AS (SELECT a.s AS id, min(a.t) AS m FROM r{tag} a JOIN r{tag} b ON a.s = b.t AND a.t = b.s GROUP BY a.s),
+comp{tag} AS (SELECT n.id, least(n.id, coalesce(m.m, n.id)) AS component FROM node n LEFT JOIN mutual{tag} m ON m.id = n.id)"""
+
+
+def _parts(edge: str = "edge", tag: str = "") -> str:
+    """The part of each node."""
+    return f"""gm{tag}(id) AS (SELECT DISTINCT e.t AS id FROM {edge} e JOIN node a ON a.id = e.s JOIN node b ON b.id = e.t WHERE a.y < b.y
+  UNION SELECT e.t FROM gm{tag} g JOIN {edge} e ON e.s = g.id),
+gsi{tag} AS (SELECT DISTINCT e.t AS id FROM {edge} e JOIN node a ON a.id = e.s JOIN node b ON b.id = e.t WHERE a.y = b.y AND e.t NOT IN (SELECT id FROM gm{tag})),
+parts{tag} AS (SELECT id, CASE WHEN id IN (SELECT id FROM gm{tag}) THEN 'gm' WHEN id IN (SELECT id FROM gsi{tag}) THEN 'gsi' ELSE 'gr' END AS part FROM node)"""
+
+
+_BACKWARD = """bgm(id) AS (SELECT DISTINCT t AS id FROM dated WHERE edge_class = 'unorder' UNION SELECT e.s FROM bgm g JOIN edge e ON e.t = g.id),
+bsame AS (SELECT s, t FROM dated WHERE edge_class = 'same' AND t NOT IN (SELECT id FROM bgm)),
+seen AS (SELECT id FROM bgm UNION SELECT s FROM bsame UNION SELECT t FROM bsame)"""
+_HISTOGRAM = "SELECT size, count(*) AS cnt FROM (SELECT component, count(*) AS size FROM {0} GROUP BY component) GROUP BY size"
+
+
+def query(sql: str | None, *names: str) -> Callable:
+    """Register a function under its own name, or under several, which it then gets first."""
+
+    def put(f: Callable) -> Callable:
+        for name in names or (f.__name__,):
+            QUERIES[name] = (lambda name: lambda spark, sf_dir: f(name, spark, sf_dir))(name) if names else f
+            if sql:
+                ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst")
+
+
+@query(f"{_BASE} SELECT count(*) AS n_nodes, min(y) AS min_year, max(y) AS max_year FROM node")
+def nodes_year_range(spark, sf_dir):
+    return graphs.year_range(graphs.local_graph(spark, sf_dir)[0])
+
+
+@query(f"{_BASE} SELECT count(*) AS n_edges, count(*) FILTER (b >= 3) AS n_start, CAST(sum(31*s + 17*t + b) AS BIGINT) AS checksum FROM edge")
+def edge_counts(spark, sf_dir):
+    edges = graphs.local_graph(spark, sf_dir)[2]
+    return edges.agg(F.count(F.lit(1)).alias("n_edges"), F.count(F.when(F.col("b") >= 3, 1)).alias("n_start"), F.sum(31 * F.col("src") + 17 * F.col("dst") + F.col("b")).alias("checksum"))
+
+
+@query(f"{_BASE}, {_DATED} SELECT edge_class, count(*) AS cnt FROM dated GROUP BY edge_class")
+def edge_class_counts(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return tc.classes(nodes, edges).groupBy("edge_class").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(f"{_BASE}, {_DATED} SELECT ys - (SELECT min(y) FROM node) AS bucket, count(*) AS cnt FROM dated WHERE edge_class = 'same' GROUP BY ys")
+def same_year_buckets(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    first = nodes.agg(F.min("year")).first()[0]
+    return tc.classes(nodes, edges).filter("edge_class = 'same'").groupBy((F.col("y_src") - first).alias("bucket")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(f"{_BASE} SELECT CAST(l_partkey AS BIGINT) AS src, CAST(l_orderkey % 2000 AS BIGINT) AS dst FROM lineitem WHERE l_partkey <> l_orderkey % 2000")
+def self_loop_filter(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return fe.without_loops(item.selectExpr("cast(l_partkey as long) as src", "cast(l_orderkey % 2000 as long) as dst"))
+
+
+@query("""WITH node AS (SELECT CAST(p_partkey AS BIGINT) AS id, 1980 + p_size AS y FROM part),
+raw AS (SELECT l_partkey AS s, (l_orderkey*7 + l_suppkey*13 + l_linenumber) % (SELECT count(*) FROM part) AS t, l_orderkey AS ok FROM lineitem)
+SELECT DISTINCT CAST(s AS BIGINT) AS src, CAST(t AS BIGINT) AS dst FROM raw JOIN node a ON a.id = s JOIN node b ON b.id = t WHERE s <> t AND
+((a.y > b.y AND ok % 23 = 0) OR (a.y = b.y AND ok % 3 = 0) OR (a.y < b.y AND ok % 115 = 0)) AND NOT (a.y < b.y AND b.y - a.y >= 10)""")
+def year_gap_filter(spark, sf_dir):
+    nodes, edges = graphs.long_range_graph(spark, sf_dir)
+    return _pairs(fe.dated(edges, nodes).filter(fe.within_gap()))
+
+
+@query(f"{_BASE}, ends AS (SELECT s, t FROM raw WHERE t >= 0 AND t < (SELECT count(*) FROM part) AND s <> t) SELECT CAST(id AS BIGINT) AS id, count(*) AS degree FROM (SELECT s AS id FROM ends UNION ALL SELECT t FROM ends) GROUP BY id")
+def degree(spark, sf_dir):
+    return fe.degree(graphs.local_graph(spark, sf_dir)[1])
+
+
+@query(f"""{_BASE}, deg AS (SELECT n.id, count(e.x) AS d FROM node n LEFT JOIN (SELECT s AS x FROM edge UNION ALL SELECT t FROM edge) e ON e.x = n.id GROUP BY n.id),
+top AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY d DESC, id) AS k FROM deg) WHERE k <= (SELECT count(*) FROM node) // 5),
+inside AS (SELECT s, t, row_number() OVER (ORDER BY (s * 7919 + t * 104729) % 1000003, s, t) AS k FROM edge WHERE s IN (SELECT id FROM top) AND t IN (SELECT id FROM top))
+SELECT s AS src, t AS dst FROM inside WHERE k <= (SELECT count(*) FROM edge) // 5""")
+def degree_sample(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return fe.degree_sample(nodes, edges, 0.2)
+
+
+_ALL = f"{_BASE}, {_closure()}"
+
+
+@query(f"{_ALL} SELECT id, component FROM comp", *[f"scc_members_{a}" for a in ("tarjan", "gabow", "kosaraju", "pearce", "pearce2")])
+def _scc_members(name, spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return registry.static_members(name.removeprefix("scc_members_"), nodes, edges)
+
+
+@query(f"{_ALL} SELECT id, component FROM comp")
+def scc_members_distributed(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return ops.with_all(nodes, ops.scc_distributed(edges))
+
+
+def _members(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return nodes, edges, ops.with_all(nodes, ops.scc(edges))
+
+
+@query(f"{_ALL} {_HISTOGRAM.format('comp')}")
+def scc_histogram(spark, sf_dir):
+    return ops.histogram(_members(spark, sf_dir)[2])
+
+
+@query(f"{_ALL} SELECT component, count(*) AS size FROM comp GROUP BY component HAVING count(*) > 1")
+def scc_nontrivial(spark, sf_dir):
+    return _members(spark, sf_dir)[2].groupBy("component").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+
+
+_PARTED = f"{_BASE}, {_parts()}"
+
+
+@query(f"{_PARTED} SELECT id FROM parts WHERE part = 'gm'")
+def gm_nodes(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return tc.gm(tc.classes(nodes, edges))
+
+
+@query(f"{_PARTED} SELECT id FROM parts WHERE part = 'gsi'")
+def gsi_nodes(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    classed = tc.classes(nodes, edges)
+    return tc.gsi(classed, tc.gm(classed))
+
+
+@query(f"{_PARTED} SELECT id FROM parts WHERE part = 'gr'")
+def gr_nodes(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return tc.partition(nodes, edges).filter("part = 'gr'").select("id")
+
+
+@query(f"{_PARTED}, {_closure()} SELECT part, count(*) AS n_nodes, count(DISTINCT component) AS n_components FROM parts JOIN comp USING (id) WHERE part <> 'gr' GROUP BY part")
+def partition_counts(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return tc.component_counts(tc.tc_scc(nodes, edges))
+
+
+@query(f"{_PARTED} SELECT (SELECT count(*) FROM parts WHERE part <> 'gr') AS nodes_visited, (SELECT count(*) FROM node) AS nodes_all, (SELECT count(*) FROM edge WHERE s IN (SELECT id FROM parts WHERE part <> 'gr')) AS edges_visited, (SELECT count(*) FROM edge) AS edges_all")
+def access_ratio(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return tc.access(nodes, edges, tc.partition(nodes, edges))
+
+
+_TC = f"{_PARTED}, {_closure()}"
+
+
+@query(f"{_TC} SELECT id, component FROM comp WHERE id IN (SELECT id FROM parts WHERE part <> 'gr')", *[f"tc_members_{a}" for a in ("tarjan", "gabow", "pearce2")])
+@query(f"{_BASE}, {_DATED}, {_BACKWARD}, {_closure()} SELECT id, component FROM comp WHERE id IN (SELECT id FROM seen)", "tc_members_kosaraju")
+def _tc_members(name, spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return registry.static_members(name.replace("_members", ""), nodes, edges)
+
+
+@query(f"{_TC} {_HISTOGRAM.format('(SELECT component FROM comp JOIN parts USING (id) WHERE part <> ' + chr(39) + 'gr' + chr(39) + ')')}")
+def tc_histogram(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return ops.histogram(tc.tc_scc(nodes, edges))
+
+
+_CEDGE = "cedge AS (SELECT DISTINCT a.component AS s, b.component AS t FROM edge e JOIN comp a ON a.id = e.s JOIN comp b ON b.id = e.t WHERE a.component <> b.component)"
+
+
+@query(f"{_ALL}, {_CEDGE} SELECT s AS src, t AS dst FROM cedge")
+def condensed_edges(spark, sf_dir):
+    _, edges, members = _members(spark, sf_dir)
+    return ops.condensed(edges, members)
+
+
+@query(f"{_ALL}, o AS (SELECT component, count(*) AS n FROM edge JOIN comp ON id = s GROUP BY component), i AS (SELECT component, count(*) AS n FROM edge JOIN comp ON id = t GROUP BY component) SELECT c.component, CAST(coalesce(o.n, 0) AS BIGINT) AS out_degree, CAST(coalesce(i.n, 0) AS BIGINT) AS in_degree FROM (SELECT DISTINCT component FROM comp) c LEFT JOIN o USING (component) LEFT JOIN i USING (component)")
+def scc_degrees(spark, sf_dir):
+    _, edges, members = _members(spark, sf_dir)
+    return ops.component_degrees(edges, members)
+
+
+_LEVEL = f"{_ALL}, {_CEDGE}, lv(c, d) AS (SELECT DISTINCT component, 0 FROM comp UNION SELECT ce.s, lv.d + 1 FROM lv JOIN cedge ce ON ce.t = lv.c), lvl AS (SELECT c AS component, CAST(max(d) AS BIGINT) AS level FROM lv GROUP BY c)"
+
+
+@query(f"{_LEVEL} SELECT component, level FROM lvl")
+def topo_level(spark, sf_dir):
+    _, edges, members = _members(spark, sf_dir)
+    return ops.levels(members, ops.condensed(edges, members))
+
+
+@query(f"{_LEVEL} SELECT component, row_number() OVER (ORDER BY level, component) AS rank FROM lvl")
+def topo_rank(spark, sf_dir):
+    _, edges, members = _members(spark, sf_dir)
+    return ops.ranks(ops.levels(members, ops.condensed(edges, members)))
+
+
+_G0 = "start AS (SELECT s, t FROM edge WHERE b >= 3)"
+
+
+@query(f"""{_BASE}, {_G0}, {_parts('start')} SELECT CASE WHEN p.part = 'gm' AND q.part = 'gm' THEN 1 WHEN q.part = 'gm' THEN 2 WHEN p.part = 'gm' THEN 3
+WHEN p.part = 'gsi' AND q.part = 'gsi' THEN 4 WHEN p.part = 'gsi' OR q.part = 'gsi' THEN 5 ELSE 6 END AS type, count(*) AS cnt FROM edge e JOIN parts p ON p.id = e.s JOIN parts q ON q.id = e.t WHERE e.b < 3 GROUP BY 1""".replace("ELSE 6 END AS type", "ELSE 6 END::BIGINT AS type"))
+def alg_type_counts(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    return fe.insertion_type(delta, tc.partition(nodes, start)).groupBy("type").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(f"{_ALL} SELECT id, component FROM comp", *[f"inc_members_{a}" for a in registry.SINGLE if not a.startswith("dyn_")], *[f"inc_members_{a}" for a in registry.SINGLE if a.startswith("dyn_")])
+def _inc_members(name, spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return registry.maintained_members("inc", name.removeprefix("inc_members_"), nodes, *graphs.split_increment(edges)).select("id", "component")
+
+
+@query(f"{_ALL} SELECT id, component FROM comp", *[f"bat_members_{a.removeprefix('bat_')}" for a in registry.BATCH])
+def _bat_members(name, spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return registry.maintained_members("batch", name.replace("bat_members_", "bat_"), nodes, *graphs.split_increment(edges), batch=100).select("id", "component")
+
+
+@query(f"{_ALL} SELECT id, component FROM comp")
+def bat_members_distributed(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    return inc.apply_batch(inc.start(nodes, start), delta)[0].members
+
+
+def _cut(n: int, percent: float) -> str:
+    """Components after a share of the increment."""
+    size = f"(SELECT count(*) FROM delta) * CAST({percent} AS DOUBLE) / 30"
+    return f"cut{n} AS (SELECT s, t FROM edge WHERE b >= 3 UNION ALL SELECT s, t FROM delta WHERE seq < floor({size})), {_closure(f'cut{n}', str(n))}"
+
+
+_DELTA = "delta AS (SELECT s, t, row_number() OVER (ORDER BY b, s, t) - 1 AS seq FROM edge WHERE b < 3)"
+_CUTS = ", ".join(_cut(n, p) for n, p in enumerate(inc.CHECKPOINTS))
+
+
+@query(f"{_BASE}, {_DELTA}, {_CUTS} " + " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS cut, size, cnt FROM ({_HISTOGRAM.format(f'comp{n}')})" for n in range(len(inc.CHECKPOINTS))))
+def inc_checkpoints(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    rows = registry.maintained_members("inc", "pk", nodes, start, delta, cuts=inc.checkpoints(delta.count(), -1))
+    return rows.groupBy("cut", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("cut", "size").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS violations")
+def inc_order_invariant(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    state, n = inc.start(nodes, start), delta.count()
+    for part in inc.batches(delta, -(-n // 2) or 1, n):
+        state, _ = inc.apply_batch(state, part)
+    return inc.violations(state)
+
+
+@query(f"{_BASE}, {_G0}, {_parts('start', '0')}, {_parts()} SELECT a.part AS part_before, b.part AS part_after, count(*) AS cnt FROM parts0 a JOIN parts b USING (id) GROUP BY 1, 2")
+def inc_partition_migration(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, _ = graphs.split_increment(edges)
+    before, after = (tc.partition(nodes, e).withColumnRenamed("part", name) for e, name in ((start, "part_before"), (edges, "part_after")))
+    return before.join(after, "id").groupBy("part_before", "part_after").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(f"{_ALL} SELECT id, component FROM comp")
+def stream_members(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    folder = fresh_path(spark, "stream")
+    delta.select("src", "dst").repartition(2).write.parquet(f"{folder}/edges")
+    return follow(spark, f"{folder}/edges", folder, inc.start(nodes, start)).state().members
