@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from tidegraph.storage import fresh_path, release, saved, shared_dir
+
+__all__ = ["WordHashes", "bound_batches", "fresh_path", "mix", "release", "saved", "shared_dir", "shingle_hashes", "utf8"]
 
 #: Bytes of input that one Arrow batch may carry to a Python worker.
 BATCH_BYTES = 8 << 20
@@ -25,32 +28,6 @@ def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it; only where it names none (tests) is one made."""
-    sc = spark.sparkContext
-    named = sc._jsc.sc().getCheckpointDir()
-    if named.isDefined():
-        return str(named.get())
-    conf = spark.conf.get("spark.checkpoint.dir", "")
-    if not conf:
-        import tempfile
-
-        conf = f"file://{tempfile.mkdtemp(prefix='tidegraph-')}"
-    sc.setCheckpointDir(conf)
-    return str(sc._jsc.sc().getCheckpointDir().get())
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, what: str = "step") -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
