@@ -61,9 +61,13 @@ def near_copies(r, n_groups, most):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize(("k", "num", "den", "block"), [(4, 85, 100, 1_000_000), (5, 80, 100, 1_000_000), (2, 60, 100, 300)])
-def test_equals_brute_force(spark, monkeypatch, k, num, den, block):
-    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", block)
+@pytest.mark.parametrize(("k", "num", "den", "block", "bits"), [(4, 85, 100, 2048, 1 << 20), (5, 80, 100, 2048, 1 << 20), (2, 60, 100, 7, 128)])
+def test_equals_brute_force(spark, monkeypatch, k, num, den, block, bits):
+    """The last case cuts lists into many blocks, and has signatures so short that verification must mend them."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 50 * block)
+    monkeypatch.setattr(ngram_join, "LEAST_BITS", min(bits, 256))
+    monkeypatch.setattr(ngram_join, "MOST_BITS", bits)
     docs = near_copies(random.Random(k), 60, 12)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted(tuple(x) for x in ngram_join.jaccard_groups(df, k=k, num=num, den=den).collect())
@@ -95,11 +99,11 @@ def test_components(spark):
     assert all(root[x] == c for x, c in got.items()) and all(x in got or root[x] == x for x in root)
 
 
-def test_spanning_links_cut_nothing():
+def test_forests_cut_nothing():
     r = random.Random(5)
-    sets = [np.unique(np.array([r.randrange(40) for _ in range(30)], np.int64)) for _ in range(60)]
-    group = [r.randrange(8) for _ in range(60)]
-    links = ngram_join.spanning_links(list(range(60)), group, sets, 60, 100)
+    sets = [np.unique(np.array([r.randrange(1 << 60) if r.random() < 0.1 else x for x in range(r.randint(20, 30))], np.uint64)) for _ in range(60)]
+    group = [r.randrange(20) for _ in range(60)]
+    signs = [ngram_join.signature(s) for s in sets]
 
     def closed(pairs):
         root = {i: group[i] for i in range(60)}
@@ -108,6 +112,20 @@ def test_spanning_links_cut_nothing():
             root = {i: new if g == old else g for i, g in root.items()}
         return {frozenset(i for i in root if root[i] == g) for g in root.values()}
 
-    jac = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))
-    assert all(jac(a, b) for a, b in links)
+    jac = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 70 * len(np.union1d(sets[a], sets[b]))
+    links = ngram_join.exact_links(list(range(60)), group, [s.view(np.int64) for s in sets], 70, 100)
+    assert links and all(jac(a, b) for a, b in links)
     assert closed(links) == closed([(a, b) for a in range(60) for b in range(a) if jac(a, b)])
+    likely = closed(ngram_join.likely_links(list(range(60)), group, np.array([len(s) for s in sets]), signs, 70, 100))
+    assert all(any(g <= h for h in likely) for g in closed(links))
+
+
+def test_signatures_never_differ_more_than_sets():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        a = np.unique(r.integers(0, 1 << 62, r.integers(1, 900)).astype(np.uint64))
+        b = np.union1d(a[r.random(len(a)) < 0.8], r.integers(0, 1 << 62, r.integers(1, 500)).astype(np.uint64))
+        s, t = ngram_join.signature(a), ngram_join.signature(b)
+        least = min(len(s), len(t))
+        differ = int(np.bitwise_count(ngram_join.folded(s, least) ^ ngram_join.folded(t, least)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and differ % 2 == len(np.setxor1d(a, b)) % 2

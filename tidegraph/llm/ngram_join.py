@@ -6,15 +6,20 @@ n - ceil(t n) + l tokens). Each document takes the l whose estimated cost is lea
 but asks more matches of a candidate. Two documents are candidates if they share min(l, l') prefix tokens.
 
 Links aren't listed pair by pair, since copies would make them quadratic:
- 1. documents with equal sets are one node, known by its smallest id;
- 2. every node is verified against one pivot, the smallest node of most of its prefix tokens' lists;
+ 1. documents with equal sets are one node, known by its smallest id. Each has a parity signature: bits that say
+    whether an odd number of its tokens fell there. Two signatures differ in no more bits than the sets in tokens, so
+    they rule out links for certain, and with few doubtful cases;
+ 2. every node is held against one pivot, the smallest node of most of its prefix tokens' lists;
  3. lists whose nodes are in one component already need no more. Of the others, those with equal nodes count once, and
-    in each, all pairs of nodes of different components are verified, inside one task, which returns a spanning forest.
-    A list with many tokens is cut into blocks and every pair of blocks is a task, so that no task grows with a list.
-Verification is exact, on whole sets; no list is dropped or cut short, however common its token.
+    in each, all pairs of nodes of different components are held against each other, inside one task, which returns a
+    spanning forest. A list with many nodes is cut into blocks, and pairs of blocks are tasks;
+ 4. the forest's pairs are verified on whole sets. Where one fails, the nodes of its component are compared again, with
+    whole sets, in all the lists that they share.
+No list is dropped or cut short, however common its token.
 
 Rows with null, empty or wordless text have no shingles and are linked with nothing. Rows with a null id are returned
-with a null component and take no part. Rows with one id are one node. Shingles are compared by 64-bit hashes, and sets
+with a null component and take no part. Rows with one id are one node; of several
+texts with one id, one is compared as a candidate. Shingles are compared by 64-bit hashes, and sets
 by 128-bit ones. Extra columns are dropped. An empty table gives an empty table.
 """
 
@@ -22,7 +27,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +36,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import WordHashes, bound_batches, mix, saved, shingle_hashes, utf8
+from tidegraph.llm.common import WordHashes, bound_batches, mix, release, saved, shingle_hashes, utf8
 from tidegraph.llm.components import components, roots
 
 CELLS, CHUNKS = 1 << 20, 64
 #: Longest l; relative cost of verifying a candidate against listing a token once.
 MOST_MATCHES, VERIFY_COST = 4, 4.0
-#: Tokens of one block of a list that is verified inside a task.
-BLOCK_TOKENS = 1_000_000
+#: Nodes, and tokens, of one block of a list that is compared inside a task.
+BLOCK_NODES, BLOCK_TOKENS = 2048, 1_000_000
+#: Bits of the smallest and the largest signature; leaves of one hub that a task verifies.
+LEAST_BITS, MOST_BITS, HUB_LEAVES = 256, 1 << 20, 1000
+#: Most bits of the filter for the ids whose sets are needed.
+FILTER_BITS = 1 << 27
 
 _words = WordHashes()
 
@@ -101,16 +110,35 @@ def adaptive_prefix(tokens: np.ndarray, cells: np.ndarray, noise: float, num: in
     return best, tokens[order[: base + best - 1]]
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """Parity bits of a set, as uint64 words: one bit a token or more, a power of two of them."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << max(len(tokens) - 1, 0).bit_length()))
+    odd = np.bincount((mix(~tokens) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Signatures (in the last axis) of fewer bits, as if they had been made so."""
+    while words.shape[-1] > size:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
+def _may_link(n: np.ndarray, other: np.ndarray | int, differ: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of n and other tokens that differ in so many at least can have the similarity."""
+    return den * (n + other - differ) >= num * (n + other + differ)
+
+
 def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(id, n, d1, d2, matches, prefix) of every row (id, text)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(sketch.astype(np.int64))  # CELLS numbers
+    """(id, n, d1, d2, matches, prefix, sign) of every row (id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # CELLS numbers
     noise = float(sketch.mean() + 3 * np.sqrt(sketch.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = shared.value
         for batch in batches:
-            n, d1, d2, matches, prefix, ends = [], [], [], [], [], [0]
+            n, d1, d2, matches, prefix, ends, signs = [], [], [], [], [], [0], []
             for text in utf8(batch.column(1)):
                 tokens = shingle_set(text, k)
                 digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
@@ -121,118 +149,247 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
                 matches.append(l)
                 prefix.append(first)
                 ends.append(ends[-1] + len(first))
+                signs.append(signature(tokens).tobytes())
             flat = np.concatenate(prefix).view(np.int64) if prefix else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "n", "d1", "d2", "matches", "prefix"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(signs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "matches", "prefix", "sign"])
 
-    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, matches int, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, matches int, prefix array<long>, sign binary")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, tokens) of (id, text)."""
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, tokens) of the documents (id, text) whose id is in ids (id, distinct), and of few others: a bit filter, whose size follows the ids' number up to a bound, spares the rest."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    parts = ids.select((slot + 1).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
+    bitmap = np.zeros((-(-bits // 32768), 4096), np.uint8)
+    for r in parts:
+        bitmap[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
-            sets = [shingle_set(t, k) for t in utf8(batch.column(1))]
+            at = batch.column(2).to_numpy()
+            some = batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            sets = [shingle_set(t, k) for t in utf8(some.column(1))]
             ends = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(s) for s in sets], out=ends[1:])
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "tokens"])
 
-    return docs.mapInArrow(run, "id long, n long, tokens array<long>")
+    return docs.filter("id is not null").select("id", "text", slot.alias("slot")).mapInArrow(run, "id long, tokens array<long>")
 
 
-def spanning_links(ids: list[int], group: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links between groups of sets, found by comparing all pairs of different groups; pairs that are connected by then are passed over."""
+def _forest(ids: list[int], group: list[int], passing: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links between groups, from all pairs of different groups; pairs that are connected by then are passed over. passing: which of the given others an item is linked with."""
     m, links = len(ids), []
     names = {g: i for i, g in enumerate(dict.fromkeys(group))}
     root = np.array([names[g] for g in group])
     if len(names) < 2:
         return links
-    size = np.array([len(s) for s in sets], np.int64)
-    flat, who = np.concatenate(sets), np.repeat(np.arange(m), size)
-    order = np.argsort(flat, kind="stable")
-    flat_sorted, who_sorted = flat[order], who[order]
-    # rare groups first: the largest group's members are met from the other side
-    weight = np.bincount(root, minlength=len(names))
-    biggest = int(weight.argmax())
+    biggest = int(np.bincount(root).argmax())  # its members are met from the other side
     for i in np.flatnonzero(root != biggest).tolist() if m > 2 else [0]:
-        near = (root != root[i]) & (den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i]))
-        if not near.any():
-            continue
-        lo, hi = np.searchsorted(flat_sorted, sets[i]), np.searchsorted(flat_sorted, sets[i], "right")
-        count = hi - lo
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-        shared = np.bincount(who_sorted[at], minlength=m)
-        for j in np.flatnonzero(near & (den * shared >= num * (size + size[i] - shared))).tolist():
+        others = np.flatnonzero(root != root[i])
+        for j in others[passing(i, others)].tolist() if len(others) else []:
             if root[i] != root[j]:
                 links.append((ids[i], ids[j]))
                 root[root == root[j]] = root[i]
     return links
 
 
-def _verify_lists(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of rows (list, x, y, id, component, tokens), which stand sorted by list, x and y; one group of them is held at a time."""
+def likely_links(ids: list[int], group: list[int], n: np.ndarray, signs: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A forest of the pairs that their signatures allow."""
+    size = np.array([len(s) for s in signs])
+    row = np.zeros(len(ids), np.int64)
+    table: dict[int, np.ndarray] = {}
+    for w in np.unique(size).tolist():
+        mine = np.flatnonzero(size == w)
+        row[mine] = np.arange(len(mine))
+        table[w] = np.stack([signs[i] for i in mine.tolist()])
+
+    def passing(i: int, others: np.ndarray) -> np.ndarray:
+        ok = den * np.minimum(n[others], n[i]) >= num * np.maximum(n[others], n[i])
+        for w in table:
+            at = np.flatnonzero(ok & (size[others] == w))
+            if len(at):
+                least = min(w, len(signs[i]))
+                differ = np.bitwise_count(folded(table[w][row[others[at]]], least) ^ folded(signs[i], least)).sum(axis=1, dtype=np.int64)
+                ok[at] = _may_link(n[others[at]], n[i], differ, num, den)
+        return ok
+
+    return _forest(ids, group, passing)
+
+
+def exact_links(ids: list[int], group: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """A forest of the pairs that are linked."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, who = np.concatenate(sets), np.repeat(np.arange(len(ids)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+
+    def passing(i: int, others: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], "right")
+        count = hi - lo
+        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        shared = np.bincount(who[at], minlength=len(ids))[others]
+        return den * shared >= num * (size[others] + size[i] - shared)
+
+    return _forest(ids, group, passing)
+
+
+def _by_list(rows: DataFrame, kernel: Callable[[list], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) that the kernel finds among the rows of each (token, x, y, ...); the rest of a row is id, component, n, and bytes. One group of rows is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list) -> pa.RecordBatch:
-            links = spanning_links([h[0] for h in held], [h[1] for h in held], [h[2] for h in held], num, den) if len(held) > 1 else []
+            links = kernel(held) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
         key, held = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-            ids, groups = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            ends, flat = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
-            for i, now in enumerate(keys):
+            for *now, i, c, n, x in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
                 if now != key:
                     if len(held) > 1:
                         yield out(held)
                     key, held = now, []
-                held.append((ids[i], groups[i], flat[ends[i] : ends[i + 1]].copy()))
+                held.append((i, c, n, x))
         yield out(held)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "id").mapInArrow(run, "a long, b long")
 
 
-def _star_links(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, parent): each node's pivot, if the two are linked."""
-    tried = shared.filter("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("c"), F.min("least_matches").alias("least"))
-    chosen = tried.filter("c >= least").groupBy("id").agg(F.max(F.struct("c", -F.col("pivot"))).alias("best")).select("id", (-F.col("best.col2")).alias("pivot"))
-    one = chosen.join(sets.select("id", "n", "tokens"), "id")
-    other = sets.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("tokens").alias("pt"))
-    both = one.join(other, "pivot").filter((den * F.least("n", "pn") >= num * F.greatest("n", "pn")))
-    common = F.size(F.array_intersect("tokens", "pt")).cast("long")
-    return both.filter(den * common >= num * (F.col("n") + F.col("pn") - common)).select("id", F.col("pivot").alias("parent"))
+def _likely_kernel(num: int, den: int) -> Callable[[list], list[tuple[int, int]]]:
+    return lambda held: likely_links([h[0] for h in held], [h[1] for h in held], np.array([h[2] for h in held]), [np.frombuffer(h[3], np.uint64) for h in held], num, den)
 
 
-def _groups(nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, component) of the nodes that are linked with any. nodes: id, n, matches, prefix."""
-    listed = nodes.select("id", "matches", F.explode("prefix").alias("token"))
-    lists = listed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot"), F.min("matches").alias("list_matches")).filter("m > 1")
-    shared = saved(listed.join(lists.select("token", "pivot", "list_matches"), "token").select("token", "id", "matches", "pivot", F.least("matches", "list_matches").alias("least_matches")), "shared")
-    wanted = shared.select("id").distinct()
-    sets = saved(_sets(docs.join(wanted, "id", "left_semi").select("id", "text"), k).dropDuplicates(["id"]), "sets")
+def _exact_kernel(num: int, den: int) -> Callable[[list], list[tuple[int, int]]]:
+    return lambda held: exact_links([h[0] for h in held], [h[1] for h in held], [np.array(h[3], np.int64) for h in held], num, den)
 
-    star = roots(_star_links(shared, sets, num, den))
-    placed = saved(shared.join(star, "id", "left").select("token", "id", "matches", "least_matches", F.coalesce("root", "id").alias("component")), "placed")
+
+def _open_lists(placed: DataFrame) -> DataFrame:
+    """(token, id, component, biggest) of the lists (token, id, component, least_matches) that hold several components, one of those with equal nodes; biggest: the component that most need not meet itself."""
     mark = lambda seed: F.sum(F.xxhash64("id", F.lit(seed)) % (1 << 40))
-    open_ = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), mark(1).alias("s1"), mark(2).alias("s2")).filter("lo <> hi")
-    once = open_.groupBy("m", "s1", "s2").agg(F.min("token").alias("token"))
+    lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), mark(1).alias("s1"), mark(2).alias("s2")).filter("lo <> hi")
+    lists = saved(lists, "lists")
+    once = lists.groupBy("m", "s1", "s2").agg(F.min("token").alias("token"))
     # a node whose open lists are fewer than any partner asks for can't be linked there
-    tokens_open = placed.join(open_.select("token"), "token").groupBy("id").agg(F.count(F.lit(1)).alias("open"))
-    in_lists = placed.join(once.select("token"), "token").join(tokens_open, "id").filter("open >= least_matches").select("token", "id", "component")
-    sized = in_lists.join(sets.select("id", "n"), "id")
-    blocks = sized.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    cut = sized.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "component")
-    rows = pairs.join(sets.select("id", "tokens"), "id").repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").select("token", "x", "y", "id", "component", "tokens")
-    more = _verify_lists(rows, num, den)
-    to = star.select("id", "root")
-    for end in ("a", "b"):
-        more = more.join(to.select(F.col("id").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(end, F.coalesce(f"r{end}", end)).drop(f"r{end}")
-    joined = components(more)
-    both = star.join(joined.select(F.col("id").alias("root"), "component"), "root", "left").select("id", F.coalesce("component", "root").alias("component"))
-    return both.unionByName(joined)  # a root has no row in star
+    enough = placed.join(lists.select("token"), "token").groupBy("id").agg(F.count(F.lit(1)).alias("open"))
+    rows = saved(placed.join(once.select("token"), "token").join(enough, "id").filter("open >= least_matches").select("token", "id", "component"), "open")
+    sizes = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max(F.struct("c", "component")).alias("top")).select("token", F.col("top.component").alias("biggest"))
+    return rows.join(sizes, "token")
+
+
+def _in_blocks(rows: DataFrame, weight: str, most: int) -> DataFrame:
+    """rows (token, id, component, biggest, ...) with blocks x and y: the biggest component's blocks meet the others', these also each other, so that all pairs of different components meet somewhere."""
+    rows = rows.withColumn("inner", F.col("component") == F.col("biggest"))
+    parts = rows.groupBy("token").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(~F.col("inner"), F.col(weight))) / most)).cast("int").alias("outer_blocks"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("inner"), F.col(weight))) / most)).cast("int").alias("inner_blocks"))
+    rows = rows.join(parts, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("inner"), F.col("inner_blocks")).otherwise(F.col("outer_blocks"))).cast("int"))
+    whole = (F.col("outer_blocks") == 1) & (F.col("inner_blocks") == 1)  # then all meet in one task
+    outer, inner = F.sequence(F.lit(0), F.col("outer_blocks") - 1), F.sequence(-F.col("inner_blocks"), F.lit(-1))
+    meets = F.when(whole, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).when(F.col("inner"), F.transform(outer, lambda o: F.struct((-F.col("block") - 1).alias("x"), o.alias("y")))).otherwise(
+        F.concat(F.transform(inner, lambda i: F.struct(i.alias("x"), F.col("block").alias("y"))), F.transform(outer, lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y"))))
+    )
+    return rows.withColumn("meet", F.explode(meets)).withColumns({"x": F.col("meet.x"), "y": F.col("meet.y")}).drop("meet", "inner", "block", "outer_blocks", "inner_blocks", "biggest")
+
+
+def _star(shared: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, parent): each node's pivot, if the signatures allow a link."""
+    tried = shared.filter("id <> pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("c"), F.min("least_matches").alias("least"))
+    chosen = tried.filter("c >= least").groupBy("id").agg(F.max(F.struct("c", -F.col("pivot"))).alias("best")).select("id", (-F.col("best.col2")).alias("pivot"))
+    other = signs.select(F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("sign").alias("psign"))
+    both = chosen.join(signs, "id").join(other, "pivot").filter(den * F.least("n", "pn") >= num * F.greatest("n", "pn")).select("id", "pivot", "n", "pn", "sign", "psign")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, pn = (batch.column(c).to_numpy() for c in (2, 3))
+            differ = np.zeros(len(n), np.int64)
+            for r, (a, b) in enumerate(zip(utf8(batch.column(4)), utf8(batch.column(5)), strict=True)):
+                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                least = min(len(a), len(b))
+                differ[r] = np.bitwise_count(folded(a, least) ^ folded(b, least)).sum()
+            yield batch.select([0, 1]).filter(pa.array(_may_link(n, pn, differ, num, den)))
+
+    return both.mapInArrow(run, "id long, pivot long").withColumnRenamed("pivot", "parent")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b, ok) of the distinct pairs, by whole sets. Leaves of a hub b are dealt over several tasks, and its set to each."""
+    salts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_LEAVES).cast("int").alias("salts"))
+    leaves = pairs.join(salts, "b").select(F.col("a").alias("id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    hubs = salts.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
+    parts = saved(leaves.unionByName(hubs), "pairs")
+    sets = _sets_of(docs, parts.select("id").distinct(), k)
+    rows = parts.join(sets, "id").select("hub", "salt", "role", "id", "tokens").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, sets_of_hub = None, []
+        for batch in batches:
+            a, b, ok = [], [], []
+            hubs, roles, ids = (batch.column(c).to_pylist() for c in (0, 2, 3))
+            ends, flat = batch.column(4).offsets.to_numpy(), batch.column(4).values.to_numpy()
+            for i in range(len(ids)):
+                tokens = flat[ends[i] : ends[i + 1]]
+                if roles[i] == 0:
+                    sets_of_hub = [*(sets_of_hub if hub == hubs[i] else []), tokens.copy()]  # several if rows with one id have several texts
+                    hub = hubs[i]
+                    continue
+                common = [(len(np.intersect1d(s, tokens, assume_unique=True)), len(s) + len(tokens)) for s in sets_of_hub]
+                a.append(ids[i])
+                b.append(hub)
+                ok.append(any(den * c >= num * (both - c) for c, both in common))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    return rows.mapInArrow(run, "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok"))
+
+
+def _moved(rows: DataFrame, to: DataFrame, *columns: str) -> DataFrame:
+    """rows with the columns' ids replaced by what to (id, component) says, where it says anything."""
+    for c in columns:
+        rows = rows.join(to.select(F.col("id").alias(c), F.col("component").alias("to_")), c, "left").withColumn(c, F.coalesce("to_", c)).drop("to_")
+    return rows
+
+
+def _lists(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(token, id, pivot, least_matches) of the prefix tokens that several nodes have."""
+    listed = rows.join(nodes, ["id", "d1", "d2"], "left_semi").select("id", "matches", F.explode("prefix").alias("token"))
+    lists = listed.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("pivot"), F.min("matches").alias("list_matches")).filter("m > 1")
+    return saved(listed.join(lists.drop("m"), "token").select("token", "id", "pivot", F.least("matches", "list_matches").alias("least_matches")), "shared")
+
+
+def _groups(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, component) of the nodes that are linked with any. rows: as _prefixes; nodes: id, d1, d2."""
+    shared = _lists(rows, nodes)
+    release(docs.sparkSession)
+    listed = nodes.join(shared.select("id").distinct(), "id", "left_semi")
+    signs = saved(rows.select("id", "d1", "d2", "n", "sign").join(listed, ["id", "d1", "d2"], "left_semi").select("id", "n", "sign").dropDuplicates(["id"]), "signs")
+    release(docs.sparkSession)
+    star = saved(_star(shared, signs, num, den), "star")
+    near = roots(star).withColumnRenamed("root", "component")
+    placed = saved(_moved(shared.withColumn("component", F.col("id")), near, "component"), "placed")
+    release(docs.sparkSession)
+    rows = _in_blocks(_open_lists(placed).withColumn("one", F.lit(1)), "one", BLOCK_NODES).join(signs, "id").select("token", "x", "y", "id", "component", "n", "sign")
+    more = saved(_by_list(rows, _likely_kernel(num, den)), "likely")
+    release(docs.sparkSession)
+    joined = components(_moved(more, near, "a", "b"))
+    likely = saved(_moved(near, joined, "component").unionByName(joined), "likely")  # a root of near has no row there
+    pairs = star.select(F.col("id").alias("a"), F.col("parent").alias("b")).unionByName(more).distinct()
+    checked = saved(_verified(pairs, docs, k, num, den), "checked")
+    release(docs.sparkSession)
+    doubtful = saved(_moved(checked.filter("not ok").select(F.col("a").alias("component")), likely, "component").distinct(), "doubtful")
+    if doubtful.isEmpty():
+        return likely
+    again = saved(likely.join(doubtful, "component", "left_semi").select("id", F.col("component").alias("was")), "again")
+    sure = checked.filter("ok").join(again.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
+    solid = components(sure)
+    # nodes are compared where they share a list and a doubtful component: the two together are the list now
+    part = shared.join(again, "id").select(F.xxhash64("token", "was").alias("token"), "id", F.col("id").alias("component"), "least_matches")
+    open_ = _open_lists(saved(_moved(part, solid, "component"), "part"))
+    sets = saved(_sets_of(docs, open_.select("id").distinct(), k).join(open_.select("id").distinct(), "id", "left_semi"), "sets")
+    rows = _in_blocks(open_.join(signs.select("id", "n"), "id"), "n", BLOCK_TOKENS)
+    links = _by_list(rows.join(sets, "id").select("token", "x", "y", "id", "component", "n", "tokens"), _exact_kernel(num, den))
+    settled = components(sure.unionByName(links))
+    return likely.join(doubtful, "component", "left_anti").select("id", "component").unionByName(settled)
 
 
 def jaccard_groups(df: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,8 +400,9 @@ def jaccard_groups(df: DataFrame, *, k: int, num: int, den: int, id_col: str = "
     rows = saved(_prefixes(docs, k, num, den, token_sketch(docs, k)), "prefixes")
     some = rows.filter("n > 0 and id is not null")
     nodes = saved(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("node")), "nodes")
-    alone = nodes.select(F.col("node").alias("id")).distinct()
-    groups = _groups(some.join(alone, "id", "left_semi").dropDuplicates(["id", "d1", "d2"]), docs, k, num, den)
+    release(spark)
+    one = nodes.groupBy(F.col("node").alias("id")).agg(F.min(F.struct("d1", "d2")).alias("d")).select("id", "d.d1", "d.d2")
+    groups = _groups(some, saved(one, "one"), docs, k, num, den)
     group_of = saved(nodes.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component")), "groups")
     placed = rows.select("id", "n", "d1", "d2").join(group_of, ["n", "d1", "d2"], "left")
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
