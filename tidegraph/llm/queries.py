@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm import ann, bpe, decontamination, ngram_join, quality, sharding, token_counts, toxicity, url_filter, warc
 from tidegraph.llm.common import fresh_path
+from tidegraph.llm.oracles import ORACLES
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+__all__ = ["ORACLES", "QUERIES", "site_of", "table"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
