@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import bound_batches
+from tidegraph.llm.common import bound_batches, keeps, take_turn
 
 #: Fixed value: the public pre-token pattern of byte-level BPE, white space being Unicode's White_Space.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -36,7 +36,7 @@ _SEAM = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes up to which the minimum is found by scanning.
 SHORT = 96
 #: Remembered words, and the longest that is remembered.
-REMEMBERED, LONGEST_REMEMBERED = 600_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 250_000, 32
 _NONE = 1 << 60
 
 
@@ -199,6 +199,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+keeps("bpe", encoder.cache_clear)
+
+
 def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, token_ids array<int>) of every row."""
     bound_batches(df.sparkSession)
@@ -206,6 +209,7 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     out = T.StructType([T.StructField(id_col, source.schema["id"].dataType), T.StructField("token_ids", T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("bpe")
         e = encoder(path)
         for batch in batches:
             found = [e.encode(x.as_py() or "") for x in batch.column(1)]
@@ -224,6 +228,7 @@ def decode(df: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "
     out = T.StructType([T.StructField(id_col, source.schema["id"].dataType), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("bpe")
         e = encoder(path)
         for batch in batches:
             lists = batch.column(1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from tidegraph.storage import fresh_path, release, saved, shared_dir
 
-__all__ = ["WordHashes", "bound_batches", "fresh_path", "mix", "release", "saved", "shared_dir", "shingle_hashes", "utf8"]
+__all__ = ["WordHashes", "bound_batches", "fresh_path", "keeps", "mix", "release", "saved", "shared_dir", "shingle_hashes", "take_turn", "utf8"]
 
 #: Bytes of input that one Arrow batch may carry to a Python worker.
 BATCH_BYTES = 8 << 20
@@ -28,10 +28,28 @@ def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
+_kept: dict[str, Callable[[], object]] = {}
+_turn: list[str] = [""]
+
+
+def keeps(name: str, forget: Callable[[], object]) -> None:
+    """Say how to forget what an operator remembers in a worker."""
+    _kept[name] = forget
+
+
+def take_turn(name: str) -> None:
+    """Of the operators that remember things in this worker, only one does so at a time: workers outlive their stages."""
+    if _turn[0] != name:
+        _turn[0] = name
+        for other, forget in _kept.items():
+            if other != name:
+                forget()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import bound_batches, utf8
+from tidegraph.llm.common import bound_batches, keeps, take_turn, utf8
 
 BLOCK_BYTES = 1 << 20
 #: A-Z to a-z; digits, a-z and bytes from 0x80 on stay; all else to a space.
@@ -182,6 +182,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _matchers: dict[str, Matcher] = {}
+keeps("decontamination", _matchers.clear)
 
 
 def _matcher(key: str, items: list[tuple[str | None, bytes]], window: int) -> Matcher:
@@ -213,6 +214,7 @@ def _annotate(df: DataFrame, benchmark: DataFrame, window: int, text_col: str, i
         key = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], key: str = key, block: list = block, again: bool = k > 0) -> Iterator[pa.RecordBatch]:
+            take_turn("decontamination")
             m = _matcher(key, block, window)
             for batch in batches:
                 old = [batch.column(len(plain) + j).to_pylist() for j in (1, 2)] if again else None

@@ -19,8 +19,7 @@ No list is dropped or cut short, however common its token.
 
 Rows with null, empty or wordless text have no shingles and are linked with nothing. Rows with a null id are returned
 with a null component and take no part. Rows with one id are one node; of several
-texts with one id, one is compared as a candidate. Shingles are compared by 64-bit hashes, and sets
-by 128-bit ones. Extra columns are dropped. An empty table gives an empty table.
+texts with one id, one is compared as a candidate. Shingles are compared by 64-bit hashes, sets by 128-bit ones. Extra columns are dropped. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import WordHashes, bound_batches, mix, release, saved, shingle_hashes, utf8
+from tidegraph.llm.common import WordHashes, bound_batches, keeps, mix, release, saved, shingle_hashes, take_turn, utf8
 from tidegraph.llm.components import components, roots
 
 CELLS, CHUNKS = 1 << 20, 64
@@ -50,6 +49,7 @@ LEAST_BITS, MOST_BITS, HUB_LEAVES = 256, 1 << 20, 1000
 FILTER_BITS = 1 << 27
 
 _words = WordHashes()
+keeps("ngram_join", _words.clear)
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -71,6 +71,7 @@ def token_sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Occurrences of all shingle hashes of all documents (id, text), by cell; of a fixed size, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("ngram_join")
         cells = np.zeros(CELLS, np.int64)
         for batch in batches:
             sets = [shingle_set(t, k) for t in utf8(batch.column(1))]
@@ -136,6 +137,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
     noise = float(sketch.mean() + 3 * np.sqrt(sketch.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("ngram_join")
         cells = shared.value
         for batch in batches:
             n, d1, d2, matches, prefix, ends, signs = [], [], [], [], [], [0], []
@@ -168,6 +170,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("ngram_join")
         known = shared.value
         for batch in batches:
             at = batch.column(2).to_numpy()

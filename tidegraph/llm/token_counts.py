@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidegraph.llm.bpe import PRETOKEN, pretokens, vocabulary
-from tidegraph.llm.common import bound_batches
+from tidegraph.llm.common import bound_batches, keeps, take_turn
 
 _INF = np.int32(2**31 - 1)
 #: Pieces, and pre-tokens, that a worker remembers at least before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 
 class Merger:
@@ -134,6 +134,9 @@ def counts(path: str) -> Counts:
     return Counts(path)
 
 
+keeps("token_counts", counts.cache_clear)
+
+
 def token_counts(df: DataFrame, path: str, *, limit: int, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 2_000_000) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row. Texts are merged in slices of a batch of about slice_chars."""
     bound_batches(df.sparkSession)
@@ -141,6 +144,7 @@ def token_counts(df: DataFrame, path: str, *, limit: int, id_col: str = "doc_id"
     out = T.StructType([T.StructField(id_col, source.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("token_counts")
         c = counts(path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]

@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import bound_batches
+from tidegraph.llm.common import bound_batches, keeps, take_turn
 
 STRETCH, WIDTHS, FILTERS, DIM, ROWS = 32, (1, 2, 3), 8, 16, 1 << 15
 LETTERS = (4, 5, 7)
 SLAB = STRETCH * 1024
+#: Words that a worker remembers at least before it starts anew.
+REMEMBERED = 200_000
 _SIGNS = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
 
 
@@ -55,6 +57,10 @@ class _WordIndex(dict):
         super().__init__()
         self.rows: list[tuple[int, ...]] = [(0,) * (1 + len(LETTERS))]
 
+    def forget(self) -> None:
+        self.clear()
+        del self.rows[1:]
+
     def __missing__(self, word: str) -> int:
         self[word] = k = len(self.rows)
         self.rows.append(word_rows(word))
@@ -103,9 +109,8 @@ class Model:
     def score(self, texts: list[str], index: _WordIndex) -> np.ndarray:
         if not texts or not self.fitted:
             return np.zeros(len(texts))
-        if len(index) > 400_000:
-            index.clear()
-            del index.rows[1:]
+        if len(index) > REMEMBERED:
+            index.forget()
         split = [t.split() for t in texts]
         start, stretches = layout([len(s) for s in split])
         padded = np.zeros(int(stretches.sum()) * STRETCH, np.int32)
@@ -222,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, crop_cha
 
 
 _index = _WordIndex()
+keeps("toxicity", _index.forget)
 
 
 def _scored(df: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
@@ -231,6 +237,7 @@ def _scored(df: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
     where, full = df.columns.index(text_col), T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("toxicity")
         m = shared.value
         for batch in batches:
             texts = [x or "" for x in batch.column(where).cast(pa.string()).to_pylist()]
