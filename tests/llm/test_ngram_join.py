@@ -74,6 +74,26 @@ def test_equals_brute_force(spark, monkeypatch, k, num, den, block, bits):
     assert got == brute(docs, k, num, den)
 
 
+def drifting_copies(r, n_groups):
+    """Copies of copies around the threshold. The first and the last of four link, and the last two share a passage that is rare otherwise, but don't link."""
+    docs, passage = [], [f"p{i}" for i in range(12)]
+    fresh = lambda: f"w{r.randrange(1 << 40)}"
+    for g in range(n_groups):
+        first = [fresh() for _ in range(83)]
+        rare = [f"{x}_{g}" for x in passage]
+        second = [fresh() if i in (10, 30) else x for i, x in enumerate(first)]
+        third = [fresh() if i == 2 else x for i, x in enumerate(second)] + rare
+        docs += [" ".join(w) for w in (first, second, third, first + rare)]
+    return list(enumerate(docs))
+
+
+def test_drifting_copies_equal_brute_force(spark):
+    """Where a link to a pivot fails on whole sets, the root of its component is compared again, too."""
+    docs = drifting_copies(random.Random(1), 12)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(x) for x in ngram_join.jaccard_groups(df, k=4, num=80, den=100).collect()) == brute(docs, 4, 80, 100)
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in queries.table(spark, sf_dir, "documents").collect()]
     assert sorted(tuple(x) for x in queries.op2_jaccard(spark, sf_dir).collect()) == brute(docs, 4, 85, 100)

@@ -382,7 +382,8 @@ def _groups(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int
     doubtful = saved(_moved(checked.filter("not ok").select(F.col("a").alias("component")), likely, "component").distinct(), "doubtful")
     if doubtful.isEmpty():
         return likely
-    again = saved(likely.join(doubtful, "component", "left_semi").select("id", F.col("component").alias("was")), "again")
+    members = likely.unionByName(doubtful.select(F.col("component").alias("id"), "component")).distinct()  # the root of a star has no row in likely
+    again = saved(members.join(doubtful, "component", "left_semi").select("id", F.col("component").alias("was")), "again")
     sure = checked.filter("ok").join(again.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
     solid = components(sure)
     # nodes are compared where they share a list and a doubtful component: the two together are the list now
