@@ -94,6 +94,20 @@ def test_drifting_copies_equal_brute_force(spark):
     assert sorted(tuple(x) for x in ngram_join.jaccard_groups(df, k=4, num=80, den=100).collect()) == brute(docs, 4, 80, 100)
 
 
+def test_link_counts_equal_brute_force(spark, monkeypatch):
+    """Groups of near and exact copies, cut into many blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 150)
+    docs = near_copies(random.Random(7), 30, 12)
+    docs += [(len(docs) + i, t) for i, (_, t) in enumerate(docs[:60])] + [(10_000, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(x) for x in ngram_join.jaccard_links(df, k=4, num=85, den=100).collect())
+    sets = {i: shingles(t, 4) for i, t in docs}
+    linked = lambda s, t: bool(s) and 100 * len(s & t) >= 85 * len(s | t)
+    links = {i: sum(i != j and linked(s, t) for j, t in sets.items()) for i, s in sets.items()}
+    assert max(links.values()) > 3
+    assert got == [(*x, links[x[0]]) for x in brute(docs, 4, 85, 100)]
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in queries.table(spark, sf_dir, "documents").collect()]
     assert sorted(tuple(x) for x in queries.op2_jaccard(spark, sf_dir).collect()) == brute(docs, 4, 85, 100)

@@ -396,22 +396,82 @@ def _groups(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int
     return likely.join(doubtful, "component", "left_anti").select("id", "component").unionByName(settled)
 
 
-def jaccard_groups(df: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component) of every row: two documents link when their sets' Jaccard similarity is num / den or more."""
+def _classes(df: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, text); (id, n, d1, d2, ...) of every row; and (n, d1, d2, node, equal, component) of every set, with the number of its rows."""
     spark: SparkSession = df.sparkSession
     bound_batches(spark)
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("string").alias("text"))
     rows = saved(_prefixes(docs, k, num, den, token_sketch(docs, k)), "prefixes")
     some = rows.filter("n > 0 and id is not null")
-    nodes = saved(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("node")), "nodes")
+    nodes = saved(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("equal")), "nodes")
     release(spark)
     one = nodes.groupBy(F.col("node").alias("id")).agg(F.min(F.struct("d1", "d2")).alias("d")).select("id", "d.d1", "d.d2")
     groups = _groups(some, saved(one, "one"), docs, k, num, den)
-    group_of = saved(nodes.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").select("n", "d1", "d2", F.coalesce("component", "node").alias("component")), "groups")
-    placed = rows.select("id", "n", "d1", "d2").join(group_of, ["n", "d1", "d2"], "left")
+    return docs, rows, saved(nodes.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").select("n", "d1", "d2", "node", "equal", F.coalesce("component", "node").alias("component")), "groups")
+
+
+def jaccard_groups(df: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component) of every row: two documents link when their sets' Jaccard similarity is num / den or more."""
+    _, rows, sets = _classes(df, k, num, den, id_col, text_col)
+    placed = rows.select("id", "n", "d1", "d2").join(sets.select("n", "d1", "d2", "component"), ["n", "d1", "d2"], "left")
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
+def _linked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, links) of members (id, n, equal, component) linked with any: how many rows the sets that theirs is linked with have. A component is cut into blocks, and every two of them meet in one task."""
+    parts = members.groupBy("component").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    rows = members.join(parts, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
+    rows = rows.join(sets, "id").withColumn("meet", F.explode(meets)).select("component", "meet.x", "meet.y", "id", "block", "equal", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list) -> pa.RecordBatch:
+            ids, block, equal = (np.array([h[c] for h in held], np.int64) for c in range(3))
+            size = np.array([len(h[3]) for h in held], np.int64)
+            flat, who = np.concatenate([h[3] for h in held]), np.repeat(np.arange(len(held)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, who = flat[order], who[order]
+            links = np.zeros(len(held), np.int64)
+            for i in range(len(held)):
+                lo, hi = np.searchsorted(flat, held[i][3]), np.searchsorted(flat, held[i][3], "right")
+                count = hi - lo
+                at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                shared = np.bincount(who[at], minlength=len(held))
+                ok = den * shared >= num * (size + size[i] - shared)
+                ok[i] = False
+                links[i] = equal[ok & (block != block[i]) if key[1] != key[2] else ok].sum()
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], ["id", "links"])
+
+        key, held = None, []
+        for batch in batches:
+            ends, flat = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy()
+            for r, (c, x, y, *rest) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+                if (c, x, y) != key:
+                    if len(held) > 1:
+                        yield out(held)
+                    key, held = (c, x, y), []
+                held.append((*rest, flat[ends[r] : ends[r + 1]].copy()))
+        if len(held) > 1:
+            yield out(held)
+
+    sums = rows.repartition("component", "x", "y").sortWithinPartitions("component", "x", "y").mapInArrow(run, "id long, links long")
+    return sums.groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def jaccard_links(df: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component, n_links) of every row, as jaccard_groups, and how many other rows it is linked with; null without an id. Rows of equal sets are counted, not compared."""
+    docs, rows, sets = _classes(df, k, num, den, id_col, text_col)
+    nodes = saved(sets.groupBy(F.col("node").alias("id")).agg(F.max("n").alias("n"), F.sum("equal").alias("equal"), F.min("component").alias("component")), "members")
+    several = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("component")
+    members = saved(nodes.join(several, "component", "left_semi"), "several")
+    release(df.sparkSession)
+    linked = saved(_linked(members, _sets_of(docs, members.select("id"), k).dropDuplicates(["id"]), num, den), "linked")
+    counts = nodes.join(linked, "id", "left").select(F.col("id").alias("node"), (F.col("equal") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    placed = rows.select("id", "n", "d1", "d2").join(sets.join(counts, "node").select("n", "d1", "d2", "component", "n_links"), ["n", "d1", "d2"], "left")
+    known = F.col("id").isNotNull()
+    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component", "id")).alias("component"), F.when(known, F.coalesce("n_links", F.lit(0))).alias("n_links"))
+
+
 def first_of_groups(df: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each group: that with the smallest id, and one only of rows with that id. Rows without an id all stay; all columns stay."""
     groups = jaccard_groups(df, k=k, num=num, den=den, id_col=id_col, text_col=text_col)

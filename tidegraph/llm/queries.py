@@ -40,6 +40,12 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100).withColumnRenamed("component", "component_id")
 
 
+@query
+def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of op2_jaccard, and the number of links of every document."""
+    return ngram_join.jaccard_links(table(spark, sf_dir, "documents"), k=4, num=85, den=100).withColumnRenamed("component", "component_id")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, against a context of 1024 tokens."""
