@@ -3,7 +3,8 @@
 Documents become sets of hashed k-word shingles. A fixed-size sketch counts every shingle of every document, and gives
 the order of tokens, rare ones first. Similar sets share at least l tokens within their l-prefixes (the first
 n - ceil(t n) + l tokens). Each document takes the l whose estimated cost is least: a longer prefix lists it more often,
-but asks more matches of a candidate. Two documents are candidates if they share min(l, l') prefix tokens.
+but asks more matches of a candidate. Two documents that link share min(l, l') prefix tokens. That many are counted per
+pair only against one pivot (2); in the lists, parity signatures take the place of this condition.
 
 Links aren't listed pair by pair, since copies would make them quadratic:
  1. documents with equal sets are one node, known by its smallest id. Each has a parity signature: bits that say
