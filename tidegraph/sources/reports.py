@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 from typing import Any
 
-from pyarrow import fs
 from pyspark.sql import DataFrame
 
+from tidegraph.storage import filesystem
+
 
 def file_name(kind: str, name: str, cuts: str, batch: int, scale: float) -> str:
     return f"{kind}-{name}-inc-{cuts.split(' ')[-1]}-bat-{batch}-r-{scale:.1f}-{int(time.time())}.txt"
@@ -28,7 +29,7 @@ def text(result: Any) -> str:
 
 def write(result: Any, folder: str, name: str) -> str:
     body = text(result)
-    files, path = fs.FileSystem.from_uri(folder)
+    files, path = filesystem(folder)
     files.create_dir(path, recursive=True)
     with files.open_output_stream(f"{path}/{name}") as f:
         f.write(body.encode())

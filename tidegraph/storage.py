@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import gc
+import os
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Schemes of Spark's that pyarrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. The cluster names it; only where it names none (tests) is one made."""
+    """The folder that driver and executors share, as the session names it. Only a session of one process may do without: it gets a folder of its own."""
     sc = spark.sparkContext
     named = sc._jsc.sc().getCheckpointDir()
     if named.isDefined():
         return str(named.get())
     conf = spark.conf.get("spark.checkpoint.dir", "")
     if not conf:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         import tempfile
 
         conf = f"file://{tempfile.mkdtemp(prefix='tidegraph-')}"
@@ -24,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def saved(df: DataFrame, what: str = "step") -> DataFrame:
@@ -34,7 +46,52 @@ def saved(df: DataFrame, what: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_open: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is saved inside is deleted in the end, except what the given function saves."""
+    _open.append([])
+
+    def keep(df: DataFrame, what: str = "result") -> DataFrame:
+        mine = _open.pop()
+        try:
+            return saved(df, what)  # belongs to the scratch space around this one, if there is any
+        finally:
+            _open.append(mine)
+
+    try:
+        yield keep
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are saved and whose DataFrames are gone."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system of a folder, and the path in it. Spark's names of schemes are understood, a path without one is local; hdfs needs libhdfs on every machine."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), os.path.abspath(uri)
+    files, path = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+    return files, path.rstrip("/")
+
+
+def salted(rows: DataFrame, other: DataFrame, keys: list[str], by: list[str], salts: int = 64) -> DataFrame:
+    """rows joined with other (one row a key at most), where a key may hold a large share of the rows: each key's rows are dealt over salts by other columns, and its partner is copied to those salts that occur."""
+    from pyspark.sql import functions as F
+
+    dealt = rows.withColumn("salt_", F.pmod(F.xxhash64(*by), F.lit(salts)))
+    places = dealt.select(*keys, "salt_").distinct().join(other, keys)
+    return dealt.join(places, [*keys, "salt_"]).drop("salt_")
