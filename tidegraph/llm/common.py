@@ -9,9 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import SparkSession
 
-from tidegraph.storage import fresh_path, release, saved, shared_dir
+from tidegraph.storage import filesystem, fresh_path, release, salted, saved, scratch, shared_dir
 
-__all__ = ["WordHashes", "bound_batches", "fresh_path", "keeps", "mix", "release", "saved", "shared_dir", "shingle_hashes", "take_turn", "utf8"]
+__all__ = ["WordHashes", "bound_batches", "filesystem", "fresh_path", "keeps", "mix", "release", "salted", "saved", "scratch", "shared_dir", "shingle_hashes", "take_turn", "utf8"]
 
 #: Bytes of input that one Arrow batch may carry to a Python worker.
 BATCH_BYTES = 8 << 20

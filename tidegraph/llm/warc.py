@@ -5,19 +5,22 @@
 own; beside the archive it writes an index with the offset and length of each member, so that any record can be read
 alone. A record may become a revisit on the way: it then refers to another record and carries no payload. ``read``
 reads the members by the index. Files are reached through pyarrow's file systems, so the folder may be any that all
-machines share. A task writes under a name of its own and moves the file into place, so tasks may be repeated.
+machines share and pyarrow knows. Every attempt of a task writes files under new names and returns these, and only what
+Spark commits is read later; files that a lost attempt leaves are never listed. Each archive is a task of its own.
 
 ``archive`` does all this for a table of pages. Of pages with equal payloads of at least ``least`` bytes, the one with
 the largest id is a response and the others revisit it; of repeated rows with that id, the one written last. Smaller
 payloads are all responses. A null payload counts as empty; a null url is left out, and control characters in one are
-escaped; a null id is kept as null. Pages spread over files of bounded size, so a group of equal payloads meets only
-in sums. An empty table gives no rows. Extra columns are dropped.
+escaped; a null id is kept as null. Pages spread over files of bounded size, and the records of a group of equal
+payloads are dealt over many tasks to learn which one they revisit. A payload is held whole, one at a time, whatever its
+length. An empty table gives no rows. Extra columns are dropped.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 from typing import Any
@@ -28,10 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import bound_batches, saved, utf8
+from tidegraph.llm.common import bound_batches, filesystem, salted, saved, utf8
 
 #: Payload bytes of one archive file.
 FILE_BYTES = 32 << 20
+#: Tasks, at most, that archives are dealt over.
+MOST_TASKS = 100_000
 CHUNK = 1 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"
@@ -106,20 +111,11 @@ def inflated(stream: Any) -> Iterator[bytes]:
                 data, z = z.unused_data, zlib.decompressobj(31)
 
 
-def _folder(uri: str) -> tuple[fs.FileSystem, str]:
-    files, path = fs.FileSystem.from_uri(uri)
-    return files, path.rstrip("/")
-
-
-class _Placed:
-    """A file that is written under a name of the task's own and then moved into place."""
+class _Counted:
+    """A new file, and how many bytes it has."""
 
     def __init__(self, files: fs.FileSystem, path: str):
-        self.files, self.path = files, path
-        context = TaskContext.get()
-        self.own = f"{path}.{context.taskAttemptId() if context else 0}.part"
-        self.stream = files.open_output_stream(self.own, compression=None)
-        self.size = 0
+        self.stream, self.size = files.open_output_stream(path, compression=None), 0
 
     def write(self, data: bytes) -> None:
         self.stream.write(data)
@@ -127,16 +123,18 @@ class _Placed:
 
     def close(self) -> None:
         self.stream.close()
-        if self.files.get_file_info(self.path).type != fs.FileType.NotFound:
-            self.files.delete_file(self.path)
-        self.files.move(self.own, self.path)
+
+
+def dealt(archives: DataFrame) -> DataFrame:
+    """The rows (file, ...), spread so that each archive is a task."""
+    return archives.repartitionByRange(max(1, min(archives.count(), MOST_TASKS)), "file")
 
 
 def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
-    """Write (id, url, payload) to whole-file gzip streams in the folder; (file, seq, id, n, digest) of each record."""
+    """Write (id, url, payload) to whole-file gzip streams in the folder; (file, seq, id, n, digest, record) of each record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, path = _folder(folder)
+        files, path = filesystem(folder)
         files.create_dir(path, recursive=True)
         part, k, out, pack, size = TaskContext.get().partitionId(), 0, None, None, 0
 
@@ -152,27 +150,27 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
                     if out is not None:
                         close()
                         k += 1
-                    name, seq, size = f"part-{part:06d}-{k:04d}.warc.gz", 0, 0
-                    out, pack = _Placed(files, f"{path}/{name}"), zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.write(pack.compress(response(page, f"{part}-{k}-{seq}", url, payload)))
-                rows.append((name, seq, page, len(payload), hashlib.sha1(payload).hexdigest()))
+                    name, seq, size = f"part-{part:06d}-{k:04d}-{uuid.uuid4().hex[:12]}.warc.gz", 0, 0
+                    out, pack = _Counted(files, f"{path}/{name}"), zlib.compressobj(6, zlib.DEFLATED, 31)
+                own = f"{part}-{k}-{seq}"
+                out.write(pack.compress(response(page, own, url, payload)))
+                rows.append((name, seq, page, len(payload), hashlib.sha1(payload).hexdigest(), own))
                 seq += 1
                 size += len(payload)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["file", "seq", "id", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["file", "seq", "id", "n", "digest", "record"])
         if out is not None:
             close()
 
-    return pages.mapInArrow(run, "file string, seq int, id long, n long, digest string")
+    return pages.mapInArrow(run, "file string, seq int, id long, n long, digest string, record string")
 
 
 def revisits(index: DataFrame, least: int) -> DataFrame:
-    """(file, seq, to): the records of (file, seq, id, n, digest) that revisit another, and that one's record id."""
+    """(file, seq, to): the records of (file, seq, id, n, digest, record) that revisit another, and that one's record id."""
     long_ = index.filter(F.col("n") >= least)
-    groups = saved(long_.groupBy("digest", "n").agg(F.max(F.struct("id", "file", "seq")).alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"), "copies")
-    ordinal = F.regexp_replace(F.regexp_replace("kept.file", r"\.warc\.gz$", ""), "^part-0*(?=[0-9])", "")
-    part, k = F.split(ordinal, "-")[0], F.split(ordinal, "-")[1].cast("int").cast("string")
-    to = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("kept.id").cast("string"), F.lit("")), F.lit(":"), part, F.lit("-"), k, F.lit("-"), F.col("kept.seq").cast("string"), F.lit(">"))
-    return long_.join(groups, ["digest", "n"]).filter((F.col("file") != F.col("kept.file")) | (F.col("seq") != F.col("kept.seq"))).select("file", "seq", to.alias("to"))
+    groups = saved(long_.groupBy("digest", "n").agg(F.max(F.struct("id", "file", "seq", "record")).alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"), "copies")
+    to = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("kept.id").cast("string"), F.lit("")), F.lit(":"), F.col("kept.record"), F.lit(">"))
+    again = salted(long_.select("file", "seq", "digest", "n"), groups, ["digest", "n"], ["file", "seq"])
+    return again.filter((F.col("file") != F.col("kept.file")) | (F.col("seq") != F.col("kept.seq"))).select("file", "seq", to.alias("to"))
 
 
 def revisit(headers: dict[str, str], block: bytes, to: str) -> bytes:
@@ -185,7 +183,7 @@ def revisit(headers: dict[str, str], block: bytes, to: str) -> bytes:
 
 def normalise_file(files: fs.FileSystem, source: str, target: str, to: dict[int, str]) -> int:
     """Rewrite one archive, each record a member, beside an index of JSON lines; the number of records."""
-    out, index, n = _Placed(files, target), _Placed(files, f"{target}.idx"), 0
+    out, index, n = _Counted(files, target), _Counted(files, f"{target}.idx"), 0
     with files.open_input_stream(source, compression=None) as stream:
         for headers, block in records(inflated(stream)):
             raw = revisit(headers, block, to[n]) if n in to else record({k: v for k, v in headers.items() if k != "Content-Length"}, block)
@@ -200,18 +198,19 @@ def normalise_file(files: fs.FileSystem, source: str, target: str, to: dict[int,
 
 
 def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
-    """Rewrite the archives (file, revisits array of (seq, to) or null) from one folder into another; (file, records)."""
+    """Rewrite the archives (file, revisits array of (seq, to) or null) from one folder into another; (file, records), with the new names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, folder = _folder(target)
+        files, folder = filesystem(target)
         files.create_dir(folder, recursive=True)
-        _, origin = _folder(source)
+        _, origin = filesystem(source)
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            n = [normalise_file(files, f"{origin}/{name}", f"{folder}/{name}", {r["seq"]: r["to"] for r in found or []}) for name, found in zip(names, batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["file", "records"])
+            old = batch.column(0).to_pylist()
+            new = [f"{name.removesuffix('.warc.gz')}-{uuid.uuid4().hex[:12]}.warc.gz" for name in old]
+            n = [normalise_file(files, f"{origin}/{a}", f"{folder}/{b}", {r["seq"]: r["to"] for r in found or []}) for a, b, found in zip(old, new, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), pa.array(n, pa.int64())], ["file", "records"])
 
-    return archives.mapInArrow(run, "file string, records long")
+    return dealt(archives).mapInArrow(run, "file string, records long")
 
 
 def read_members(files: fs.FileSystem, path: str) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -235,7 +234,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
     """(id, payload_bytes, payload_digest, record_type, refers_to) of every record of the archives (file); digests of responses are those of what was read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, path = _folder(folder)
+        files, path = filesystem(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 rows = []
@@ -249,7 +248,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives.mapInArrow(run, "id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return dealt(archives).mapInArrow(run, "id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, folder: str, *, least: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -258,9 +257,9 @@ def archive(pages: DataFrame, folder: str, *, least: int = 1000, id_col: str = "
     source = pages.select(pages[id_col].cast("long"), pages[url_col].cast("string"), pages[payload_col].cast("string"))
     index = saved(write_monolithic(source, f"{folder}/monolithic"), "index")
     found = revisits(index, least).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("seq", "to"))).alias("revisits"))  # a file is of bounded size
-    archives = index.select("file").distinct().join(found, "file", "left")
+    archives = saved(index.select("file").distinct().join(found, "file", "left"), "to-do")
     done = saved(normalise(archives, f"{folder}/monolithic", f"{folder}/warc"), "archives")
-    files, path = _folder(f"{folder}/monolithic")
+    files, path = filesystem(f"{folder}/monolithic")
     if files.get_file_info(path).type == fs.FileType.Directory:
         files.delete_dir(path)
     return done
