@@ -86,6 +86,22 @@ def test_odd_rows_and_blocks(spark, block_bytes):
     assert cut[4] == "Before , after" and cut[6] == " " + "y " * 400 and cut[1] is None and cut[None] == ""
 
 
+def test_many_blocks_are_one_stage(spark):
+    """Fifty blocks and more: one pass over the documents, equal to brute force."""
+    r = random.Random(3)
+    vocab = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([1, 4, 12, 13, 20, 40])))) for i in range(300)]
+    texts = [" ".join(r.choice(vocab) for _ in range(r.randint(0, 30))) + " " + " ".join(items[r.randrange(300)][1].split()[r.randrange(3) :]) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert d.write_blocks(bench, 13, "item_id", "text", 500).n >= 50
+    found = d.find(docs, bench, block_bytes=500)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for x in found.collect():
+        n, hit, who = brute(texts[x.doc_id], items)
+        assert (x.n_words, x.n_hit, set(x.items)) == (n, len(hit), who)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")

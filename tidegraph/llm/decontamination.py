@@ -8,8 +8,10 @@ document leaves the table, by limits on length and coverage.
 Words that no item has, and word pairs that no item has, reset the automaton; numpy finds the stretches between them
 first, and only stretches that could hold a window are streamed.
 
-The items travel to the workers in blocks of at most ``BLOCK_BYTES`` of text (an item that is larger is a block of its
-own); a larger benchmark makes several blocks, each scanned in its turn and the hits merged, without any shuffle.
+The items are written to the shared folder in blocks of about ``BLOCK_BYTES`` of text, each with the hashes of its
+windows, and never meet as a whole. One stage goes over the documents. A bit filter of the items' word pairs and
+windows, of a size that is bounded, picks the documents of a batch that may hold a window; the hashes of their windows
+say which blocks may have it; only those blocks' automata are built, one after the other, and scan those documents.
 
 Null or wordless texts have no words, no hits and no items, and aren't contaminated. Items that are null or wordless
 have no window. Items with a null id make hits but aren't listed. Repeated documents are judged each for itself,
@@ -22,17 +24,23 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import bound_batches, keeps, take_turn, utf8
+from tidegraph.llm.common import WordHashes, bound_batches, filesystem, fresh_path, keeps, mix, take_turn, utf8
 
 BLOCK_BYTES = 1 << 20
+#: Bits of the filter, at most, and bits for each word pair or window.
+FILTER_BITS, BITS_EACH = 1 << 28, 16
 #: A-Z to a-z; digits, a-z and bytes from 0x80 on stay; all else to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -181,26 +189,119 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_words = WordHashes()
 _matchers: dict[str, Matcher] = {}
-keeps("decontamination", _matchers.clear)
+_filters: dict[str, np.ndarray] = {}
 
 
-def _matcher(key: str, items: list[tuple[str | None, bytes]], window: int) -> Matcher:
-    """One automaton is kept a worker, that of the block in use."""
-    if key not in _matchers:
-        _matchers.clear()
-        _matchers[key] = Matcher(items, window)
-    return _matchers[key]
+def _forget() -> None:
+    for kept in (_words, _matchers, _filters):
+        kept.clear()
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items in blocks that are small enough for the driver and for broadcasting, one after the other."""
-    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text"))
+keeps("decontamination", _forget)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def run_hashes(words: np.ndarray, widths: set[int]) -> dict[int, np.ndarray]:
+    """64-bit hashes of all runs of so many of the word hashes."""
+    out, n = {}, len(words)
+    h = words
+    with np.errstate(over="ignore"):
+        for j in range(1, min(max(widths, default=0), n) + 1):
+            if j > 1:
+                h = mix(h[: n - j + 1] * _ODD + words[j - 1 :])
+            if j in widths:
+                out[j] = mix(h ^ np.uint64(j))
+    return out
+
+
+@dataclass
+class Blocks:
+    """Where the items lie, and what is known of all of them."""
+
+    folder: str
+    window: int
+    n: int
+    widths: set[int]  # word counts of windows
+    bits: Any = None  # the filter, broadcast
+    size: int = 0
+
+    def passing(self, words: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Hashes of the windows of a text that the filter lets through."""
+        least = min(self.widths, default=0)
+        if not least or len(words) < least:
+            return np.empty(0, np.uint64)
+
+        def there(h: np.ndarray) -> np.ndarray:
+            at = h & np.uint64(self.size - 1)
+            bit = known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)
+            return (bit & 1).astype(bool)
+
+        if least == 1:
+            edge = np.array([0, len(words)])
+        else:
+            ok = there(run_hashes(words, {2})[2])
+            edge = np.flatnonzero(np.diff(np.concatenate(([False], ok, [False])).astype(np.int8)))
+            edge[1::2] += 1
+        found = []
+        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if hi - lo >= least:
+                found += [h[there(h)] for h in run_hashes(words[lo:hi], self.widths).values()]
+        return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+    def read(self, k: int, columns: list[str]) -> pa.Table:
+        files, path = filesystem(f"{self.folder}/block={k}")
+        names = sorted(f.path for f in files.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet"))
+        return pa.concat_tables([pq.read_table(files.open_input_file(n), columns=columns) for n in names]) if names else pa.table({c: [] for c in columns})
+
+    def windows(self, k: int) -> np.ndarray:
+        got = self.read(k, ["windows"]).column(0)
+        return np.unique(np.concatenate([c.values.to_numpy() for c in got.chunks]).view(np.uint64)) if len(got) else np.empty(0, np.uint64)
+
+    def matcher(self, k: int) -> Matcher:
+        """One automaton is kept a worker, that of the block used last."""
+        key = f"{self.folder}/{k}"
+        if key not in _matchers:
+            _matchers.clear()
+            t = self.read(k, ["item", "text"])
+            _matchers[key] = Matcher(list(zip(t.column(0).to_pylist(), utf8(t.column(1)), strict=True)), self.window)
+        return _matchers[key]
+
+
+def write_blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_bytes: int) -> Blocks:
+    """Write the items (item, text, windows) to a folder by block; only sums and the filter reach the driver."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), F.coalesce(benchmark[text_col].cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r.item, (r.text or "").encode()) for r in part.collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("decontamination")
+        for batch in batches:
+            runs, pairs, widths = [], [], []
+            for text in utf8(batch.column(1).cast(pa.string())):
+                words = _words.of(words_of(text))
+                width = min(window, len(words))
+                runs.append(np.unique(run_hashes(words, {width})[width]).view(np.int64) if width else np.empty(0, np.int64))
+                pairs.append(np.unique(run_hashes(words, {2})[2]).view(np.int64) if len(words) > 1 else np.empty(0, np.int64))
+                widths.append(width)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64())) for x in (runs, pairs)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists, pa.array(widths, pa.int32())], ["item", "text", "block", "windows", "pairs", "width"])
+
+    placed = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int"))
+    found = placed.repartition(min(n, 10_000), "block").mapInArrow(run, "item string, text string, block int, windows array<long>, pairs array<long>, width int")
+    folder = fresh_path(spark, "items")
+    found.write.partitionBy("block").parquet(folder)
+    rows = spark.read.schema(found.schema).parquet(folder)
+    sums = rows.agg(F.sum(F.size("windows") + F.size("pairs")).alias("n"), F.collect_set("width").alias("widths")).first()  # window numbers at most
+    size = min(FILTER_BITS, max(1 << 18, 1 << (BITS_EACH * (sums.n or 0)).bit_length()))
+    slot = F.col("h").bitwiseAND(F.lit(size - 1)) + 1
+    parts = rows.select(F.explode(F.concat("windows", "pairs")).alias("h")).select(slot.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+    bits = np.zeros((-(-size // 32768), 4096), np.uint8)
+    for r in parts.toLocalIterator():  # size bits
+        bits[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
+    return Blocks(folder, window, n, {w for w in sums.widths if w}, spark.sparkContext.broadcast(bits.reshape(-1)), size)
 
 
 def _annotate(df: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, block_bytes: int, names: tuple[str, str, str]) -> DataFrame:
@@ -210,30 +311,33 @@ def _annotate(df: DataFrame, benchmark: DataFrame, window: int, text_col: str, i
     plain = df.schema
     full = T.StructType([*plain.fields, T.StructField(count, T.LongType()), T.StructField(spans, T.ArrayType(T.IntegerType())), T.StructField(items, T.ArrayType(T.StringType()))])
     where = plain.fieldNames().index(text_col)
-    for k, block in enumerate(item_blocks(benchmark, item_col, "text", block_bytes)):
-        key = uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], key: str = key, block: list = block, again: bool = k > 0) -> Iterator[pa.RecordBatch]:
-            take_turn("decontamination")
-            m = _matcher(key, block, window)
-            for batch in batches:
-                old = [batch.column(len(plain) + j).to_pylist() for j in (1, 2)] if again else None
-                n_words, flat, who = [], [], []
-                for i, text in enumerate(utf8(batch.column(where).cast(pa.string()))):
-                    words = words_of(text)
-                    found, ids = m.of(words)
-                    if old:
-                        was = old[0][i]
-                        found = merged(found + list(zip(was[::2], was[1::2], strict=True)))
-                        ids = ids | set(old[1][i])
-                    n_words.append(len(words))
-                    flat.append([x for s in found for x in s])
-                    who.append(sorted(ids))
-                more = [pa.array(n_words, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(who, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(plain)], *more], full.fieldNames())
-
-        df = df.mapInArrow(run, full)
-    return df
+    blocks = write_blocks(benchmark, window, item_col, "text", block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("decontamination")
+        known, only = blocks.bits.value, blocks.windows(0) if blocks.n == 1 else None
+        for batch in batches:
+            n_words, maybe = [], {}
+            for i, text in enumerate(utf8(batch.column(where).cast(pa.string()))):
+                words = words_of(text)
+                n_words.append(len(words))
+                if len(passing := blocks.passing(_words.of(words), known)):
+                    maybe[i] = (words, passing)
+            hits: dict[int, tuple[list, set]] = {i: ([], set()) for i in maybe}
+            for k in range(blocks.n if maybe else 0):
+                windows = only if only is not None else blocks.windows(k)
+                for i, (words, passing) in maybe.items():
+                    at = np.minimum(np.searchsorted(windows, passing), max(len(windows) - 1, 0))
+                    if len(windows) and (windows[at] == passing).any():
+                        found, ids = blocks.matcher(k).of(words)
+                        hits[i] = (merged(hits[i][0] + found), hits[i][1] | ids)
+            none: tuple[list, set] = ([], set())
+            flat = [[x for s in hits.get(i, none)[0] for x in s] for i in range(len(n_words))]
+            who = [sorted(hits.get(i, none)[1]) for i in range(len(n_words))]
+            more = [pa.array(n_words, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(who, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], full.fieldNames())
+
+    return df.mapInArrow(run, full)
 
 
 def _hit(spans: str) -> F.Column:
