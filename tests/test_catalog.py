@@ -5,7 +5,7 @@ from tidegraph.plans import catalog
 
 TABLES = ("part", "lineitem")
 #: One query of each kind; the driver compares all of them.
-SOME = ("edge_class_counts", "degree_sample", "scc_histogram", "tc_members_kosaraju", "topo_rank", "alg_type_counts", "inc_members_pk", "bat_members_distributed", "inc_checkpoints")
+SOME = ("edge_class_counts", "degree_sample", "scc_histogram", "tc_members_kosaraju", "topo_rank", "alg_type_counts", "inc_members_pk", "bat_members_distributed", "inc_checkpoints", "topo_rank_by_part", "bat_members_distributed_tc", "inc_parts", "inc_metrics", "inc_members_tc_pk", "bat_members_cd4cg", "stream_members_restarted", "tsv_increment", "tsv_edges")
 
 
 def test_every_query_has_its_sql():

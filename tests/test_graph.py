@@ -1,12 +1,15 @@
 import random
 
+import numpy as np
 import pytest
 
 from tests.helpers import closure_components, parts, random_edges
 from tidegraph.functions import edges as fe
+from tidegraph.functions.order import first_rows, numbered
 from tidegraph.operators import incremental as inc
 from tidegraph.operators import kernel, scc
 from tidegraph.operators import time_coupled as tc
+from tidegraph.operators.replay import GM, Replay
 from tidegraph.plans import registry
 
 YEARS = {0: 2000, 1: 2000, 2: 2000, 3: 2001, 4: 2001, 5: 2001, 6: 2002, 7: 2002, 8: 2003, 9: 2003, 10: 2004, 11: 2004}
@@ -33,7 +36,7 @@ def graph(spark):
 @pytest.mark.parametrize("most", [2_000_000, 5])
 def test_components_parts_and_levels(graph, monkeypatch, most):
     """With a small bound, everything runs distributed."""
-    monkeypatch.setattr(kernel, "LOCAL_EDGES", most)
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", most)
     year, edges, nodes, df = graph
     want = closure_components(year, edges)
     members = scc.with_all(nodes, scc.scc(df))
@@ -41,7 +44,7 @@ def test_components_parts_and_levels(graph, monkeypatch, most):
     part = parts(year, edges)
     assert pairs(tc.partition(nodes, df), "id", "part") == set(part.items())
     assert pairs(tc.tc_scc(nodes, df), "id", "component") == {(v, c) for v, c in want.items() if part[v] != "gr"}
-    rank = dict(pairs(scc.ranks(scc.levels(members, scc.condensed(df, members))), "component", "rank"))
+    rank = dict(pairs(numbered(scc.levels(members, scc.condensed(df, members)), "level", "component", name="rank"), "component", "rank"))
     assert sorted(rank.values()) == list(range(1, len(set(want.values())) + 1))
     assert all(want[a] == want[b] or rank[want[a]] > rank[want[b]] for a, b in edges)
 
@@ -62,7 +65,7 @@ def test_walk_through(spark):
     for cut in range(len(DELTA) + 1):
         got = {r.id: r.component for r in rows if r["cut"] == cut and r.id is not None}
         assert got == closure_components(YEARS, START + DELTA[:cut]), cut
-    assert sum(r.inserted for r in rows) == 6  # of eight, two lie inside a component
+    assert sum(r.inserted or 0 for r in rows) == 6  # of eight, two lie inside a component
     state = inc.start(nodes, start)
     for batch in inc.batches(delta, 3, len(DELTA)):
         state, _ = inc.apply_batch(state, batch)
@@ -71,44 +74,119 @@ def test_walk_through(spark):
     assert parts(YEARS, START + DELTA[:4])[11] == "gsi" and parts(YEARS, START + DELTA)[8] == "gm"
 
 
-def test_replay_equals_recomputation():
-    import numpy as np
-
-    for seed in range(60):
+def check_replay(r, year, edges):
+    """Components, parts, and ranks inside spaces."""
+    want, part = closure_components(year, edges), parts(year, edges)
+    of = {i: r.of[r.index[i]] for i in r.ids}
+    assert {i: r.name[c] for i, c in of.items()} == want
+    if r.coupled:
+        assert {i: r.part(r.index[i]) for i in r.ids} == part
+    for a, b in edges:
+        x, y = of[a], of[b]
+        if x != y and r.space.get(x) is not None and r.space.get(x) == r.space.get(y):
+            assert r.rank[x] > r.rank[y]
+    assert len({(r.space[c], r.rank[c]) for c in r.rank}) == len(r.rank) == len(r.space)
+
+
+@pytest.mark.parametrize("coupled", [False, True])
+def test_replay_equals_recomputation(coupled):
+    """Random graphs and batches; the state at the start is made by inserting, too. Some ids turn up late."""
+    for seed in range(120):
         r = random.Random(seed)
-        n = 14
-        start, delta = random_edges(r, n, 10), random_edges(r, n, 25)
-        s, t = np.array(start + [(v, v) for v in range(n)], np.int64).T
-        got = kernel.solve(s, t).to_pydict()
-        first = inc.Replay(np.array(got["id"]), np.array(got["component"]), np.array(got["rank"]), s[: len(start)], t[: len(start)])
-        size = r.choice([1, 2, 5, 25])
-        for at in range(0, len(delta), size):
-            a, b = np.array(delta[at : at + size]).T
-            first.insert(a, b)
-            want = closure_components(range(n), start + delta[: at + size])
-            assert {v: int(first.ids[c]) for v, c in enumerate(first.of)} == want
-            rank = {v: first.rank[int(first.of[v])] for v in range(n)}
-            assert all(want[x] == want[y] or rank[x] > rank[y] for x, y in start + delta[: at + size])
+        n = 16
+        year = {v: r.choice([0, 1990 + v // 4]) if v > 12 else 1990 + v // 4 for v in range(n)}
+        known = [v for v in range(n) if year[v]]
+        edges, size = [(a, b) for a, b in random_edges(r, n, 35) if a != b], r.choice([1, 2, 5, 35])
+        ids = np.array(known)
+        first = Replay(ids, ids, [None if coupled else GM] * len(ids), list(range(1, len(ids) + 1)), np.array([year[v] for v in known]), ids[:0], ids[:0], coupled=coupled)
+        for at in range(0, len(edges), size):
+            a, b = zip(*edges[at : at + size], strict=True)
+            first.insert(list(a), list(b))
+            now = edges[: at + size]
+            seen = set(known) | {x for e in now for x in e}
+            check_replay(first, {v: year[v] for v in seen}, now)
+
+
+def test_searches_stay_between_the_ranks():
+    """A long path above and below is not looked at."""
+    n = 4000
+    ids = np.arange(n)
+    r = Replay(ids, ids, [GM] * n, list(range(1, n + 1)), np.zeros(n, int), ids[1:], ids[:-1])
+    r.insert([2000], [2003])
+    assert r.counts.merged == 3 and r.counts.visited == 8
+
+
+@pytest.mark.parametrize(("most", "coupled"), [(2_000_000, False), (2_000_000, True)])
+def test_batches_as_sets_and_unlisted_ids(spark, monkeypatch, most, coupled):
+    """Three batches; some ids are listed nowhere, and have year 0 in all paths."""
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", most)
+    r = random.Random(5)
+    year = {v: 2000 + v // 8 for v in range(40)}
+    everyone = year | {v: 0 for v in range(40, 46)}
+    edges = [(a, b) for a, b in random_edges(r, 46, 90) if a != b]
+    nodes, df = frames(spark, year, edges[:45])
+    state = inc.start(nodes, df, coupled=coupled)
+    for at in range(45, 90, 15):
+        state, counts = inc.apply_batch(state, spark.createDataFrame(edges[at : at + 15], "src long, dst long"))
+        now = edges[: at + 15]
+        seen = {v: everyone[v] for v in set(year) | {x for e in now for x in e}}
+        assert pairs(state.members, "id", "component") == set(closure_components(seen, now).items())
+        assert inc.violations(state).first().violations == 0
+        if coupled:
+            assert pairs(state.parts, "id", "part") == set(parts(seen, now).items())
+    assert pairs(registry.static_members("tarjan", nodes, spark.createDataFrame(edges, "src long, dst long")), "id", "component") == set(closure_components(seen, edges).items())
+    delta = spark.createDataFrame([(i, *e) for i, e in enumerate(edges[45:])], "seq long, src long, dst long")
+    rows = inc.maintained(nodes, df, delta, batch=4, cuts=[20, 45], coupled=coupled).filter("id is not null and cut = 1")
+    assert pairs(rows, "id", "component") == set(closure_components(seen, edges).items())
+    if coupled:
+        assert pairs(rows, "id", "part") == set(parts(seen, edges).items())
+
+
+def test_coupled_batches_distributed(spark, monkeypatch):
+    nodes, start = frames(spark, YEARS, START)
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 3)
+    state = inc.start(nodes, start, coupled=True)
+    state, _ = inc.apply_batch(state, spark.createDataFrame(DELTA, "src long, dst long"))
+    assert inc.violations(state).first().violations == 0
+    assert pairs(state.members, "id", "component") == set(closure_components(YEARS, START + DELTA).items())
+    assert pairs(state.parts, "id", "part") == set(parts(YEARS, START + DELTA).items())
+
+
+@pytest.mark.parametrize("most", [2_000_000, 2])
+def test_large_ids_are_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", most)
+    b = 2**53
+    edges = spark.createDataFrame([(b + 1, b + 3), (b + 3, b + 5), (b + 7, b + 9)], "src long, dst long")
+    assert {r.id for r in scc.reach(edges, spark.createDataFrame([(b + 1,)], "id long")).collect()} == {b + 1, b + 3, b + 5}
+
+
+def test_numbers_and_first_rows(spark):
+    df = spark.createDataFrame([(i % 3, (i * 7) % 50) for i in range(50)], "k long, v long")
+    got = sorted((r.k, r.v, r.nth) for r in numbered(df, "-v", within="k").collect())
+    want = [(k, v, n) for k in range(3) for n, v in enumerate(sorted({(i * 7) % 50 for i in range(50) if i % 3 == k}, reverse=True), 1)]
+    assert got == sorted(want)
+    assert sorted(r.v for r in first_rows(df, 5, "-v").collect()) == [45, 46, 47, 48, 49]
 
 
 def test_large_islands_are_solved_distributed(spark, monkeypatch):
     nodes, start = frames(spark, YEARS, START)
     state = inc.start(nodes, start)
-    monkeypatch.setattr(kernel, "LOCAL_EDGES", 2)
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 2)
     state, counts = inc.apply_batch(state, spark.createDataFrame(DELTA, "src long, dst long"))
     assert counts["invalid"] > 0 and inc.violations(state).first().violations == 0
     assert pairs(state.members, "id", "component") == set(closure_components(YEARS, START + DELTA).items())
 
 
 def test_islands(spark):
-    up = spark.createDataFrame([(1, 3), (3, 5), (7, 8), (2, 2), (20, 40), (30, 31), (41, 42), (7, 9)], "r_src long, r_dst long")
-    assert pairs(inc.islands(up), "lo", "hi") == {(1, 5), (7, 9), (20, 40), (41, 42)}
+    spans = [(1, 3), (3, 5), (7, 8), (2, 2), (20, 40), (30, 31), (41, 42), (7, 9)]
+    up = spark.createDataFrame([(s, *x) for s in (0, 5) for x in spans[s // 5 * 3 :]], "space long, r_src long, r_dst long")
+    assert pairs(inc.islands(up), "space", "lo", "hi") == {(0, 1, 5), (0, 7, 9), (0, 20, 40), (0, 41, 42), (5, 2, 2), (5, 7, 9), (5, 20, 40), (5, 41, 42)}
 
 
 def test_checkpoints_and_strides(spark):
     assert inc.checkpoints(3000, -1) == [50, 100, 500, 1000, 1500, 2000, 2500, 3000] and inc.checkpoints(100, 7.5) == [25]
     delta = spark.range(31).selectExpr("id as seq", "id as src", "id + 1 as dst")
-    assert [r.seq for r in inc.strided(delta, 31, 3).orderBy("seq").collect()] == [0, 10, 20] and inc.strided(delta, 31).count() == 31
+    assert [(r.seq, r.src) for r in inc.strided(delta, 31, 3).orderBy("seq").collect()] == [(0, 0), (1, 10), (2, 20)] and inc.strided(delta, 31).count() == 31
 
 
 def test_edge_functions(spark):

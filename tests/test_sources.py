@@ -1,9 +1,14 @@
+import os
+
 import pytest
 
+from tests.helpers import closure_components, parts
 from tests.test_graph import DELTA, START, YEARS, pairs
+from tidegraph.__main__ import main
 from tidegraph.operators.incremental import start
 from tidegraph.plans import registry
 from tidegraph.sources import graphs, reports
+from tidegraph.storage import filesystem
 from tidegraph.streaming.maintain import follow
 
 
@@ -58,11 +63,44 @@ def test_runs_and_reports(spark, tmp_path):
     assert [r.value for r in spark.read.text(f"{tmp_path}/h").collect()] == ["2\t1", "10\t1"]
 
 
-def test_stream(spark, tmp_path):
-    spark.createDataFrame(DELTA, "src long, dst long").repartition(2).write.parquet(f"{tmp_path}/edges")
+def test_command_line(spark, tmp_path, capsys):
+    """A relative folder, the plain baseline, and the report beside the data."""
+    put(tmp_path / graphs.NODE_FILE, YEARS.items())
+    put(tmp_path / graphs.EDGE_FILE, START)
+    put(tmp_path / "inc_c30.txt", DELTA)
+    for name, kind in (("dyn_tc_pearce2", "inc"), ("tc_ahrsz", "inc")):
+        main(["-f", os.path.relpath(tmp_path), "-t", kind, "-a", name, "-p", "comb", "-c", "30"])
+        out = capsys.readouterr().out
+        assert "10\t1" in out and ("whole seconds" in out) == (kind == "inc" and name.startswith("dyn"))
+    assert len(list(tmp_path.glob("inc-*.txt"))) == 2
+
+
+def test_component_lists(spark, tmp_path):
+    reports.write_components(spark.createDataFrame([(3, 1), (1, 1), (2, 2)], "id long, component long"), f"{tmp_path}/c")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/c").collect()) == ["1\t1", "1\t3", "2\t2"]
+
+
+def test_paths():
+    assert filesystem("file:///a/b/")[1] == "/a/b" and filesystem("/a/b")[1] == "/a/b" and filesystem("a")[1].endswith("/a")
+
+
+@pytest.mark.parametrize("coupled", [False, True])
+def test_stream(spark, tmp_path, coupled):
+    """Restarts go on from the newest version, with new files or without; a version that isn't complete doesn't count."""
     nodes = spark.createDataFrame(list(YEARS.items()), "id long, year long")
-    kept = follow(spark, f"{tmp_path}/edges", f"{tmp_path}", start(nodes, spark.createDataFrame(START, "src long, dst long")), files_per_batch=1)
+    first = start(nodes, spark.createDataFrame(START, "src long, dst long"), coupled=coupled)
+    run = lambda: follow(spark, f"{tmp_path}/edges", f"{tmp_path}", first, files_per_batch=1)
+    spark.createDataFrame(DELTA[:4], "src long, dst long").repartition(2).write.parquet(f"{tmp_path}/edges")
+    middle = {(v, c) for v, c in closure_components(YEARS, START + DELTA[:4]).items()}
+    assert pairs(run().state().members, "id", "component") == middle
+    (tmp_path / "state" / "v=7").mkdir()
+    assert pairs(run().state().members, "id", "component") == middle
+    spark.createDataFrame(DELTA[4:], "src long, dst long").write.mode("append").parquet(f"{tmp_path}/edges")
+    kept = run()
+    assert pairs(kept.state().members, "id", "component") == {(v, 10 if v > 9 else 0) for v in YEARS}
+    if coupled:
+        assert pairs(kept.state().parts, "id", "part") == set(parts(YEARS, START + DELTA).items())
+    version = kept.version
+    kept.apply(spark.createDataFrame(DELTA, "src long, dst long"), 0)  # a repeated batch changes nothing
     assert pairs(kept.state().members, "id", "component") == {(v, 10 if v > 9 else 0) for v in YEARS}
-    again = spark.read.parquet(f"{tmp_path}/edges").limit(0)
-    kept.apply(again, kept.version)  # a repeated batch writes its version once more
-    assert kept.version == 1
+    assert kept.versions() == [version, version + 1]

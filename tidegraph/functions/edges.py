@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.functions.order import first_rows
+
 #: Fixed value: an edge from an older to a newer node that is so many years apart is dropped when simplifying.
 YEAR_GAP = 10
 
@@ -13,6 +15,14 @@ def without_loops(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst")
 
 
+def listed(nodes: DataFrame, *edges: DataFrame) -> DataFrame:
+    """nodes (id, year) and, with year 0, the ends of edges that aren't among them."""
+    ends = [e.select(F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("id")) for e in edges]
+    more = ends[0] if len(ends) == 1 else ends[0].unionByName(ends[1])
+    own = nodes.select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("year").cast("long"), F.lit(0)).alias("year"))
+    return own.unionByName(more.filter("id is not null").distinct().join(own.select("id"), "id", "left_anti").withColumn("year", F.lit(0).cast("long")))
+
+
 def dated(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges with the years of both ends; a node that isn't listed has year 0."""
     for end, year in (("src", "y_src"), ("dst", "y_dst")):
@@ -40,18 +50,12 @@ def spread(src: F.Column, dst: F.Column) -> F.Column:
     return (src * 7919 + dst * 104729) % 1000003
 
 
-def first_rows(df: DataFrame, most: int, *order: F.Column) -> DataFrame:
-    """The first rows in an order. Each of many parts keeps its own first ones; only those meet in one task."""
-    part = Window.partitionBy(F.pmod(F.xxhash64(*df.columns), F.lit(64))).orderBy(*order)
-    return df.withColumn("nth", F.row_number().over(part)).filter(F.col("nth") <= most).drop("nth").orderBy(*order).limit(most)
-
-
 def degree_sample(nodes: DataFrame, edges: DataFrame, factor: float) -> DataFrame:
     """Edges among the floor(factor n) nodes of the highest degree (ties to smaller ids), at most floor(factor m) of them, by a fixed scattering."""
     ranked = nodes.select("id").join(degree(edges), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
-    top = first_rows(ranked, int(nodes.count() * factor), F.desc("degree"), F.col("id")).select("id")
+    top = first_rows(ranked, int(nodes.count() * factor), "-degree", "id").select("id")
     inner = edges.join(top.select(F.col("id").alias("src")), "src", "left_semi").join(top.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    return first_rows(inner, int(edges.count() * factor), spread(F.col("src"), F.col("dst")), F.col("src"), F.col("dst"))
+    return first_rows(inner.withColumn("spread", spread(F.col("src"), F.col("dst"))), int(edges.count() * factor), "spread", "src", "dst").select("src", "dst")
 
 
 def insertion_type(edges: DataFrame, parts: DataFrame) -> DataFrame:

@@ -1,23 +1,34 @@
-"""Maintenance of components and their order under edge insertions.
+"""Maintenance of components, their order, and their time-coupled parts under edge insertions.
 
-State: each node's component, and each component's rank, all different, such that every edge between components leads
-from a higher to a lower rank. An inserted edge that leads upward spans an interval of ranks; a new cycle climbs by such
-edges only, so it lies inside one merged interval, an island. Each island is solved by itself, and its components take
-its own ranks anew, sinks first. What lies outside stays as it is. Islands are independent and are solved in parallel.
+State: each node's component, and ranks of components. Components in one space have different ranks, and every edge
+inside a space leads from a higher to a lower one. Without time coupling all components are in one space; with it Gm is a
+space, each year of Gsi is one, and Gr has none (see replay).
+
+A batch is inserted as sets. With time coupling, heads of new edges from older to newer nodes, or from Gm, move to Gm
+with all they lead to, above what is there, and heads of new edges within a year join Gsi, above all of their year. Then
+an inserted edge that leads upward spans an interval of its space's ranks; a new cycle climbs by such edges only, so it
+lies inside one merged interval, an island. Each island is solved by itself, and its components take its own ranks anew, sinks
+first. What lies outside stays as it is. Islands are independent and are solved in parallel.
+
+A node that isn't listed has year 0, wherever it turns up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.functions.edges import listed
+from tidegraph.functions.order import numbered
 from tidegraph.operators import kernel
-from tidegraph.operators.scc import condensed, fits, levels, ranks, scc, solved, with_all
+from tidegraph.operators.replay import GM, Counts, Replay
+from tidegraph.operators.scc import condensed, fits, levels, reach, scc, solved, with_all
+from tidegraph.operators.time_coupled import partition, tc_scc
 from tidegraph.storage import saved
 
 #: Checkpoints of the increment in percent of the graph, the increment's share, and the sample of single edges.
@@ -27,180 +38,223 @@ CHECKPOINTS, DELTA_SHARE, SINGLE_EDGES = (0.5, 1, 5, 10, 15, 20, 25, 30), 30, 15
 @dataclass
 class State:
     members: DataFrame  # id, component
-    order: DataFrame  # component, rank
+    order: DataFrame  # component, space, rank
     edges: DataFrame  # src, dst: distinct edges between components
+    parts: DataFrame | None = None  # id, year, part; None without time coupling
+
+
+def space_of() -> F.Column:
+    """The space of a (part, year)."""
+    return F.when(F.col("part") == "gm", F.lit(GM)).when(F.col("part") == "gsi", 2 * F.col("year")).cast("long")
+
+
+def _spaces(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(component, space) of the components that have one."""
+    return members.join(parts, "id").select("component", space_of().alias("space")).filter("space is not null").distinct()
 
 
-def start(nodes: DataFrame, edges: DataFrame) -> State:
+def _inside(edges: DataFrame, spaces: DataFrame) -> DataFrame:
+    """(space, src, dst) of the edges between components that stay in one space."""
+    for end in ("src", "dst"):
+        edges = edges.join(spaces.select(F.col("component").alias(end), F.col("space").alias(f"s_{end}")), end)
+    return edges.filter("s_src = s_dst").select(F.col("s_src").alias("space"), "src", "dst")
+
+
+def ranks_by_space(members: DataFrame, parts: DataFrame, between: DataFrame) -> DataFrame:
+    """(component, space, rank): numbers from 1 in each space, by the longest path to a sink inside it, and the name."""
+    spaces = saved(_spaces(members, parts), "spaces")
+    level = levels(spaces.select("component"), saved(_inside(between, spaces).select("src", "dst"), "inside"))
+    return numbered(level.join(spaces, "component"), "level", "component", name="rank", within="space").select("component", "space", "rank")
+
+
+def start(nodes: DataFrame, edges: DataFrame, *, coupled: bool = False) -> State:
     """The state of a graph."""
+    nodes = saved(listed(nodes, edges), "listed")
+    if coupled:
+        parts = saved(nodes.join(partition(nodes, edges), "id"), "parts")
+        members = saved(with_all(nodes, tc_scc(nodes, edges).select("id", "component")), "members")
+        between = saved(condensed(edges, members), "condensed")
+        return State(members, saved(ranks_by_space(members, parts, between), "order"), between, parts)
     if fits(edges):
         found = saved(solved(edges), "solved")
         members = saved(with_all(nodes, found.select("id", "component")), "members")
         alone = members.join(found.select("id"), "id", "left_anti").select("component", F.lit(0).cast("long").alias("level"))
-        order = ranks(found.select("component", "level").distinct().unionByName(alone))
+        level = found.select("component", "level").distinct().unionByName(alone)
     else:
         members = saved(with_all(nodes, scc(edges)), "members")
-        order = ranks(levels(members, saved(condensed(edges, members), "condensed")))
+        level = levels(members, saved(condensed(edges, members), "condensed"))
+    order = numbered(level, "level", "component", name="rank").select("component", F.lit(GM).cast("long").alias("space"), "rank")
     return State(members, saved(order, "order"), saved(condensed(edges, members), "condensed"))
 
 
-def _between(edges: DataFrame, members: DataFrame, order: DataFrame) -> DataFrame:
-    """(src, dst, r_src, r_dst): distinct edges between components, with ranks."""
-    moved = condensed(edges, members)
-    for end in ("src", "dst"):
-        moved = moved.join(order.select(F.col("component").alias(end), F.col("rank").alias(f"r_{end}")), end)
-    return moved
-
-
 def islands(upward: DataFrame) -> DataFrame:
-    """(lo, hi) of the merged closed intervals [r_src, r_dst]. Ranges of starts are merged apart, knowing how far earlier ranges reach."""
-    parts = int(upward.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = saved(upward.select(F.col("r_src").alias("lo"), F.col("r_dst").alias("hi")).groupBy("lo").agg(F.max("hi").alias("hi")).repartitionByRange(parts, "lo").withColumn("part", F.spark_partition_id()), "spans")
-    reach = spans.groupBy("part").agg(F.max("hi").alias("far"))  # one row a partition
-    before = reach.select("part", F.max("far").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
-    within = Window.partitionBy("part").orderBy("lo")
-    far = F.max("hi").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.join(F.broadcast(before), "part").withColumn("far", F.greatest(far, F.col("earlier")))
-    fresh = (F.col("far").isNull() | (F.col("lo") > F.col("far"))).cast("long")
-    nth = marked.withColumn("begin", F.when(fresh == 1, F.col("lo")))
-    begun = nth.groupBy("part").agg(F.max("begin").alias("last"))
-    last = begun.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("open"))
+    """(space, lo, hi) of the merged closed intervals [r_src, r_dst] of each space. Ranges of starts are merged apart, knowing how far earlier ranges of the space reach."""
+    n = int(upward.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = upward.select("space", F.col("r_src").alias("lo"), F.col("r_dst").alias("hi")).groupBy("space", "lo").agg(F.max("hi").alias("hi"))
+    spans = saved(spans.repartitionByRange(n, "space", "lo").withColumn("part", F.spark_partition_id()), "spans")
+    earlier = Window.partitionBy("space").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range and space
+    before = spans.groupBy("space", "part").agg(F.max("hi").alias("far")).select("space", "part", F.max("far").over(earlier).alias("earlier"))
+    within = Window.partitionBy("space", "part").orderBy("lo")
+    far = F.greatest(F.max("hi").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("earlier"))
+    marked = spans.join(F.broadcast(before), ["space", "part"]).withColumn("far", far)
+    begun = marked.withColumn("begin", F.when(F.col("far").isNull() | (F.col("lo") > F.col("far")), F.col("lo")))
+    last = begun.groupBy("space", "part").agg(F.max("begin").alias("last")).select("space", "part", F.max("last").over(earlier).alias("open"))
     own = F.max("begin").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return nth.join(F.broadcast(last), "part").withColumn("island", F.coalesce(own, F.col("open"))).groupBy("island").agg(F.max("hi").alias("hi")).select(F.col("island").alias("lo"), "hi")
+    found = begun.join(F.broadcast(last), ["space", "part"]).withColumn("island", F.coalesce(own, F.col("open")))
+    return found.groupBy("space", "island").agg(F.max("hi").alias("hi")).select("space", F.col("island").alias("lo"), "hi")
 
 
 def _placed(order: DataFrame, found: DataFrame) -> DataFrame:
-    """(component, rank, island): components whose rank lies in an island. A range join by blocks of ranks, which grow with the ranks."""
+    """(component, space, rank, island): components whose rank lies in an island. A range join by blocks of ranks, which grow with the ranks."""
     width = max(1, (order.agg(F.max("rank")).first()[0] or 1) // 4096)
     blocks = found.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    return order.withColumn("block", F.floor(F.col("rank") / width)).join(blocks, "block").filter(F.col("rank").between(F.col("lo"), F.col("hi"))).select("component", "rank", F.col("lo").alias("island"))
+    at = order.withColumn("block", F.floor(F.col("rank") / width)).join(blocks, ["space", "block"])
+    return at.filter(F.col("rank").between(F.col("lo"), F.col("hi"))).select("component", "space", "rank", F.col("lo").alias("island"))
 
 
 def _solve_island(t: pa.Table) -> pa.Table:
-    """(component, joined, rank) of one island, from rows (island, src, dst, rank): edges, and components as loops with their rank."""
+    """(component, joined, space, rank) of one island, from rows (space, island, src, dst, rank): edges, and components as loops with their rank."""
     src, dst = t.column("src").to_numpy(), t.column("dst").to_numpy()
     s = kernel.solve(src, dst)
     slots = np.sort(t.column("rank").to_numpy()[src == dst])
-    return pa.table({"component": s["id"], "joined": s["component"], "rank": slots[s["rank"].to_numpy() - 1]})
+    space = pa.array(np.full(len(s), t.column("space")[0].as_py(), np.int64))
+    return pa.table({"component": s["id"], "joined": s["component"], "space": space, "rank": slots[s["rank"].to_numpy() - 1]})
+
+
+def _relabelled(edges: DataFrame, moved: DataFrame) -> DataFrame:
+    """edges between components after some (component, joined) joined others."""
+    for end in ("src", "dst"):
+        edges = edges.join(moved.select(F.col("component").alias(end), F.col("joined").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return edges.filter("src <> dst").select("src", "dst").distinct()
+
+
+def _with_new_nodes(state: State, delta: DataFrame) -> State:
+    """The state with nodes that the batch names first: components of their own, above all others, of year 0."""
+    ids = delta.select(F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("id")).filter("id is not null").distinct()
+    new = saved(ids.join(state.members.select("id"), "id", "left_anti"), "new-nodes")
+    if new.isEmpty():
+        return state
+    members = saved(state.members.unionByName(new.select("id", F.col("id").alias("component"))), "members")
+    if state.parts is not None:
+        return State(members, state.order, state.edges, saved(state.parts.unionByName(new.select("id", F.lit(0).cast("long").alias("year"), F.lit("gr").alias("part"))), "parts"))
+    top = state.order.agg(F.max("rank")).first()[0] or 0
+    more = numbered(new.withColumnRenamed("id", "component"), "component", name="rank").select("component", F.lit(GM).cast("long").alias("space"), (F.col("rank") + top).alias("rank"))
+    return State(members, saved(state.order.unionByName(more), "order"), state.edges)
+
+
+def _with_new_parts(state: State, delta: DataFrame, edges: DataFrame) -> tuple[State, int]:
+    """The state with nodes moved to Gm and Gsi by the new edges, ranks included, and how many nodes moved to Gm. edges: old and new, between components."""
+    part = state.parts.select("id", "part", "year")
+    ends = delta
+    for end in ("src", "dst"):
+        ends = ends.join(part.select(F.col("id").alias(end), F.col("part").alias(f"p_{end}"), F.col("year").alias(f"y_{end}")), end)
+    ends = saved(ends.select("src", "dst", "p_src", "p_dst", "y_src", "y_dst"), "ends")
+    to_gm = ends.filter("p_dst <> 'gm' and (p_src = 'gm' or y_src < y_dst)").select(F.col("dst").alias("id"))
+    to_gsi = ends.filter("p_dst = 'gr' and y_src = y_dst").select(F.col("dst").alias("id")).distinct()
+    inner = _spaces(state.members, state.parts).filter(F.col("space") == GM).select(F.col("component").alias("dst"))
+    seeds = state.members.join(to_gm, "id").select(F.col("component").alias("id")).distinct()
+    found = saved(reach(saved(edges.join(inner, "dst", "left_anti").select("src", "dst"), "outside"), seeds).withColumnRenamed("id", "component"), "migrated")
+    moved = saved(state.members.join(found, "component", "left_semi").select("id"), "moved")
+    now = state.parts.join(moved.withColumn("to", F.lit("gm")), "id", "left").join(to_gsi.withColumn("or", F.lit("gsi")), "id", "left")
+    parts = saved(now.select("id", "year", F.coalesce("to", "or", "part").alias("part")), "parts")
+    # what moved stands above all of Gm, in an order of its own; its old edges have no cycle, and new ones are met in islands
+    level = levels(found, saved(state.edges.join(found.withColumnRenamed("component", "src"), "src", "left_semi").join(found.withColumnRenamed("component", "dst"), "dst", "left_semi"), "own"))
+    fresh = to_gsi.join(moved, "id", "left_anti").join(state.parts, "id").select(F.col("id").alias("component"), (2 * F.col("year")).alias("space"), F.lit(0).cast("long").alias("level"))
+    more = numbered(level.withColumn("space", F.lit(GM).cast("long")).unionByName(fresh), "level", "component", name="rank", within="space")
+    tops = state.order.groupBy("space").agg(F.max("rank").alias("top"))  # one row a space
+    more = more.join(F.broadcast(tops), "space", "left").select("component", "space", (F.col("rank") + F.coalesce("top", F.lit(0))).alias("rank"))
+    order = saved(state.order.join(found, "component", "left_anti").unionByName(more), "order")
+    return State(state.members, order, state.edges, parts), moved.count()
 
 
 def apply_batch(state: State, delta: DataFrame) -> tuple[State, dict[str, int]]:
-    """The state with the edges (src, dst) inserted, and how many edges were new between components, led upward, and how many components lay in islands."""
-    inserted = saved(_between(delta, state.members, state.order), "inserted")
-    edges = saved(state.edges.unionByName(inserted.select("src", "dst")).distinct(), "edges")
-    upward = inserted.filter("r_src < r_dst")
-    counts = {"inserted": inserted.count(), "invalid": upward.count(), "affected": 0}
+    """The state with the edges (src, dst) inserted, and how many edges were new between components, led upward, how many components lay in islands, and how many nodes moved to Gm."""
+    state = _with_new_nodes(state, delta)
+    delta = delta.filter("src <> dst")
+    inserted = saved(condensed(delta.select("src", "dst"), state.members), "inserted")
+    edges = saved(state.edges.unionByName(inserted).distinct(), "edges")
+    counts = {"inserted": inserted.count(), "invalid": 0, "affected": 0, "migrated": 0}
+    if state.parts is not None:
+        state, counts["migrated"] = _with_new_parts(state, delta, edges)
+    upward = _inside(inserted, state.order)
+    for end in ("src", "dst"):
+        upward = upward.join(state.order.select(F.col("component").alias(end), F.col("rank").alias(f"r_{end}")), end)
+    upward = saved(upward.filter("r_src < r_dst").select("space", "r_src", "r_dst"), "upward")
+    counts["invalid"] = upward.count()
     if not counts["invalid"]:
-        return State(state.members, state.order, edges), counts
+        return State(state.members, state.order, edges, state.parts), counts
     inside = saved(_placed(state.order, islands(upward)), "inside")
     counts["affected"] = inside.count()
-    of = lambda end: inside.select(F.col("component").alias(end), F.col("island").alias(f"i_{end}"))
-    within = saved(edges.join(of("src"), "src").join(of("dst"), "dst").filter("i_src = i_dst").select(F.col("i_src").alias("island"), "src", "dst"), "within")
-    if within.groupBy("island").count().filter(F.col("count") > kernel.LOCAL_EDGES).isEmpty():
-        rows = within.withColumn("rank", F.lit(0).cast("long")).unionByName(inside.select("island", F.col("component").alias("src"), F.col("component").alias("dst"), "rank"))
-        new = rows.groupBy("island").applyInArrow(_solve_island, "component long, joined long, rank long")
+    both = edges
+    for end in ("src", "dst"):
+        both = both.join(inside.select(F.col("component").alias(end), F.col("island").alias(f"i_{end}"), F.col("space").alias(f"s_{end}")), end)
+    within = saved(both.filter("i_src = i_dst and s_src = s_dst").select(F.col("s_src").alias("space"), F.col("i_src").alias("island"), "src", "dst"), "within")
+    rows = within.withColumn("rank", F.lit(0).cast("long")).unionByName(inside.select("space", "island", F.col("component").alias("src"), F.col("component").alias("dst"), "rank"))
+    if rows.groupBy("space", "island").count().filter(F.col("count") > kernel.LOCAL_ROWS).isEmpty():
+        new = rows.groupBy("space", "island").applyInArrow(_solve_island, "component long, joined long, space long, rank long")
     else:
         joined = saved(with_all(inside.select(F.col("component").alias("id")), scc(within)), "joined")
-        level = levels(joined, condensed(within, joined)).join(inside.select("component", "island"), "component")
-        turn = F.row_number().over(Window.partitionBy("island").orderBy("level", "component"))
-        slot = F.row_number().over(Window.partitionBy("island").orderBy("rank"))
-        dealt = level.withColumn("k", turn).join(inside.withColumn("k", slot).select("island", "k", "rank"), ["island", "k"])
-        new = joined.select(F.col("id").alias("component"), F.col("component").alias("joined")).join(dealt.select(F.col("component").alias("joined"), "rank"), "joined").select("component", "joined", "rank")
+        tag = inside.withColumn("island_", F.concat_ws(":", "space", "island")).select("component", "space", "island_", "rank")
+        level = levels(joined, condensed(within, joined)).join(tag.drop("rank"), "component")
+        turn = numbered(level, "level", "component", name="k", within="island_")
+        slot = numbered(tag.select("island_", "rank"), "rank", name="k", within="island_")
+        dealt = turn.join(slot, ["island_", "k"])
+        new = joined.select(F.col("id").alias("component"), F.col("component").alias("joined")).join(dealt.select(F.col("component").alias("joined"), "space", "rank"), "joined").select("component", "joined", "space", "rank")
     new = saved(new, "new")
-    order = state.order.join(new.select("component"), "component", "left_anti").unionByName(new.select(F.col("joined").alias("component"), "rank").distinct())
-    moved = new.select("component", "joined")
+    order = state.order.join(new.select("component"), "component", "left_anti").unionByName(new.select(F.col("joined").alias("component"), "space", "rank").distinct())
+    moved = new.select("component", "joined").filter("component <> joined")
     members = state.members.join(moved, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
-    for end in ("src", "dst"):
-        edges = edges.join(moved.select(F.col("component").alias(end), F.col("joined").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-    return State(saved(members, "members"), saved(order, "order"), saved(edges.filter("src <> dst").distinct().select("src", "dst"), "edges")), counts
+    return State(saved(members, "members"), saved(order, "order"), saved(_relabelled(edges, moved), "edges"), state.parts), counts
 
 
 def violations(state: State) -> DataFrame:
-    """(violations): edges that don't lead downward, and ranks that are used twice."""
-    wrong = state.edges.join(state.order.select(F.col("component").alias("src"), F.col("rank").alias("a")), "src").join(state.order.select(F.col("component").alias("dst"), F.col("rank").alias("b")), "dst").filter("a <= b")
-    twice = state.order.groupBy("rank").count().filter("count > 1")
+    """(violations): edges inside a space that don't lead downward, and ranks of a space that are used twice."""
+    inside = _inside(state.edges, state.order)
+    wrong = inside.join(state.order.select(F.col("component").alias("src"), F.col("rank").alias("a")), "src").join(state.order.select(F.col("component").alias("dst"), F.col("rank").alias("b")), "dst").filter("a <= b")
+    twice = state.order.groupBy("space", "rank").count().filter("count > 1")
     return wrong.select(F.lit(1).alias("x")).unionByName(twice.select(F.lit(1).alias("x"))).agg(F.count("x").alias("violations"))
 
 
-class Replay:
-    """apply_batch on arrays, for graphs that fit one task: many small batches cost no jobs of their own."""
-
-    def __init__(self, ids: np.ndarray, component: np.ndarray, rank: np.ndarray, src: np.ndarray, dst: np.ndarray):
-        self.ids = ids
-        self.of = np.searchsorted(ids, component)
-        self.rank = dict(zip(self.of.tolist(), rank.tolist(), strict=True))
-        self.at = {r: c for c, r in self.rank.items()}
-        self.members: dict[int, list[int]] = {}
-        for v, c in enumerate(self.of.tolist()):
-            self.members.setdefault(c, []).append(v)
-        self.out: dict[int, list[int]] = {}
-        for s, t in zip(np.searchsorted(ids, src).tolist(), np.searchsorted(ids, dst).tolist(), strict=True):
-            self.out.setdefault(s, []).append(t)
-
-    def insert(self, src: np.ndarray, dst: np.ndarray) -> tuple[int, int, int]:
-        """Inserted, invalid and affected of one batch."""
-        inserted, spans = 0, []
-        for s, t in zip(np.searchsorted(self.ids, src).tolist(), np.searchsorted(self.ids, dst).tolist(), strict=True):
-            a, b = int(self.of[s]), int(self.of[t])
-            if a != b:
-                inserted += 1
-                self.out.setdefault(s, []).append(t)
-                if self.rank[a] < self.rank[b]:
-                    spans.append((self.rank[a], self.rank[b]))
-        merged: list[list[int]] = []
-        for lo, hi in sorted(spans):
-            if merged and lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        return inserted, len(spans), sum(self._island(lo, hi) for lo, hi in merged)
-
-    def _island(self, lo: int, hi: int) -> int:
-        slots = [r for r in range(lo, hi + 1) if r in self.at]
-        inside = {self.at[r]: k for k, r in enumerate(slots)}
-        names = list(inside)
-        targets = [[k for v in self.members[c] for t in self.out.get(v, ()) if (k := inside.get(int(self.of[t]))) is not None] for c in names]
-        starts = np.cumsum([0, *map(len, targets)]).tolist()
-        groups = kernel.strong(len(names), starts, [k for x in targets for k in x])
-        for r in slots:
-            del self.at[r]
-        for r, g in zip(slots, groups, strict=False):
-            old = [names[k] for k in g]
-            keep = min(old)
-            for c in old:
-                del self.rank[c]
-                if c != keep:
-                    moved = self.members.pop(c)
-                    self.of[moved] = keep
-                    self.members[keep] += moved
-            self.rank[keep], self.at[r] = r, keep
-        return len(slots)
+COUNTED = ", ".join(f"{f.name} {'double' if f.name.endswith('seconds') else 'long'}" for f in fields(Counts))
 
 
 def replay(state: State, delta: DataFrame, batch: int, cuts: list[int]) -> DataFrame:
-    """Insert (seq, src, dst) in order, batch by batch, up to each cut, inside one task: (cut, id, component, inserted, invalid, affected), the last three of rows whose id is null."""
-    members = state.members.join(state.order, "component").select(F.lit(0).alias("kind"), F.col("id").alias("a"), F.col("component").alias("b"), F.col("rank").alias("c"))
-    rows = members.unionByName(state.edges.select(F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).cast("long").alias("c"))).unionByName(delta.select(F.lit(2).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("seq").cast("long").alias("c")))
+    """Insert (seq, src, dst) in order, batch by batch, up to each cut, inside one task: (cut, id, component, part, and the counts of Counts, which rows without an id have)."""
+    coupled = state.parts is not None
+    long = lambda x: x.cast("long")
+    members = state.members.join(state.order, "component", "left")
+    members = members.join(state.parts.select("id", "year"), "id", "left") if coupled else members.withColumn("year", F.lit(0).cast("long"))
+    none = [F.lit(None).cast("long").alias(x) for x in ("d", "e")]
+    rows = members.select(F.lit(0).alias("kind"), F.col("id").alias("a"), F.col("component").alias("b"), F.col("rank").alias("c"), F.col("space").alias("d"), long(F.col("year")).alias("e"))
+    rows = rows.unionByName(state.edges.select(F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).cast("long").alias("c"), *none))
+    rows = rows.unionByName(delta.select(F.lit(2).alias("kind"), long(F.col("src")).alias("a"), long(F.col("dst")).alias("b"), long(F.col("seq")).alias("c"), *none))
 
     def run(t: pa.Table) -> pa.Table:
-        kind, a, b, c = (t.column(k).to_numpy() for k in range(4))
+        kind, a, b = (t.column(k).to_numpy() for k in range(3))
+        c = t.column(3).fill_null(0).to_numpy()
         node = np.flatnonzero(kind == 0)
         node = node[np.argsort(a[node])]
         old, new = kind == 1, np.flatnonzero(kind == 2)
         new = new[np.argsort(c[new], kind="stable")]
-        r = Replay(a[node], b[node], c[node], a[old], b[old])
+        space = t.column(4).take(pa.array(node)).to_pylist()
+        r = Replay(a[node], b[node], space, c[node].tolist(), t.column(5).take(pa.array(node)).fill_null(0).to_numpy(), a[old], b[old], coupled=coupled)
         out, at = [], 0
         for n, cut in enumerate(cuts):
-            sums = np.zeros(3, np.int64)
+            r.counts = Counts()
             while at < min(cut, len(new)):
                 part = new[at : min(at + batch, cut)]
-                sums += r.insert(a[part], b[part])
+                r.insert(a[part].tolist(), b[part].tolist())
                 at += len(part)
-            out.append(pa.table({"cut": np.full(len(node), n), "id": r.ids, "component": r.ids[r.of], "inserted": np.zeros(len(node), np.int64), "invalid": np.zeros(len(node), np.int64), "affected": np.zeros(len(node), np.int64)}))
-            out.append(pa.table({"cut": np.array([n]), "id": pa.array([None], pa.int64()), "component": pa.array([None], pa.int64()), "inserted": sums[:1], "invalid": sums[1:2], "affected": sums[2:]}))
+            m = len(r.ids)
+            parts = [r.part(v) for v in range(m)] if coupled else [None] * m
+            own = {"cut": pa.array([n] * m, pa.int64()), "id": pa.array(r.ids, pa.int64()), "component": pa.array([r.name[x] for x in r.of], pa.int64()), "part": pa.array(parts, pa.string())}
+            empty = {"cut": pa.array([n], pa.int64()), "id": pa.nulls(1, pa.int64()), "component": pa.nulls(1, pa.int64()), "part": pa.nulls(1, pa.string())}
+            kinds = [pa.float64() if f.name.endswith("seconds") else pa.int64() for f in fields(Counts)]
+            out.append(pa.table(own | {f.name: pa.nulls(m, k) for f, k in zip(fields(Counts), kinds, strict=True)}))
+            out.append(pa.table(empty | {f.name: pa.array([x], k) for f, x, k in zip(fields(Counts), r.counts.as_tuple(), kinds, strict=True)}))
         return pa.concat_tables(out)
 
-    return kernel.in_one_task(rows, run, "cut long, id long, component long, inserted long, invalid long, affected long")
+    return kernel.in_one_task(rows, run, f"cut long, id long, component long, part string, {COUNTED}")
 
 
 def checkpoints(n: int, percentage: float) -> list[int]:
@@ -209,26 +263,29 @@ def checkpoints(n: int, percentage: float) -> list[int]:
 
 
 def strided(delta: DataFrame, n: int, most: int = SINGLE_EDGES) -> DataFrame:
-    """Every k-th edge of (seq, src, dst), for a sample of single insertions."""
-    return delta.filter((F.col("seq") % max(1, (n - 1) // most) == 0) & (F.col("seq") <= max(1, (n - 1) // most) * (most - 1)))
+    """Every k-th edge of (seq, src, dst), for a sample of single insertions, numbered anew."""
+    step = max(1, (n - 1) // most)
+    return delta.filter((F.col("seq") % step == 0) & (F.col("seq") <= step * (most - 1))).withColumn("seq", F.floor(F.col("seq") / step).cast("long"))
 
 
-def maintained(nodes: DataFrame, edges: DataFrame, delta: DataFrame, *, batch: int, cuts: list[int]) -> DataFrame:
-    """As replay, whatever the size: inside one task where graph and increment fit it, else batch by batch."""
-    state = start(nodes, edges)
-    if fits(edges.select("src", "dst").unionByName(delta.select("src", "dst"))):
+def maintained(nodes: DataFrame, edges: DataFrame, delta: DataFrame, *, batch: int, cuts: list[int], coupled: bool = False) -> DataFrame:
+    """As replay, whatever the size: inside one task where nodes, graph and increment fit it. A larger graph takes all edges up to a cut as one set; after each cut, components and parts are the same."""
+    nodes = saved(listed(nodes, edges, delta), "listed")
+    state = start(nodes, edges, coupled=coupled)
+    if fits(nodes, edges, delta):
         return saved(replay(state, delta, batch, cuts), "replay")
     out, at = None, 0
     for n, cut in enumerate(cuts):
-        sums = {"inserted": 0, "invalid": 0, "affected": 0}
-        while at < cut:
-            to = min(at + batch, cut)
-            state, counts = apply_batch(state, delta.filter((F.col("seq") >= at) & (F.col("seq") < to)))
-            sums, at = {k: sums[k] + counts[k] for k in sums}, to
-        zero = [F.lit(0).cast("long").alias(k) for k in sums]
-        own = state.members.select(F.lit(n).cast("long").alias("cut"), "id", "component", *zero)
-        metrics = own.sparkSession.createDataFrame([(n, None, None, *sums.values())], own.schema)
-        out = own.unionByName(metrics) if out is None else out.unionByName(own).unionByName(metrics)
+        counts = {f.name: None for f in fields(Counts)}
+        if cut > at:
+            state, found = apply_batch(state, delta.filter((F.col("seq") >= at) & (F.col("seq") < cut)))
+            counts, at = counts | found, cut
+        part = state.parts.select("id", "part") if coupled else state.members.select("id", F.lit(None).cast("string").alias("part"))
+        kinds = [(f.name, "double" if f.name.endswith("seconds") else "long") for f in fields(Counts)]
+        own = state.members.join(part, "id").select(F.lit(n).cast("long").alias("cut"), "id", "component", "part", *[F.lit(None).cast(k).alias(name) for name, k in kinds])
+        metrics = own.sparkSession.createDataFrame([(n, None, None, None, *counts.values())], own.schema)
+        both = saved(own.unionByName(metrics), "cut")
+        out = both if out is None else out.unionByName(both)
     return out
 
 

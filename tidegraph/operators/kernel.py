@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Edges up to which a graph is solved inside one task.
-LOCAL_EDGES = 2_000_000
+#: Rows, nodes and edges together, up to which a graph is solved inside one task.
+LOCAL_ROWS = 2_000_000
 
 
 def in_one_task(df: DataFrame, solve: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.operators import kernel
-from tidegraph.storage import saved
+from tidegraph.storage import fresh_path, saved
+
+#: Hops after which reach looks at how many edges are left.
+REACH_ROUNDS = 4
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").cast("long"), F.col("dst").cast("long"))
 
 
-def fits(edges: DataFrame) -> bool:
-    """Whether the edges may be solved in one task."""
-    return edges.limit(kernel.LOCAL_EDGES + 1).count() <= kernel.LOCAL_EDGES
+def fits(*rows: DataFrame) -> bool:
+    """Whether so many rows may go to one task; all that are sent there are counted."""
+    return sum(df.count() for df in rows) <= kernel.LOCAL_ROWS
 
 
 def solved(edges: DataFrame) -> DataFrame:
@@ -47,23 +50,40 @@ def trimmed(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return edges
 
 
-def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(id): seeds (id), and what paths lead to from them."""
-    if fits(edges):
-        both = _pairs(edges).unionByName(seeds.select(F.col("id").cast("long").alias("src"), F.lit(None).cast("long").alias("dst")))
+def _reached_in_one_task(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    rows = _pairs(edges).withColumn("seed", F.lit(False)).unionByName(seeds.select(F.col("id").cast("long").alias("src"), F.col("id").cast("long").alias("dst")).withColumn("seed", F.lit(True)))
+
+    def run(t: pa.Table) -> pa.Table:
+        s, d, seed = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy()
+        return pa.table({"id": kernel.reached(s[~seed], d[~seed], s[seed])})
 
-        def run(t: pa.Table) -> pa.Table:
-            s, d = t.column(0).to_numpy(), t.column(1).to_pandas().to_numpy()
-            edge = ~np.isnan(d.astype(float))
-            return pa.table({"id": kernel.reached(s[edge], d[edge].astype(np.int64), s[~edge])})
+    return kernel.in_one_task(rows, run, "id long")
 
-        return kernel.in_one_task(both, run, "id long")
-    seen = front = saved(seeds.select("id").distinct(), "front")
+
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id): seeds (id), and what paths lead to from them.
+
+    A large graph takes a hop a round; a round writes its front only, and every few rounds the edges into what was
+    reached go, until the rest fits one task.
+    """
+    seeds = seeds.select(F.col("id").cast("long").alias("id")).distinct()
+    if fits(edges, seeds):
+        return _reached_in_one_task(edges, seeds)
+    spark, folder = edges.sparkSession, fresh_path(edges.sparkSession, "reached")
+    read = lambda: spark.read.schema("id long").option("recursiveFileLookup", True).parquet(folder)
+    left, k = _pairs(edges), 0
+    seeds.write.parquet(f"{folder}/0")
+    front = spark.read.schema("id long").parquet(f"{folder}/0")
     while not front.isEmpty():
-        ahead = edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        front = saved(ahead.join(seen, "id", "left_anti"), "front")
-        seen = saved(seen.unionByName(front), "seen")
-    return seen
+        if k % REACH_ROUNDS == REACH_ROUNDS - 1:
+            left = saved(left.join(read().withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "left")
+            if fits(left, front):
+                return read().unionByName(_reached_in_one_task(left, front).join(front, "id", "left_anti"))
+        k += 1
+        ahead = left.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
+        ahead.join(read(), "id", "left_anti").write.parquet(f"{folder}/{k}")
+        front = spark.read.schema("id long").parquet(f"{folder}/{k}")
+    return read()
 
 
 def scc_distributed(edges: DataFrame) -> DataFrame:
@@ -110,31 +130,28 @@ def component_degrees(edges: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def levels(components: DataFrame, between: DataFrame) -> DataFrame:
-    """(component, level): the longest path of each component to a sink of the condensed graph."""
+    """(component, level): the longest path of each component to a sink of the condensed graph.
+
+    A large graph loses its sinks a round; a round writes its own sinks only, and what is left goes to one task as soon
+    as it fits.
+    """
     names = components.select("component").distinct()
-    if fits(between):
-        found = solved(between).select(F.col("id").alias("component"), "level")
-        return names.join(found, "component", "left").select("component", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
-    done, left, left_names, k = None, between, names, 0
-    while not left_names.isEmpty():
+    spark, folder, k, left = between.sparkSession, fresh_path(between.sparkSession, "levels"), 0, between.select("src", "dst")
+    while not fits(left):
         busy = left.select(F.col("src").alias("component")).distinct()
-        sinks = left_names.join(busy, "component", "left_anti").withColumn("level", F.lit(k).cast("long"))
-        done = saved(sinks if done is None else done.unionByName(sinks), "levels")
-        left_names = saved(left_names.join(done.select("component"), "component", "left_anti"), "names")
-        left, k = saved(left.join(done.select(F.col("component").alias("dst")), "dst", "left_anti"), "left"), k + 1
-    return done if done is not None else names.withColumn("level", F.lit(0).cast("long"))
-
-
-def ranks(level: DataFrame) -> DataFrame:
-    """(component, rank): numbers from 1 in the order of level and component. Ranges are numbered apart, and moved by what lies before them."""
-    from pyspark.sql import Window
-
-    parts = int(level.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = saved(level.repartitionByRange(parts, "level", "component").withColumn("part", F.spark_partition_id()), "ranges")
-    counts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
-    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("level", "component"))
-    return ordered.withColumn("nth", nth).join(F.broadcast(before), "part").select("component", (F.col("before") + F.col("nth")).alias("rank"))
+        held = left.select(F.col("dst").alias("component")).distinct()
+        held.join(busy, "component", "left_anti").withColumn("level", F.lit(k).cast("long")).write.parquet(f"{folder}/{k}")
+        sinks = spark.read.schema("component long, level long").parquet(f"{folder}/{k}")
+        # who loses its last edge now is a sink of the next round
+        before, left = left, saved(left.join(sinks.select(F.col("component").alias("dst")), "dst", "left_anti").select("src", "dst"), "left")
+        freed = before.select(F.col("src").alias("component")).distinct().join(left.select(F.col("src").alias("component")).distinct(), "component", "left_anti")
+        freed = freed.join(left.select(F.col("dst").alias("component")).distinct(), "component", "left_anti")  # those that others lead to are met as sinks
+        freed.withColumn("level", F.lit(k + 1).cast("long")).write.parquet(f"{folder}/{k}-freed")
+        k += 1
+    found = solved(left).select(F.col("id").alias("component"), (F.col("level") + k).alias("level"))
+    if k:
+        found = found.unionByName(spark.read.schema("component long, level long").option("recursiveFileLookup", True).parquet(folder))
+    return names.join(found, "component", "left").select("component", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
 
 
 def histogram(components: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.functions.edges import dated, edge_class
+from tidegraph.functions.edges import dated, edge_class, listed
 from tidegraph.operators import kernel
 from tidegraph.operators.scc import fits, reach, scc, solved, with_all
 from tidegraph.storage import saved
@@ -34,7 +34,8 @@ def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def partition(nodes: DataFrame, edges: DataFrame, direction: str = "forward") -> DataFrame:
-    """(id, part) of all nodes: gm, gsi or gr."""
+    """(id, part) of all nodes, also those that aren't listed: gm, gsi or gr."""
+    nodes = listed(nodes, edges)
     classed = saved(classes(nodes, edges).select("src", "dst", "edge_class", "y_dst"), "classed")
     inner = saved(gm(classed, direction), "gm")
     parts = inner.withColumn("part", F.lit("gm")).unionByName(gsi(classed, inner, direction).withColumn("part", F.lit("gsi")))
@@ -52,7 +53,7 @@ def tc_scc(nodes: DataFrame, edges: DataFrame, direction: str = "forward") -> Da
     years = dates.filter("p_src = 'gsi' and p_dst = 'gsi' and y_src = y_dst").select("src", "dst", F.col("y_src").alias("year"))
     if fits(years):
         found = solved(years).select("id", "component")
-    elif years.groupBy("year").count().filter(F.col("count") > kernel.LOCAL_EDGES).isEmpty():
+    elif years.groupBy("year").count().filter(F.col("count") > kernel.LOCAL_ROWS).isEmpty():
         found = years.groupBy("year").applyInArrow(lambda t: kernel.solve(t.column("src").to_numpy(), t.column("dst").to_numpy()).select(["id", "component"]), "id long, component long")
     else:
         found = scc(years)

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions import edges as fe
+from tidegraph.functions.order import numbered
 from tidegraph.operators import incremental as inc
 from tidegraph.operators import scc as ops
 from tidegraph.operators import time_coupled as tc
 from tidegraph.plans import registry
-from tidegraph.sources import graphs
+from tidegraph.sources import graphs, reports
 from tidegraph.storage import fresh_path
 from tidegraph.streaming.maintain import follow
 
@@ -227,7 +228,19 @@ def topo_level(spark, sf_dir):
 @query(f"{_LEVEL} SELECT component, row_number() OVER (ORDER BY level, component) AS rank FROM lvl")
 def topo_rank(spark, sf_dir):
     _, edges, members = _members(spark, sf_dir)
-    return ops.ranks(ops.levels(members, ops.condensed(edges, members)))
+    return numbered(ops.levels(members, ops.condensed(edges, members)), "level", "component", name="rank").select("component", "rank")
+
+
+_SPACE = "space AS (SELECT id, CASE part WHEN 'gm' THEN CAST(-1 AS BIGINT) WHEN 'gsi' THEN 2 * y END AS space FROM parts JOIN node USING (id))"
+
+
+@query(f"""{_BASE}, {_parts()}, {_closure()}, {_SPACE}, placed AS (SELECT DISTINCT component, space FROM comp JOIN space USING (id) WHERE space IS NOT NULL),
+inner_edge AS (SELECT DISTINCT a.component AS s, b.component AS t FROM edge e JOIN comp a ON a.id = e.s JOIN comp b ON b.id = e.t JOIN placed p ON p.component = a.component JOIN placed q ON q.component = b.component WHERE a.component <> b.component AND p.space = q.space),
+lv(c, d) AS (SELECT component, 0 FROM placed UNION SELECT ie.s, lv.d + 1 FROM lv JOIN inner_edge ie ON ie.t = lv.c), lvl AS (SELECT c AS component, max(d) AS level FROM lv GROUP BY c)
+SELECT component, space, row_number() OVER (PARTITION BY space ORDER BY level, component) AS rank FROM lvl JOIN placed USING (component)""")
+def topo_rank_by_part(spark, sf_dir):
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    return inc.start(nodes, edges, coupled=True).order
 
 
 _G0 = "start AS (SELECT s, t FROM edge WHERE b >= 3)"
@@ -260,6 +273,17 @@ def bat_members_distributed(spark, sf_dir):
     return inc.apply_batch(inc.start(nodes, start), delta)[0].members
 
 
+@query(f"{_BASE}, {_parts()}, {_closure()} SELECT id, component, part FROM comp JOIN parts USING (id)")
+def bat_members_distributed_tc(spark, sf_dir):
+    """Two batches with time coupling, as sets: components and parts."""
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    state, n = inc.start(nodes, start, coupled=True), delta.count()
+    for part in inc.batches(delta, -(-n // 2) or 1, n):
+        state, _ = inc.apply_batch(state, part)
+    return state.members.join(state.parts.select("id", "part"), "id")
+
+
 def _cut(n: int, percent: float) -> str:
     """Components after a share of the increment."""
     size = f"(SELECT count(*) FROM delta) * CAST({percent} AS DOUBLE) / 30"
@@ -288,12 +312,40 @@ def inc_order_invariant(spark, sf_dir):
     return inc.violations(state)
 
 
+def _cut_parts(n: int, percent: float) -> str:
+    size = f"(SELECT count(*) FROM delta) * CAST({percent} AS DOUBLE) / 30"
+    return f"cut{n} AS (SELECT s, t FROM edge WHERE b >= 3 UNION ALL SELECT s, t FROM delta WHERE seq < floor({size})), {_parts(f'cut{n}', str(n))}"
+
+
+@query(f"{_BASE}, {_DELTA}, " + ", ".join(_cut_parts(n, p) for n, p in enumerate(inc.CHECKPOINTS)) + " " + " UNION ALL ".join(f"SELECT CAST({n} AS BIGINT) AS cut, id, part FROM parts{n}" for n in range(len(inc.CHECKPOINTS))))
+def inc_parts(spark, sf_dir):
+    """Parts after each checkpoint, kept up edge by edge."""
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    rows = inc.maintained(nodes, start, delta, batch=1, cuts=inc.checkpoints(delta.count(), -1), coupled=True)
+    return rows.filter("id is not null").select("cut", "id", "part")
+
+
+@query(f"""{_BASE}, {_G0}, {_closure('start')}, cedge AS (SELECT DISTINCT a.component AS s, b.component AS t FROM start e JOIN comp a ON a.id = e.s JOIN comp b ON b.id = e.t WHERE a.component <> b.component),
+lv(c, d) AS (SELECT DISTINCT component, 0 FROM comp UNION SELECT ce.s, lv.d + 1 FROM lv JOIN cedge ce ON ce.t = lv.c), lvl AS (SELECT c AS component, max(d) AS level FROM lv GROUP BY c),
+ranked AS (SELECT id, component, rank FROM comp JOIN (SELECT component, row_number() OVER (ORDER BY level, component) AS rank FROM lvl) USING (component))
+SELECT count(*) FILTER (a.component <> b.component) AS inserted, count(*) FILTER (a.component <> b.component AND a.rank < b.rank) AS unsettled FROM edge e JOIN ranked a ON a.id = e.s JOIN ranked b ON b.id = e.t WHERE e.b < 3""")
+def inc_metrics(spark, sf_dir):
+    """The increment as one batch: edges between components, and those of them that lead upward in the first order."""
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    n = delta.count()
+    return inc.maintained(nodes, start, delta, batch=max(n, 1), cuts=[n]).filter("id is null").select("inserted", "unsettled")
+
+
 @query(f"{_BASE}, {_G0}, {_parts('start', '0')}, {_parts()} SELECT a.part AS part_before, b.part AS part_after, count(*) AS cnt FROM parts0 a JOIN parts b USING (id) GROUP BY 1, 2")
 def inc_partition_migration(spark, sf_dir):
+    """How nodes move between parts, as one set of edges comes in."""
     nodes, _, edges = graphs.local_graph(spark, sf_dir)
-    start, _ = graphs.split_increment(edges)
-    before, after = (tc.partition(nodes, e).withColumnRenamed("part", name) for e, name in ((start, "part_before"), (edges, "part_after")))
-    return before.join(after, "id").groupBy("part_before", "part_after").agg(F.count(F.lit(1)).alias("cnt"))
+    start, delta = graphs.split_increment(edges)
+    state = inc.start(nodes, start, coupled=True)
+    after = inc.apply_batch(state, delta)[0].parts.select("id", F.col("part").alias("part_after"))
+    return state.parts.select("id", F.col("part").alias("part_before")).join(after, "id").groupBy("part_before", "part_after").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 @query(f"{_ALL} SELECT id, component FROM comp")
@@ -303,3 +355,68 @@ def stream_members(spark, sf_dir):
     folder = fresh_path(spark, "stream")
     delta.select("src", "dst").repartition(2).write.parquet(f"{folder}/edges")
     return follow(spark, f"{folder}/edges", folder, inc.start(nodes, start)).state().members
+
+
+@query(f"{_ALL} SELECT id, component FROM comp")
+def stream_members_restarted(spark, sf_dir):
+    """A stream that ends after half of the files, goes on with the others, and finds none the third time."""
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    folder, n = fresh_path(spark, "stream"), delta.count()
+    state = inc.start(nodes, start)
+    delta.filter(F.col("seq") < n // 2).select("src", "dst").write.parquet(f"{folder}/edges")
+    follow(spark, f"{folder}/edges", folder, state)
+    delta.filter(F.col("seq") >= n // 2).select("src", "dst").write.mode("append").parquet(f"{folder}/edges")
+    follow(spark, f"{folder}/edges", folder, state)
+    return follow(spark, f"{folder}/edges", folder, state).state().members
+
+
+@query(f"{_BASE} SELECT id, y AS year FROM node")
+def tsv_nodes(spark, sf_dir):
+    """Nodes, written as tab-separated lines and read back."""
+    path = f"{fresh_path(spark, 'tsv')}/{graphs.NODE_FILE}"
+    graphs.write_pairs(graphs.local_graph(spark, sf_dir)[0], path)
+    return graphs.read_nodes(spark, path)
+
+
+@query(f"{_BASE} SELECT e.s AS src, e.t AS dst FROM edge e JOIN node a ON a.id = e.s JOIN node b ON b.id = e.t WHERE NOT (b.y - a.y >= 10)")
+def tsv_edges(spark, sf_dir):
+    """Edges, written as tab-separated lines and read back, less loops and those that simplifying drops."""
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    path = f"{fresh_path(spark, 'tsv')}/{graphs.EDGE_FILE}"
+    graphs.write_pairs(_pairs(edges).unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))), path)
+    return graphs.read_edges(spark, path, nodes, simplify=True)
+
+
+@query(f"{_BASE}, {_DELTA} SELECT CAST(seq AS BIGINT) AS seq, s AS src, t AS dst FROM delta")
+def tsv_increment(spark, sf_dir):
+    """The increment, written in its order and numbered anew as it is read."""
+    _, delta = graphs.split_increment(graphs.local_graph(spark, sf_dir)[2])
+    path = f"{fresh_path(spark, 'tsv')}/{graphs.increment_name('', 'comb')}"
+    graphs.write_pairs(delta, path, "seq")
+    return graphs.read_increment(spark, path)
+
+
+@query(f"{_ALL} {_HISTOGRAM.format('comp')}")
+def histogram_sink(spark, sf_dir):
+    """The histogram, written as text and read back."""
+    path = fresh_path(spark, "histogram")
+    reports.write_histogram(ops.histogram(_members(spark, sf_dir)[2]), path)
+    return spark.read.option("sep", "\t").schema("size long, cnt long").csv(path)
+
+
+@query(f"{_BASE}, {_DATED} SELECT s AS src, t AS dst FROM dated WHERE edge_class = 'unorder'")
+def unorder_dump(spark, sf_dir):
+    """Edges from older to newer nodes, written as text and read back."""
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    path = fresh_path(spark, "unordered")
+    reports.write_unordered(tc.classes(nodes, edges), path)
+    return spark.read.option("sep", "\t").schema("src long, dst long").csv(path)
+
+
+@query(f"{_ALL} SELECT component, id FROM comp")
+def component_list(spark, sf_dir):
+    """Components with their nodes, written as text and read back."""
+    path = fresh_path(spark, "components")
+    reports.write_components(_members(spark, sf_dir)[2], path)
+    return spark.read.option("sep", "\t").schema("component long, id long").csv(path)

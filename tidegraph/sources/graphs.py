@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions.edges import YEAR_GAP, dated, within_gap, without_loops
+from tidegraph.functions.order import numbered
 
 #: The default file names of nodes, edges, and increments by kind of insertion.
 NODE_FILE, EDGE_FILE = "indpyear.txt", "indpp_refine.txt"
@@ -13,15 +14,23 @@ INCREMENT_FILES = {"seq": "inc_s30.txt", "rand": "inc_r30.txt", "comb": "inc_c30
 
 
 def _lines(spark: SparkSession, path: str, first: str, second: str, stop_at_blank: bool) -> DataFrame:
-    """(line, first, second) of a file of two tab-separated numbers; line gives the order. stop_at_blank: nothing after an empty line counts."""
-    text = spark.read.option("wholetext", False).text(path).withColumn("line", F.monotonically_increasing_id())
+    """(line, first, second) of a file, or a folder of them, of two tab-separated numbers; line (file, n) gives the order. stop_at_blank: nothing after an empty line counts."""
+    text = spark.read.option("wholetext", False).text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")).alias("line"))
     if stop_at_blank:
         end = text.filter("trim(value) = ''").agg(F.min("line")).first()[0]
-        text = text if end is None else text.filter(F.col("line") < end)
+        if end is not None:
+            text = text.filter((F.col("line.file") < end.file) | (F.col("line.file") == end.file) & (F.col("line.n") < end.n))
     pair = F.split("value", "\t")
     return text.filter("trim(value) <> ''").select("line", pair[0].cast("long").alias(first), F.trim(pair[1]).cast("long").alias(second))
 
 
+def write_pairs(df: DataFrame, path: str, *order: str) -> None:
+    """The two columns of df as tab-separated lines; files are named in the order of the given columns, and so are their lines."""
+    first, second = (c for c in df.columns if c not in order or len(df.columns) == 2)
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    rows.select(F.concat_ws("\t", F.col(first), F.col(second)).alias("value")).write.text(path)
+
+
 def read_nodes(spark: SparkSession, path: str, *, stop_at_blank: bool = False) -> DataFrame:
     """(id, year); of rows with one id, the last one counts."""
     rows = _lines(spark, path, "id", "year", stop_at_blank)
@@ -47,10 +56,7 @@ def read_increment(spark: SparkSession, path: str, nodes: DataFrame | None = Non
     rows = without_loops(_lines(spark, path, "src", "dst", stop_at_blank))
     if simplify:
         rows = dated(rows, nodes).filter(within_gap()).select("line", "src", "dst")
-    # line numbers hold their partition above bit 33: partitions are numbered apart, and moved by what lies before
-    part = rows.withColumn("part", F.shiftright("line", 33))
-    before = part.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return part.join(F.broadcast(before), "part").select((F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("line")) - 1).alias("seq"), "src", "dst")
+    return numbered(rows, "line", name="seq").select((F.col("seq") - 1).alias("seq"), "src", "dst")
 
 
 def increment_name(name: str, kind: str) -> str:
@@ -86,11 +92,5 @@ def long_range_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 def split_increment(edges: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """The starting graph (b of least or more) and the increment (seq, src, dst), in the order of b and the ends. Ranges are numbered apart."""
-    from tidegraph.storage import saved
-
-    rest = edges.filter(F.col("b") < least)
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = saved(rest.repartitionByRange(parts, "b", "src", "dst").withColumn("part", F.spark_partition_id()), "increment")
-    before = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("part").orderBy("b", "src", "dst"))
-    return edges.filter(F.col("b") >= least).select("src", "dst"), ranged.join(F.broadcast(before), "part").select((F.col("before") + nth - 1).alias("seq"), "src", "dst")
+    rest = numbered(edges.filter(F.col("b") < least), "b", "src", "dst", name="seq")
+    return edges.filter(F.col("b") >= least).select("src", "dst"), rest.select((F.col("seq") - 1).alias("seq"), "src", "dst")

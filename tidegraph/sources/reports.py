@@ -49,3 +49,8 @@ def write_unordered(classed: DataFrame, path: str) -> None:
 def show_order(order: DataFrame, n: int = 20) -> str:
     """The first components in the order of their ranks."""
     return "\n".join(f"{r['rank']}\t{r.component}" for r in order.orderBy("rank").limit(n).collect())
+
+
+def write_components(members: DataFrame, path: str) -> None:
+    """component and node, tab-separated, component by component."""
+    members.select("component", "id").repartitionByRange("component", "id").sortWithinPartitions("component", "id").write.mode("overwrite").option("sep", "\t").csv(path)

@@ -6,37 +6,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidegraph.operators.incremental import State, apply_batch
+from tidegraph.storage import delete
 
 EDGES = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
+#: Versions that stay: the newest, and the one before, which a reader may have in hand.
+KEPT = 2
 
 
 class Maintained:
-    """State by version, in a folder that all machines share. A micro-batch that is repeated finds its version, and writes it once more from the one before."""
+    """State by version, in a folder that all machines share; version -1 is the starting graph.
+
+    A version counts once the file that says so is there, which is written last. Every micro-batch goes on from the newest;
+    inserting edges twice changes nothing, so a repeated one does no harm. A folder that holds versions is taken up.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, state: State):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.version = -1
-        self._write(state, -1)
+        done = self.versions()
+        if done:
+            self.version = done[-1]
+        else:
+            self.version = -1
+            self._write(state, -1)
+
+    def _hadoop(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
     def _path(self, version: int) -> str:
         return f"{self.folder}/v={version}"
 
+    def versions(self) -> list[int]:
+        """The complete versions that are there."""
+        files, at = self._hadoop(self.folder)
+        if not files.exists(at):
+            return []
+        names = [str(x.getPath().getName()) for x in files.listStatus(at)]  # KEPT, and one that is being written
+        numbers = sorted(int(n.removeprefix("v=")) for n in names if n.startswith("v="))
+        return [n for n in numbers if files.exists(self._hadoop(f"{self._path(n)}/complete")[1])]
+
     def _write(self, state: State, version: int) -> None:
-        for name in ("members", "order", "edges"):
-            getattr(state, name).write.mode("overwrite").parquet(f"{self._path(version)}/{name}")
+        path = self._path(version)
+        delete(self.spark, f"{path}/complete")
+        delete(self.spark, path)
+        for name in ("members", "order", "edges", "parts"):
+            df = getattr(state, name)
+            if df is not None:
+                df.write.parquet(f"{path}/{name}")
+        files, mark = self._hadoop(f"{path}/complete")
+        files.create(mark).close()
+        for old in self.versions():
+            if old <= version - KEPT:
+                delete(self.spark, self._path(old))
 
-    def state(self, version: int | None = None) -> State:
-        at = self._path(self.version if version is None else version)
-        return State(*(self.spark.read.parquet(f"{at}/{name}") for name in ("members", "order", "edges")))
+    def state(self) -> State:
+        at = self._path(self.version)
+        files, parts = self._hadoop(f"{at}/parts")
+        names = ["members", "order", "edges", *(["parts"] if files.exists(parts) else [])]
+        return State(*(self.spark.read.parquet(f"{at}/{name}") for name in names))
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        new, _ = apply_batch(self.state(batch_id - 1), batch.select("src", "dst"))
-        self._write(new, batch_id)
-        self.version = batch_id
+        new, _ = apply_batch(self.state(), batch.select("src", "dst").filter("src <> dst"))
+        self._write(new, self.version + 1)
+        self.version += 1
 
 
 def follow(spark: SparkSession, edges: str, folder: str, state: State, *, files_per_batch: int = 1) -> Maintained:
-    """Insert all edges (src, dst) of the Parquet files in a folder, as a stream, and return what is maintained."""
+    """Insert all edges (src, dst) of the Parquet files in a folder, as a stream, and return what is maintained. state: the starting graph, which counts only where the folder holds no version yet."""
     kept = Maintained(spark, f"{folder}/state", state)
     stream = spark.readStream.schema(EDGES).option("maxFilesPerTrigger", files_per_batch).parquet(edges)
     query = stream.writeStream.foreachBatch(kept.apply).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
