@@ -88,10 +88,10 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return files, path.rstrip("/")
 
 
-def salted(rows: DataFrame, other: DataFrame, keys: list[str], by: list[str], salts: int = 64) -> DataFrame:
+def salted(rows: DataFrame, other: DataFrame, keys: list[str], by: list[str], salts: int = 64, how: str = "inner") -> DataFrame:
     """rows joined with other (one row a key at most), where a key may hold a large share of the rows: each key's rows are dealt over salts by other columns, and its partner is copied to those salts that occur."""
     from pyspark.sql import functions as F
 
     dealt = rows.withColumn("salt_", F.pmod(F.xxhash64(*by), F.lit(salts)))
-    places = dealt.select(*keys, "salt_").distinct().join(other, keys)
+    places = dealt.select(*keys, "salt_").distinct().join(other, keys, how)
     return dealt.join(places, [*keys, "salt_"]).drop("salt_")
