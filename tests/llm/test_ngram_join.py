@@ -68,6 +68,7 @@ def test_equals_brute_force(spark, monkeypatch, k, num, den, block, bits):
     monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 50 * block)
     monkeypatch.setattr(ngram_join, "LEAST_BITS", min(bits, 256))
     monkeypatch.setattr(ngram_join, "MOST_BITS", bits)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 3)
     docs = near_copies(random.Random(k), 60, 12)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = sorted(tuple(x) for x in ngram_join.jaccard_groups(df, k=k, num=num, den=den).collect())
@@ -96,7 +97,7 @@ def test_drifting_copies_equal_brute_force(spark):
 
 def test_link_counts_equal_brute_force(spark, monkeypatch):
     """Groups of near and exact copies, cut into many blocks."""
-    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 150)
+    monkeypatch.setattr(ngram_join, "LINK_TOKENS", 450)
     docs = near_copies(random.Random(7), 30, 12)
     docs += [(len(docs) + i, t) for i, (_, t) in enumerate(docs[:60])] + [(10_000, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -108,6 +109,26 @@ def test_link_counts_equal_brute_force(spark, monkeypatch):
     assert got == [(*x, links[x[0]]) for x in brute(docs, 4, 85, 100)]
 
 
+def test_repeated_ids_keep_all_links(spark):
+    """An id with several texts has the links of all of them."""
+    r = random.Random(9)
+    base = [[f"w{r.randrange(10**6)}" for _ in range(40)] for _ in range(4)]
+    texts = [" ".join(w) for w in base]
+    rows = [(10, texts[0]), (10, texts[1]), (20, texts[1] + " more"), (30, texts[0] + " more"), (7, texts[2]), (40, texts[2] + " x"), (40, texts[3]), (50, texts[3] + " y"), (50, texts[3] + " y"), (60, None), (60, "one"), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id or 0, x.component or 0) for x in ngram_join.jaccard_groups(df, k=4, num=85, den=100).collect())
+    assert got == sorted([(10, 10), (10, 10), (20, 10), (30, 10), (7, 7), (40, 7), (40, 7), (50, 7), (50, 7), (60, 60), (60, 60), (0, 0)])
+    kept = sorted(x.doc_id or 0 for x in ngram_join.first_of_groups(df, k=4, num=85, den=100).collect())
+    assert kept == [0, 7, 10, 60]
+
+
+def test_linked_with_equals_sets():
+    r = random.Random(10)
+    sets = [{x for x in range(30) if r.random() < 0.9} | {r.randrange(100, 140)} for _ in range(50)] + [{1}, {2}]
+    got = ngram_join.linked_with([np.array(sorted(x)) for x in sets], 80, 100)
+    assert got.tolist() == [[100 * len(a & b) >= 80 * len(a | b) and bool(a & b) for b in sets] for a in sets]
+
+
 def test_query_equals_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in queries.table(spark, sf_dir, "documents").collect()]
     assert sorted(tuple(x) for x in queries.op2_jaccard(spark, sf_dir).collect()) == brute(docs, 4, 85, 100)
@@ -150,7 +171,10 @@ def test_forests_cut_nothing():
     links = ngram_join.exact_links(list(range(60)), group, [s.view(np.int64) for s in sets], 70, 100)
     assert links and all(jac(a, b) for a, b in links)
     assert closed(links) == closed([(a, b) for a in range(60) for b in range(a) if jac(a, b)])
-    likely = closed(ngram_join.likely_links(list(range(60)), group, np.array([len(s) for s in sets]), signs, 70, 100))
+    n, few = np.array([len(s) for s in sets]), [np.sort((ngram_join.mix(s) >> np.uint64(48)).astype(np.uint16)) for s in sets]
+    likely = closed(ngram_join.likely_links(list(range(60)), group, n, signs, np.full(60, 4), few, 70, 100))
+    none = ngram_join.likely_links(list(range(60)), group, n, signs, np.full(60, 4), [np.full(3, i, np.uint16) for i in range(60)], 70, 100)
+    assert not none  # nothing shares four prefix tokens
     assert all(any(g <= h for h in likely) for g in closed(links))
 
 

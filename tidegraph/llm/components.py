@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import saved
+from tidegraph.llm.common import salted, saved
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def roots(parents: DataFrame) -> DataFrame:
     now = saved(parents.select("id", F.col("parent").alias("root")), "roots")
     while True:
         up = now.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        now = saved(now.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved")), "roots")
+        now = saved(salted(now, up, ["root"], ["id"], how="left").select("id", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved")), "roots")
         if now.filter("moved").isEmpty():
             return now.select("id", "root")
 
@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in the links (a, b); the component is its smallest id.
 
     In each round every id points to its smallest neighbour, if that is smaller; trees of pointers become single ids,
-    and the links between those go on. Ids of one group of any size meet in sums only, never in one task.
+    and the links between those go on. Ids of one group of any size meet in sums only, never in one task: joins on roots
+    and ends of links deal the rows of a hub over many tasks.
     """
     left = saved(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     done: DataFrame | None = None
@@ -33,9 +34,9 @@ def components(links: DataFrame) -> DataFrame:
             done = step.withColumnRenamed("root", "component")
         else:
             up = step.select(F.col("id").alias("component"), F.col("root").alias("above"))
-            done = done.join(up, "component", "left").select("id", F.coalesce("above", "component").alias("component"))
+            done = salted(done, up, ["component"], ["id"], how="left").select("id", F.coalesce("above", "component").alias("component"))
         done = saved(done, "components")
         for end in ("a", "b"):
-            left = left.join(step.select(F.col("id").alias(end), F.col("root").alias(f"r{end}")), end)
+            left = salted(left, step.select(F.col("id").alias(end), F.col("root").alias(f"r{end}")), [end], ["b" if end == "a" else "a"])
         left = saved(left.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
     return done if done is not None else links.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
