@@ -14,7 +14,7 @@ from tidegraph.operators import scc as ops
 from tidegraph.operators import time_coupled as tc
 from tidegraph.plans import registry
 from tidegraph.sources import graphs, reports
-from tidegraph.storage import fresh_path
+from tidegraph.storage import fresh_path, scratch
 from tidegraph.streaming.maintain import follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,11 +52,18 @@ _HISTOGRAM = "SELECT size, count(*) AS cnt FROM (SELECT component, count(*) AS s
 
 
 def query(sql: str | None, *names: str) -> Callable:
-    """Register a function under its own name, or under several, which it then gets first."""
+    """Register a function under its own name, or under several, which it then gets first. Of what a query writes on its way, only the result stays."""
+
+    def tidy(f: Callable, *first: str) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with scratch(spark) as keep:
+                return keep(f(*first, spark, sf_dir))
+
+        return run
 
     def put(f: Callable) -> Callable:
         for name in names or (f.__name__,):
-            QUERIES[name] = (lambda name: lambda spark, sf_dir: f(name, spark, sf_dir))(name) if names else f
+            QUERIES[name] = tidy(f, name) if names else tidy(f)
             if sql:
                 ORACLES[name] = sql
         return f
