@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidegraph.llm import queries, toxicity
 
@@ -19,13 +20,30 @@ def test_held_out_accuracy(spark):
 def brute_score(m, text):
     """Word by word, without slabs."""
     vec = [m.table[list(toxicity.word_rows(w))].sum(axis=0) for w in text.split()]
-    n = max(1, -(-(len(vec) + 2) // toxicity.STRETCH)) * toxicity.STRETCH
-    x = np.array(vec + [np.zeros(toxicity.DIM)] * (n + 2 - len(vec)))
+    n = -(-(len(vec) + 2) // toxicity.STRETCH) * toxicity.STRETCH
+    none = np.zeros(toxicity.DIM)
+    x = np.array([none, none, *vec] + [none] * (n - len(vec)))
     z = np.concatenate([sum(x[j : n + j] @ w[j] for j in range(len(w))) for w in m.filters], axis=1) + m.bias
     top = np.maximum(z, 0).reshape(-1, toxicity.STRETCH, z.shape[1]).max(axis=1)
     return 1 / (1 + np.exp(-(np.concatenate((top.mean(axis=0), top.max(axis=0))) @ m.out + m.shift)))
 
 
+def test_query_equals_plain_version(spark, sf_dir):
+    """Every document of the table, word by word, with the model that the query fits; and that no label, language or id enters."""
+    docs, labels = queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "labels")
+    m = toxicity.train(docs, labels)
+    text = {r.doc_id: (r.text, r.lang) for r in docs.collect()}
+    rows = queries.op7_toxicity(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(text)
+    for r in rows:
+        want = brute_score(m, text[r.doc_id][0] or "")
+        assert abs(r.score - want) < 1e-4
+        assert r.predicted == int(r.score >= 0.5) and r.toxic == (r.score >= m.thresholds.get(text[r.doc_id][1], 0.5))
+    other = docs.withColumn("lang", F.lit("xx")).withColumn("doc_id", F.col("doc_id") + 10**6)
+    again = {r.doc_id: r.score for r in toxicity.score(other, m).collect()}
+    assert all(abs(again[r.doc_id + 10**6] - r.score) < 1e-6 for r in rows)
+
+
 def sample():
     r = random.Random(3)
     words = [f"{a}{b}" for a in "kmprst" for b in ("an", "el", "in", "or", "ut", "arim")]

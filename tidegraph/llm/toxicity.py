@@ -7,8 +7,9 @@ the training sample touches in few documents stay at zero, so rare words can't b
 
 It is fitted on a bounded sample of labelled rows (``most_rows``, by a hash of the id; crops of ``crop_chars``
 characters), and scores whole texts, slab by slab, so that a text of any length needs the same memory. Rows whose
-crc32(id as text) mod 5 is 0 are held out of fitting, and a second part of the others calibrates the thresholds. A
-score depends on the text alone; only the decision ``toxic`` also looks at the language.
+crc32(id as text) mod 5 is 0 are held out of fitting. A fifth of the sample isn't fitted on: the scores of its whole
+texts calibrate the thresholds. A score depends on the text alone; only the decision ``toxic`` also looks at the
+language. An empty table gives an empty result.
 
 Null text counts as empty, which has a score too. A null id gives held_out false. Labels that are null, not 0 or 1, or
 without a document, don't count; a label that is given twice counts once, the larger. Without any labels of both
@@ -32,6 +33,8 @@ from tidegraph.llm.common import bound_batches, keeps, take_turn
 
 STRETCH, WIDTHS, FILTERS, DIM, ROWS = 32, (1, 2, 3), 8, 16, 1 << 15
 LETTERS = (4, 5, 7)
+#: Empty rows before a text, as many as a window reaches ahead.
+LEAD = max(WIDTHS) - 1
 SLAB = STRETCH * 1024
 #: Words that a worker remembers at least before it starts anew.
 REMEMBERED = 200_000
@@ -68,10 +71,9 @@ class _WordIndex(dict):
 
 
 def layout(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Where each text starts when padded to whole stretches (two rows of padding at least), and how many stretches it has."""
-    stretches = (np.array(lengths, np.int64) + max(WIDTHS) - 1 + STRETCH - 1) // STRETCH
-    stretches = np.maximum(stretches, 1)
-    return (np.cumsum(stretches) - stretches) * STRETCH, stretches
+    """Where each text's words start, and how many stretches it has. Empty rows before every text keep windows from reaching into the next one, so that a score depends on the text alone."""
+    stretches = (np.array(lengths, np.int64) + LEAD + STRETCH - 1) // STRETCH
+    return (np.cumsum(stretches) - stretches) * STRETCH + LEAD, stretches
 
 
 @dataclass
@@ -217,12 +219,15 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, crop_cha
     chosen = marked.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     start = F.greatest(F.lit(1), F.pmod(F.xxhash64(docs[id_col]), F.greatest(F.length(text) - crop_chars, F.lit(1))) + 1).cast("int")
-    some = docs.select(docs[id_col].alias("id"), text.substr(start, F.lit(crop_chars)).alias("text"), docs[lang_col].cast("string").alias("lang"))
-    rows = some.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id").limit(2 * most_rows).collect()  # most_rows, unless ids repeat
-    rest = [i for i, x in enumerate(rows) if i % 5 == 4]
-    model = fit([x.text for i, x in enumerate(rows) if i % 5 != 4], [x.label for i, x in enumerate(rows) if i % 5 != 4], epochs=epochs)
-    if model.fitted and rest:
-        model.thresholds = calibrate(model.score([rows[i].text for i in rest], _WordIndex()), np.array([rows[i].label for i in rest]), [rows[i].lang or "" for i in rest])
+    apart = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0
+    order = (F.xxhash64("id"), F.col("id"))
+    some = docs.select(docs[id_col].alias("id"), text.substr(start, F.lit(crop_chars)).alias("text")).join(F.broadcast(chosen), "id").filter(~apart)
+    rows = some.orderBy(*order).limit(2 * most_rows).collect()  # most_rows at most, unless ids repeat
+    model = fit([x.text for x in rows], [x.label for x in rows], epochs=epochs)
+    if model.fitted:
+        whole = docs.select(docs[id_col].alias("id"), text.alias("text"), docs[lang_col].cast("string").alias("lang")).join(F.broadcast(chosen), "id").filter(apart)
+        scored = _scored(whole, model, "text", "score").select("id", "score", "label", "lang").orderBy(*order, "score").limit(2 * most_rows).collect()  # numbers only
+        model.thresholds = calibrate(np.array([x.score for x in scored]), np.array([x.label for x in scored]), [x.lang or "" for x in scored])
     return model
 
 
