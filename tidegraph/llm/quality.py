@@ -8,7 +8,11 @@ a path's is its mean shrunk toward its host; how strongly is estimated from the
 moments. A document's score is its evidence moved by its site's posterior odds against the prior, its own evidence
 taken out of its site first, so that a site of one document has the prior.
 
-Null or empty texts have the evidence of an empty text. Null hosts or paths are sites of their own, called "". A null
+Texts are scored first and joined with their sites afterwards; a site table up to a size is broadcast, and with a
+larger one the rows of a large site are dealt over many tasks.
+
+Null or empty texts have the evidence of an empty text, and texts of any length are counted whole. An empty table of
+documents gives an empty result, and no labels, or labels of one kind, an evidence of 1/2 everywhere. Null hosts or paths are sites of their own, called "". A null
 id gives held_out false. A label that is null, not 0 or 1, or without a document doesn't count; one that is given twice
 counts once, the larger. Without labels of both kinds all evidence is 1/2. Repeated rows are documents of their own.
 ``judge`` drops columns that it doesn't name; ``keep_good`` keeps all columns.
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import bound_batches, saved, utf8
+from tidegraph.llm.common import bound_batches, salted, saved, utf8
 from tidegraph.llm.toxicity import held_out
 
 _CLASS = np.zeros(256, np.int64)
@@ -39,6 +43,8 @@ N_FEATURES = 9 + 6
 STRENGTH = (2.0, 1000.0)
 #: Site tables up to so many rows are broadcast; larger ones are joined by shuffling.
 MOST_BROADCAST = 100_000
+#: Tasks that the rows of one site are dealt over at most: numbers only, and whole texts.
+SALTS, TEXT_SALTS = 256, 1 << 14
 
 
 def features(text: bytes | None) -> np.ndarray:
@@ -147,12 +153,17 @@ def sites(docs: DataFrame, labels: DataFrame, model: Evidence, host: F.Column, p
     return saved(both.select("host", "path", "n", "mass", "host_mean", F.lit(float(inner)).alias("path_strength"), F.lit(float(prior)).alias("prior")), "sites")
 
 
-def _posterior(docs: DataFrame, at: DataFrame, model: Evidence, host: F.Column, path: F.Column, text_col: str, names: dict[str, str]) -> DataFrame:
-    """docs with evidence, site posterior and score, under the given names."""
+def _posterior(docs: DataFrame, at: DataFrame, model: Evidence, host: F.Column, path: F.Column, text_col: str, names: dict[str, str], *, keep_text: bool = True) -> DataFrame:
+    """docs with evidence, site posterior and score, under the given names; without the text, if nobody needs it."""
     keyed = docs.withColumns({names["host"]: F.coalesce(host.cast("string"), F.lit("")), names["path"]: F.coalesce(path.cast("string"), F.lit(""))})
+    got = _with_evidence(keyed, model, text_col, names["evidence"])
+    got = got if keep_text else got.drop(text_col)
     known = at.select(F.col("host").alias(names["host"]), F.col("path").alias(names["path"]), *[F.col(c).alias(names[c]) for c in ("n", "mass", "host_mean", "path_strength", "prior")])
-    known = F.broadcast(known) if at.count() <= MOST_BROADCAST else known
-    got = _with_evidence(keyed.join(known, [names["host"], names["path"]]), model, text_col, names["evidence"])
+    site = [names["host"], names["path"]]
+    if at.count() <= MOST_BROADCAST:
+        got = got.join(F.broadcast(known), site)
+    else:
+        got = salted(got, known, site, [names["evidence"], *([text_col] if keep_text else ["id"])], TEXT_SALTS if keep_text else SALTS)
     c = {k: F.col(v) for k, v in names.items()}
     others, mass = F.greatest(c["n"] - 1, F.lit(0.0)), F.greatest(c["mass"] - c["evidence"], F.lit(0.0))
     site = (F.least(mass, others) + c["path_strength"] * c["host_mean"]) / (others + c["path_strength"])
@@ -169,7 +180,7 @@ def _names(tag: str) -> dict[str, str]:
 def judge(docs: DataFrame, at: DataFrame, model: Evidence, host: F.Column, path: F.Column, *, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, evidence, site, score, keep) of every row."""
     source = docs.select(docs[id_col].alias("id"), host.alias("h"), path.alias("p"), docs[text_col].cast("string").alias("text"))
-    got = _posterior(source, at, model, F.col("h"), F.col("p"), "text", _names(""))
+    got = _posterior(source, at, model, F.col("h"), F.col("p"), "text", _names(""), keep_text=False)
     return got.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "evidence", "site", "score", (F.col("score") >= threshold).alias("keep"))
 
 
