@@ -7,9 +7,21 @@ from tidegraph.llm import ann, queries
 
 
 def brute(rows, k, every):
-    """(query, rank, id): score, comparing everything; rows: id to vector."""
-    ids, x = np.array(list(rows)), np.array(list(rows.values()))
-    return {(int(q), r + 1): hit for q in ids if q % every == 0 for r, hit in enumerate(ann.nearest(ids, x, q, x[ids == q][0], k))}
+    """(query, rank): (distance, id), comparing everything; rows: (id, vector) pairs, or a dict of them."""
+    rows = list(rows.items()) if isinstance(rows, dict) else rows
+    ids = np.array([i for i, _ in rows])
+    x = np.array([np.asarray(v, float) for _, v in rows])
+    out = {}
+    for q in sorted({int(i) for i in ids if i % every == 0}):
+        best = {}
+        for own in x[ids == q]:
+            d = np.sqrt(((x - own[None, :]) ** 2).sum(axis=1))
+            for j in np.argsort(d, kind="stable")[: len(d) if len(d) < 3000 else 20 * k].tolist():
+                if ids[j] != q:
+                    best[int(ids[j])] = min(best.get(int(ids[j]), np.inf), float(d[j]))
+        for rank, hit in enumerate(sorted((d, i) for i, d in best.items())[:k], 1):
+            out[q, rank] = hit
+    return out
 
 
 def recall(got, want):
@@ -45,6 +57,19 @@ def test_copies_ties_and_odd_rows(spark, monkeypatch):
     assert [x.vec_id for x in sorted((x for x in got if x.query_id == 100), key=lambda x: x["rank"])] == list(range(10))
 
 
+def test_repeated_ids_and_mostly_copies(spark, monkeypatch):
+    """Ids with several vectors keep all of them; two groups of copies of a third each don't narrow the search of the others."""
+    r = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(0, 700)] + [(i, [-4.0, 2.0, 1.0, 9.0]) for i in range(700, 1400)]
+    rows += [(i, r.normal(size=4).tolist()) for i in range(1400, 2000)] + [(i, r.normal(size=4).tolist()) for i in range(1400, 2000, 50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, want = ann.search(df).collect(), brute(rows, 10, 100)
+    lone = {k: v for k, v in want.items() if k[0] >= 1400}
+    assert len({r.query_id for r in got}) == 20 and len(lone) == 60
+    assert recall([r for r in got if r.query_id >= 1400], lone) >= 0.9
+    assert all(len({r.vec_id for r in got if r.query_id == q}) == 10 for q in range(0, 2000, 100))
+
+
 def test_small_tables(spark):
     df = spark.createDataFrame([(100, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [1.0, 1.0]), (200, [-1.0, -1.0])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in ann.search(df).collect())

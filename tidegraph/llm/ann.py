@@ -6,15 +6,17 @@ Gaussian amounts, falls there. It stops when the visited buckets' chances, over
 The candidates of a bucket are reranked by their exact distance inside the task that holds the bucket, the tables'
 results are merged, and the nearest stay.
 
-Projections, bucket width and expected distance are fitted on a bounded sample (``sample_rows``, by a hash of the id);
-every row is indexed. How many projections a table has follows the number of rows, so that buckets stay small. A bucket
-with many rows is cut into blocks, each of which a query visits. Of equal vectors only the k + 1 with the smallest ids
-are indexed: no query can return more of them. Queries that find fewer rows than they should are compared, in blocks,
-with all rows.
+Projections, bucket width and expected distance are fitted on a bounded sample (``sample_rows``, by a hash of the
+vector, so that copies count once); the expected distance is a high quantile of the sample's. Every row is indexed. How
+many projections a table has follows the number of rows, so that buckets stay small. A bucket with many rows is cut into
+blocks, each of which a query visits. Of equal vectors only the k + 1 with the smallest ids are indexed: no query can
+return more of them. Queries that find fewer rows than they should are compared with all rows, in one pass, block by
+block.
 
 Vectors that are null or zero, or hold null or non-finite components, take no part, nor do those whose length isn't the
-most frequent one, nor rows with a null id. Rows with one id count once, with their smallest vector. Ties go to the
-smaller id. With fewer than k other rows, all of them are returned. Extra columns are dropped.
+most frequent one, nor rows with a null id. Of rows with one id and several vectors each is a candidate and, where the
+id is a query, a query; an id is found once, by its nearest. Ties go to the smaller id. With fewer than k other ids, all
+of them are returned. An empty table gives an empty result. Extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -26,15 +28,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import bound_batches, saved
+from tidegraph.llm.common import bound_batches, filesystem, fresh_path, salted, saved, scratch
 
 #: Rows that a bucket should hold about; effective buckets a projection is cut into.
 OCCUPANCY, BINS = 2000, 3.0
-#: Rows of a bucket that a task holds at once; queries of one block that is compared with all rows.
-BLOCK_ROWS, QUERY_BLOCK = 4000, 1024
+#: Rows of a bucket that a task holds at once; rows that a task compares at once with all short queries, and how many of these it reads at once.
+BLOCK_ROWS, HELD_ROWS, QUERY_BLOCK = 4000, 50_000, 1024
+#: Share of the sample whose k-th neighbour is no farther than the expected distance.
+QUANTILE = 0.7
 #: Parts in which equal vectors are first thinned out.
 SALTS = 1024
 
@@ -79,21 +85,25 @@ class Tables:
 def fit(sample: np.ndarray, rows: int, k: int, *, tables: int, success: float, seed: int = 0) -> Tables:
     """Tables for so many rows like the sample's."""
     r = np.random.default_rng(seed)
-    hashes = max(2, min(12, round(math.log(max(rows / OCCUPANCY, 2)) / math.log(BINS))))
+    hashes = max(2, min(64, round(math.log(max(rows / OCCUPANCY, 2)) / math.log(BINS))))
     projections = r.normal(size=(tables, hashes, sample.shape[1]))
     spread = float(np.sqrt(((sample - sample.mean(axis=0)) ** 2).sum(axis=1).mean())) or 1.0
     some = sample[: min(200, len(sample))]
     apart = np.sqrt(np.maximum(((some[:, None] - sample[None]) ** 2).sum(axis=2), 0))
     nth = min(k, len(sample) - 1)
-    near = float(np.median(np.partition(apart, nth, axis=1)[:, nth])) if nth else spread
+    near = float(np.quantile(np.partition(apart, nth, axis=1)[:, nth], QUANTILE)) if nth else spread
     width = 3.3 * spread / BINS
     return Tables(projections, r.uniform(0, width, (tables, hashes)), width, max(near, 1e-6 * spread), success)
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, query: int, q: np.ndarray, k: int) -> list[tuple[float, int]]:
-    """The k nearest of the rows to the query, without itself: (distance, id)."""
+def nearest(ids: np.ndarray, x: np.ndarray, query: int, q: np.ndarray, k: int, *, repeated: bool = False) -> list[tuple[float, int]]:
+    """The k nearest of the ids to the query, without itself: (distance, id). repeated: some ids have several rows."""
     d = np.sqrt(np.square(x - q).sum(axis=1))
     d[ids == query] = np.inf
+    if repeated:
+        order = np.lexsort((d, ids))
+        ids, first = np.unique(ids[order], return_index=True)
+        d = d[order][first]
     if len(d) > k:
         some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
     else:
@@ -107,7 +117,7 @@ def valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.select(df[id_col].cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull()).filter(sound)
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.filter(F.size("v") == (length.n if length else 0)).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.filter(F.size("v") == (length.n if length else 0)).distinct()
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -134,7 +144,7 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score): the k nearest of each block to each query that visits it. rows: slot, bucket, block, role (0: row, 1: query), id, v; one block is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held, ready = None, [], [], None
+        key, ids, held, ready, repeated = None, [], [], None, False
         for batch in batches:
             out: list[tuple[int, int, float]] = []
             keys = zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4).to_pylist(), strict=True)
@@ -146,23 +156,40 @@ def _ranked(rows: DataFrame, k: int) -> DataFrame:
                     ids.append(i)
                     held.append(x[r].copy())
                 elif ids:
-                    ready = ready if ready is not None else (np.array(ids), np.array(held))
-                    out += [(i, vec, d) for d, vec in nearest(*ready, i, x[r], k)]
+                    if ready is None:
+                        ready, repeated = (np.array(ids), np.array(held)), len(set(ids)) < len(ids)
+                    out += [(i, vec, d) for d, vec in nearest(*ready, i, x[r], k, repeated=repeated)]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
     dealt = rows.repartition("slot", "bucket", "block").sortWithinPartitions("slot", "bucket", "block", "role")
     return dealt.select("slot", "bucket", "block", "role", "id", "v").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def _against_all(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """As _ranked, of one block of queries and all rows."""
-    ids, vectors = [i for i, _ in queries], np.array([v for _, v in queries])
+def _against_all(rows: DataFrame, folder: str, k: int) -> DataFrame:
+    """As _ranked, of all rows and the queries (id, v) of a Parquet folder, of which a task reads one part after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, path = filesystem(folder)
+        names = sorted(f.path for f in files.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet"))
+
+        def out(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, x = np.concatenate([b.column(0).to_numpy() for b in held]), np.concatenate([_vectors(b.column(1)) for b in held])
+            repeated = len(np.unique(ids)) < len(ids)
+            for name in names:
+                with files.open_input_file(name) as f:
+                    for part in pq.ParquetFile(f).iter_batches(QUERY_BLOCK):
+                        found = [(i, vec, d) for i, q in zip(part.column(0).to_pylist(), _vectors(part.column(1)), strict=True) for d, vec in nearest(ids, x, i, q, k, repeated=repeated)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*found, strict=True) if found else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            own, x = batch.column(0).to_numpy(), _vectors(batch.column(1))
-            out = [(i, vec, d) for i, q in zip(ids, vectors, strict=True) for d, vec in nearest(own, x, i, q, k)] if len(own) else []
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD_ROWS:
+                yield from out(held)
+                held = []
+        if held:
+            yield from out(held)
 
     return rows.mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -176,35 +203,30 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
 
 def search(df: DataFrame, *, k: int = 10, every: int = 100, tables: int = 3, success: float = 0.9, sample_rows: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by every, the nearest other rows by Euclidean distance."""
-    bound_batches(df.sparkSession)
-    rows = saved(valid(df, id_col, vector_col), "vectors")
-    n = rows.count()
-    queries = rows.filter(F.col("id") % every == 0)
-    if n < 2:
-        return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    sample = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()])
-    t = fit(sample, n, k, tables=tables, success=success)
-    thin = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    for keys in (["v", "salt"], ["v"]):
-        thin = thin.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter(F.col("nth") <= k + 1)
-    index = saved(_bucketed(thin.select("id", "v"), t, False), "index")
-    blocks = index.groupBy("slot", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    own = index.join(blocks, ["slot", "bucket"]).select("slot", "bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "v")
-    visits = _bucketed(queries, t, True).join(blocks, ["slot", "bucket"]).select("slot", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "v")
-    found = saved(_merged(_ranked(own.unionByName(visits), k), k), "found")
-    full = found.groupBy("query_id").count().filter(F.col("count") >= min(k, n - 1)).select(F.col("query_id").alias("id"))
-    short = saved(queries.join(full, "id", "left_anti"), "short")
-    more, block = [], []
-    for r in short.toLocalIterator():
-        block.append((r.id, r.v))
-        if len(block) == QUERY_BLOCK:
-            more.append(saved(_merged(_against_all(rows, block, k), k), "rest"))
-            block = []
-    if block:
-        more.append(saved(_merged(_against_all(rows, block, k), k), "rest"))
-    if not more:
-        return found
-    out = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score")
-    for m in more:
-        out = out.unionByName(m)
-    return out
+    spark = df.sparkSession
+    bound_batches(spark)
+    with scratch(spark) as keep:
+        rows = saved(valid(df, id_col, vector_col), "vectors")
+        n = rows.select("id").distinct().count()
+        queries = rows.filter(F.col("id") % every == 0)
+        if n < 2:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        thin = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+        for keys in (["v", "salt"], ["v"]):
+            thin = thin.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter(F.col("nth") <= k + 1)
+        thin = saved(thin.select("id", "v", "nth"), "thin")
+        sample = np.array([r.v for r in thin.filter("nth = 1").orderBy(F.xxhash64("v"), "id").limit(sample_rows).collect()])
+        t = fit(sample, n, k, tables=tables, success=success)
+        index = saved(_bucketed(thin.select("id", "v"), t, False), "index")
+        blocks = index.groupBy("slot", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+        own = salted(index, blocks, ["slot", "bucket"], ["id"]).select("slot", "bucket", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "v")
+        visits = _bucketed(queries, t, True).join(blocks, ["slot", "bucket"]).select("slot", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "v")
+        found = saved(_merged(_ranked(own.unionByName(visits), k), k), "found")
+        full = found.groupBy("query_id").count().filter(F.col("count") >= min(k, n - 1)).select(F.col("query_id").alias("id"))
+        folder = fresh_path(spark, "short")
+        queries.join(full, "id", "left_anti").select("id", "v").write.parquet(folder)
+        short = spark.read.schema(queries.schema).parquet(folder)
+        if short.isEmpty():
+            return keep(found)
+        rest = _merged(_against_all(rows.select("id", "v"), folder, k), k)
+        return keep(found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(rest))
