@@ -10,10 +10,10 @@ grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(4, len(w)) - 1
 sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
-pairs AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+pairs AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links), degree AS (SELECT x, count(*) AS n FROM pairs GROUP BY x),
 reach(x, y) AS (SELECT x, y FROM pairs UNION SELECT r.x, b.y FROM reach r JOIN pairs b ON b.x = r.y)
-SELECT d.doc_id, CAST(coalesce(max(s.n), 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS BIGINT) AS component_id
-FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id"""
+SELECT d.doc_id, CAST(coalesce(max(s.n), 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS BIGINT) AS component_id, CAST(coalesce(max(g.n), 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id LEFT JOIN degree g ON g.x = d.doc_id GROUP BY d.doc_id"""
 
 OP8 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), m AS (SELECT *, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS last FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
@@ -32,4 +32,17 @@ found AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS i
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(found.n, 0) AS BIGINT) AS n_items, sha256(coalesce(found.ids, '')) AS items_sha256,
 coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
-ORACLES = {"op2_jaccard": OP2, "op8_warc": OP8, "op10_decontamination": OP10}
+#: CRC-32 is a fold over the bytes with a table that its polynomial gives; the shards are cut at equal shares of the bytes in the order of a hash and the id.
+OP6 = """WITH RECURSIVE bits(i, k, c) AS (SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+bytes AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, CASE WHEN text IS NULL THEN -1 ELSE CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) END AS h,
+  list_prepend(4294967295, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: CAST('0x' || x AS BIGINT))) AS b FROM documents),
+summed AS (SELECT doc_id, size, h, xor(list_reduce(b, lambda acc, x: xor(acc >> 8, tab[(xor(acc, x) & 255) + 1])), 4294967295) AS text_crc32 FROM bytes, crc),
+placed AS (SELECT *, sum(size) OVER w - size AS start, row_number() OVER w AS nth FROM summed WINDOW w AS (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING)),
+total AS (SELECT sum(size) AS n FROM summed), even AS (SELECT k, n, (n * k + 7) // 8 AS cut FROM total, range(1, 8) t(k)),
+equal AS (SELECT min(start) AS lo, max(start + size) AS hi FROM placed GROUP BY h),
+cuts AS (SELECT coalesce(max(CASE WHEN cut - lo <= hi - cut THEN lo ELSE hi END), cut) AS cut FROM even LEFT JOIN equal ON lo < cut AND cut < hi AND hi - lo <= CAST(0.02 AS DOUBLE) * n / 8 GROUP BY k, cut),
+sharded AS (SELECT *, (SELECT count(*) FROM cuts c WHERE p.start >= c.cut) AS shard FROM placed p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, CAST(nth - min(nth) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM sharded"""
+
+ORACLES = {"op2_jaccard": OP2, "op6_sharding": OP6, "op8_warc": OP8, "op10_decontamination": OP10}

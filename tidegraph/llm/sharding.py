@@ -6,6 +6,7 @@ one row a partition, are added up to where each partition starts; a window withi
 order is cut at equal byte targets. A cut that falls into a group of equal texts moves to the nearer end of the group
 where the group is small against a shard (``slack``); a larger group is cut between two rows.
 
+Texts of any length are whole; one that is longer than a shard's share fills it alone, and shards beside it may stay empty.
 Null text has no bytes and size 1 (its CRC-32 is that of no bytes, 0). Repeated rows are rows of their own. A table
 with fewer rows than shards leaves shards empty; an empty table gives no rows. Extra columns are dropped.
 """
@@ -18,11 +19,16 @@ from pyspark.sql import functions as F
 from tidegraph.llm.common import saved
 
 
+def _hash(text: F.Column) -> F.Column:
+    """60 bits of the text's MD5; -1 without a text."""
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(-1))
+
+
 def shard_by_bytes(df: DataFrame, n_shards: int, *, id_col: str = "doc_id", text_col: str = "text", slack: float = 0.02) -> DataFrame:
     """(id, size, text_crc32, shard, slot) of every row."""
     spark = df.sparkSession
     text = df[text_col].cast("string")
-    rows = df.select(df[id_col].alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"), F.xxhash64(text).alias("h"))
+    rows = df.select(df[id_col].alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"), _hash(text).alias("h"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # what is written keeps each row's partition for good, however often it is read
     ordered = saved(rows.repartitionByRange(parts, "h", "id").withColumn("part", F.spark_partition_id()), "ranges")
