@@ -1,6 +1,8 @@
 import hashlib
+import shutil
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -35,6 +37,37 @@ def test_run_equals_plain_version(spark, sf_dir):
         assert r.decoded_sha256 == hashlib.sha256(text[i].encode()).hexdigest()
 
 
+def test_run_on_odd_rows(spark, sf_dir, tmp_path):
+    """Null, empty, very long and repeated texts, repeated and null ids, clashing columns; then an empty table."""
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{sf_dir}/{name}.parquet", tmp_path)
+    docs = queries.table(spark, sf_dir, "documents")
+    plain = {r.doc_id: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    good = max(plain, key=lambda i: -len(text[i]))
+    kept = sorted(plain)[:3]
+    long = " ".join(text[i] for i in sorted(plain)) * 12
+    odd = [(10**6 + i, t, "en", "s", 1) for i, t in enumerate((None, "", " \t\n", long))]
+    odd += [(kept[0], text[kept[0]], "en", "s", 1), (kept[1], text[kept[2]], "en", "s", 1), (None, text[good], "en", None, 1), (None, None, None, None, None)]
+    extra = spark.createDataFrame(odd, docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(extra)
+    clash = {c: F.lit(7) for c in ("score", "n_words", "id", "host", "site", "component", "prior", "spans", "token_ids", "evidence", "text_crc32", "label")}
+    both.withColumns(clash).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = [r.doc_id for r in rows if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and len(set(plain) - set(ids)) <= 5
+    known = text | {10**6 + i: t for i, (_, t, *_) in enumerate(odd[:4])}
+    for r in rows:
+        if r.doc_id not in (None, kept[0], kept[1]):
+            want = known[r.doc_id] or ""
+            assert list(r.token_ids) == library.encode(want, add_special_tokens=False).ids
+            assert r.decoded_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.n_tokens == len(r.token_ids)
+    shutil.rmtree(f"{tmp_path}/documents.parquet")
+    both.withColumns(clash).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_stages_keep_columns(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:

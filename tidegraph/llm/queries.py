@@ -36,13 +36,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of documents by 4-word shingles and a similarity of 0.85."""
-    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100).withColumnRenamed("component", "component_id")
-
-
-@query
-def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The groups of op2_jaccard, and the number of links of every document."""
+    """Groups of documents by 4-word shingles and a similarity of 0.85, and the number of links of every document."""
     return ngram_join.jaccard_links(table(spark, sf_dir, "documents"), k=4, num=85, den=100).withColumnRenamed("component", "component_id")
 
 
