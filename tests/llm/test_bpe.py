@@ -54,6 +54,8 @@ def test_operators_on_odd_rows(spark, library):
     got = sorted((r.doc_id if r.doc_id is not None else -1, list(r.token_ids), r.decoded) for r in bpe.decode(bpe.encode(df, PATH), PATH).collect())
     want = sorted((i if i is not None else -1, ids := library.encode(x or "", add_special_tokens=False).ids, library.decode(ids, skip_special_tokens=False)) for i, x, *_ in rows)
     assert got == want
+    at_once = sorted((r.doc_id if r.doc_id is not None else -1, list(r.token_ids), r.decoded) for r in bpe.encode_and_decode(df, PATH).collect())
+    assert at_once == want and bpe.encode_and_decode(df.limit(0), PATH).count() == 0
     counted = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(df, PATH, limit=1024).collect())
     assert counted == sorted((i, len((dict(enumerate(ODD)) | {-1: "a b"})[i].encode() if (dict(enumerate(ODD)) | {-1: "a b"})[i] else b""), len(ids), len(ids) > 1024) for i, ids, _ in want)
 

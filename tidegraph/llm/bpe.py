@@ -7,7 +7,8 @@ would take time quadratic in the word. Words repeat, so each worker remembers wh
 
 Input: any table with an id and a text column; other columns are dropped, so their names can't clash. Null text
 counts as empty: no ids, and decoding gives "". Repeated rows are encoded each for itself. Strings of added tokens
-inside a text become their own ids, as the tokenizers library does by default. An empty table gives an empty table.
+inside a text become their own ids, as the tokenizers library does by default. Texts of any length are encoded whole. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -202,6 +203,12 @@ def encoder(path: str) -> Encoder:
 keeps("bpe", encoder.cache_clear)
 
 
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) for x in found], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
+
+
 def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, token_ids array<int>) of every row."""
     bound_batches(df.sparkSession)
@@ -213,10 +220,24 @@ def encode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
         e = encoder(path)
         for batch in batches:
             found = [e.encode(x.as_py() or "") for x in batch.column(1)]
-            offsets = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x) for x in found], out=offsets[1:])
-            values = np.concatenate(found) if found else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], [id_col, "token_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found)], [id_col, "token_ids"])
+
+    return source.mapInArrow(run, out)
+
+
+def encode_and_decode(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, token_ids, decoded) of every row, as decode(encode(...)), in one pass."""
+    bound_batches(df.sparkSession)
+    source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
+    out = T.StructType([T.StructField(id_col, source.schema["id"].dataType), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("bpe")
+        e = encoder(path)
+        for batch in batches:
+            found = [e.encode(x.as_py() or "") for x in batch.column(1)]
+            texts = pa.array([e.decode(x.tolist()) for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found), texts], [id_col, "token_ids", "decoded"])
 
     return source.mapInArrow(run, out)
 

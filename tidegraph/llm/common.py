@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,7 @@ from tidegraph.storage import filesystem, fresh_path, release, salted, saved, sc
 __all__ = ["WordHashes", "bound_batches", "filesystem", "fresh_path", "keeps", "mix", "release", "salted", "saved", "scratch", "shared_dir", "shingle_hashes", "take_turn", "utf8"]
 
 #: Bytes of input that one Arrow batch may carry to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
@@ -37,13 +40,29 @@ def keeps(name: str, forget: Callable[[], object]) -> None:
     _kept[name] = forget
 
 
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    """The C library, told to map large blocks apart, so that they go back to the system as they are freed; None where it isn't glibc."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(ctypes.c_int(-3), ctypes.c_int(1 << 20))  # M_MMAP_THRESHOLD
+        libc.malloc_trim
+    except (OSError, AttributeError):
+        return None
+    return libc
+
+
 def take_turn(name: str) -> None:
-    """Of the operators that remember things in this worker, only one does so at a time: workers outlive their stages."""
+    """Of the operators that remember things in this worker, only one does so at a time, and what others held goes back to the system: workers outlive their stages."""
     if _turn[0] != name:
         _turn[0] = name
         for other, forget in _kept.items():
             if other != name:
                 forget()
+        gc.collect()
+    if libc := _libc():
+        pa.set_memory_pool(pa.system_memory_pool())
+        libc.malloc_trim(0)
 
 
 class WordHashes(dict):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.llm.common import bound_batches, salted, saved, utf8
+from tidegraph.llm.common import bound_batches, salted, saved, take_turn, utf8
 from tidegraph.llm.toxicity import held_out
 
 _CLASS = np.zeros(256, np.int64)
@@ -105,6 +105,7 @@ def _with_evidence(df: DataFrame, model: Evidence, text_col: str, name: str) ->
     where, full = df.columns.index(text_col), T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("quality")
         for batch in batches:
             shapes = np.array([features(t) for t in utf8(batch.column(where).cast(pa.string()))]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.of(shapes), pa.float64())], full.fieldNames())

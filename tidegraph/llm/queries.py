@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and digest both."""
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE), BYTE_BPE)
+    done = bpe.encode_and_decode(table(spark, sf_dir, "documents"), BYTE_BPE)
     ids = F.concat_ws(",", F.col("token_ids").cast("array<string>"))
     return done.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

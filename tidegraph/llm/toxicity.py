@@ -19,6 +19,7 @@ kinds all scores are 0. Columns other than those named are dropped by ``score``
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +38,9 @@ LETTERS = (4, 5, 7)
 LEAD = max(WIDTHS) - 1
 SLAB = STRETCH * 1024
 #: Words that a worker remembers at least before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Characters that are scored at once, at least.
+PART = 400_000
 _SIGNS = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum())
 
 
@@ -58,15 +61,20 @@ class _WordIndex(dict):
 
     def __init__(self):
         super().__init__()
-        self.rows: list[tuple[int, ...]] = [(0,) * (1 + len(LETTERS))]
+        self.flat = array("i", (0,) * (1 + len(LETTERS)))
+
+    @property
+    def rows(self) -> np.ndarray:
+        """Table rows of the numbers, a copy."""
+        return np.array(self.flat, np.int32).reshape(-1, 1 + len(LETTERS))
 
     def forget(self) -> None:
         self.clear()
-        del self.rows[1:]
+        del self.flat[1 + len(LETTERS) :]
 
     def __missing__(self, word: str) -> int:
-        self[word] = k = len(self.rows)
-        self.rows.append(word_rows(word))
+        self[word] = k = len(self.flat) // (1 + len(LETTERS))
+        self.flat.extend(word_rows(word))
         return k
 
 
@@ -119,7 +127,8 @@ class Model:
         for s, at in zip(split, start.tolist(), strict=True):
             padded[at : at + len(s)] = np.fromiter(map(index.__getitem__, s), np.int32, len(s))
         used, local = np.unique(padded, return_inverse=True)
-        vectors = self.table[np.array([index.rows[u] for u in used.tolist()])].sum(axis=1)
+        rows = index.rows[used]
+        vectors = sum(self.table[rows[:, j]] for j in range(rows.shape[1]))
         f = self.features(self.pooled(local, vectors), stretches)
         return 1 / (1 + np.exp(-np.clip(f @ self.out + self.shift, -30, 30)))
 
@@ -133,7 +142,7 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 6, batch: int = 32
         return model
     index = _WordIndex()
     docs = [np.fromiter(map(index.__getitem__, t.split()), np.int32) for t in texts]
-    rows = np.array(index.rows)
+    rows = index.rows
     seen = np.zeros((2, ROWS))
     for d, label in zip(docs, labels, strict=True):
         seen[label, np.unique(rows[d])] += 1
@@ -250,7 +259,7 @@ def _scored(df: DataFrame, model: Model, text_col: str, name: str) -> DataFrame:
             for t in texts:
                 part.append(t)
                 size += len(t)
-                if size > 1_000_000:
+                if size > PART:
                     scores.append(m.score(part, _index))
                     part, size = [], 0
             scores.append(m.score(part, _index))
