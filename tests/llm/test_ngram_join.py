@@ -122,6 +122,14 @@ def test_repeated_ids_keep_all_links(spark):
     assert kept == [0, 7, 10, 60]
 
 
+def test_without_ids(spark):
+    df = spark.createDataFrame([(i % 900, "t") for i in range(1000)] + [(None, "n")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 2000, 3)], "doc_id long")
+    got = sorted(x.doc_id if x.doc_id is not None else -1 for x in ngram_join._without(df, ids, "doc_id").collect())
+    assert got == sorted([-1] + [i % 900 for i in range(1000) if i % 900 % 3])
+    assert ngram_join._without(df, ids.limit(0), "doc_id").count() == 1001
+
+
 def test_linked_with_equals_sets():
     r = random.Random(10)
     sets = [{x for x in range(30) if r.random() < 0.9} | {r.randrange(100, 140)} for _ in range(50)] + [{1}, {2}]

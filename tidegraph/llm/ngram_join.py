@@ -27,6 +27,7 @@ An empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -170,11 +171,32 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
     return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, matches int, prefix array<long>, salts array<int>, few binary, sign binary")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, tokens) of the documents (id, text) whose id is in ids (id, distinct), and of few others: a bit filter, whose size follows the ids' number up to a bound, spares the rest."""
+def _bit_filter(ids: DataFrame, name: str = "id") -> tuple[int, F.Column, DataFrame]:
+    """For ids (id, distinct): a number of bits, which follows theirs up to a bound; the bit of a column of that name; and (bucket, bits) with the ids' bits set."""
     bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    parts = ids.select((slot + 1).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits")).collect()
+    slot = F.pmod(F.xxhash64(F.col(name)), F.lit(bits))
+    marked = ids.select((slot + 1).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("bucket"))
+    return bits, slot, marked.agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
+
+
+def _without(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """df without the rows whose id is in ids (distinct). A bit filter of bounded size says of most rows that they stay; only the others are joined, so most texts aren't shuffled."""
+    _, slot, parts = _bit_filter(ids, id_col)
+    tag = f"_{uuid.uuid4().hex[:8]}"
+    at = F.bitmap_bit_position(slot + 1)
+    known = parts.select(F.col("bucket").alias(f"bucket{tag}"), F.col("bits").alias(f"bits{tag}"))
+    flagged = df.withColumn(f"bucket{tag}", F.bitmap_bucket_number(slot + 1)).join(F.broadcast(known), f"bucket{tag}", "left")
+    byte = F.conv(F.hex(F.substring(F.col(f"bits{tag}"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    maybe = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    flagged = flagged.withColumn(f"maybe{tag}", maybe)
+    stay = flagged.filter(~F.col(f"maybe{tag}")).select(df.columns)
+    return stay.unionByName(flagged.filter(f"maybe{tag}").select(df.columns).join(ids, id_col, "left_anti").select(df.columns))
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, tokens) of the documents (id, text) whose id is in ids (id, distinct), and of few others: a bit filter spares the rest."""
+    bits, slot, parts = _bit_filter(ids)
+    parts = parts.collect()  # FILTER_BITS at most
     bitmap = np.zeros((-(-bits // 32768), 4096), np.uint8)
     for r in parts:
         bitmap[r.bucket - 1] = np.frombuffer(bytes(r.bits), np.uint8)
@@ -581,7 +603,7 @@ def first_of_groups(df: DataFrame, *, k: int, num: int, den: int, id_col: str =
     groups = jaccard_groups(df, k=k, num=num, den=den, id_col=id_col, text_col=text_col)
     goes = groups.filter(F.col(id_col) != F.col("component")).select(id_col).distinct()
     again = groups.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
-    left = df.join(goes, id_col, "left_anti").select(df.columns)
+    left = _without(df, goes, id_col)
     if again.isEmpty():
         return left
     names = df.columns
