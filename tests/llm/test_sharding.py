@@ -38,6 +38,14 @@ def test_odd_rows(spark):
     check([tuple(r) for r in shard_by_bytes(df, 8).collect()], texts, 8)
 
 
+def test_a_text_longer_than_a_shard(spark):
+    """It goes to one shard whole; the shards that its bytes span beside that one stay empty, and slots have no gaps."""
+    texts = {i: f"text {i}" for i in range(300)} | {300: "long " * 8000, 301: None}
+    rows = [tuple(r) for r in shard_by_bytes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 8).collect()]
+    check(rows, texts, 8)
+    assert len({r[3] for r in rows}) < 8 and [r[1] for r in rows if r[0] == 300] == [40001]
+
+
 def test_repeated_rows_and_small_tables(spark):
     df = spark.createDataFrame([(1, "a")] * 40 + [(None, "b")], "doc_id long, text string")
     rows = shard_by_bytes(df, 4).collect()

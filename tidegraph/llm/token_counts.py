@@ -7,6 +7,8 @@ occurrences of the lowest pair equals applying them one by one, since a merge ne
 than its own; that is checked when the vocabulary is loaded.
 
 Null text counts as empty: 0 bytes, 0 tokens. Extra columns are dropped. Repeated rows are counted each for itself.
+Texts of any length are counted whole, a very long one as a slice of its own, and a very long pre-token is merged like any
+other. A null id stays null. An empty table gives an empty table.
 """
 
 from __future__ import annotations
