@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.operators import kernel
-from tidegraph.storage import fresh_path, saved
+from tidegraph.storage import fresh_path, salted, saved
 
 #: Hops after which reach looks at how many edges are left.
 REACH_ROUNDS = 4
@@ -90,11 +90,11 @@ def scc_distributed(edges: DataFrame) -> DataFrame:
     """scc for graphs of any size: trim, spread the largest ancestor's id forward as a colour, and take what reaches a colour's own node backward within the colour; again with the rest."""
     edges = saved(_pairs(edges).filter("src <> dst").distinct(), "edges")
     everyone = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    done, left = None, trimmed(edges)
-    while not left.isEmpty():
-        if done is not None and fits(left):
-            part = solved(left).select("id", "component")
-            done = saved(done.unionByName(part.join(done.select("id"), "id", "left_anti")), "done")
+    spark, folder, k, left = edges.sparkSession, fresh_path(edges.sparkSession, "components"), 0, trimmed(edges)
+    while not left.isEmpty():  # a round writes what it found only; its nodes leave the graph
+        if k and fits(left):
+            solved(left).select("id", "component").write.parquet(f"{folder}/{k}")
+            k += 1
             break
         colour = saved(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")), "colour")
         while True:
@@ -108,11 +108,13 @@ def scc_distributed(edges: DataFrame) -> DataFrame:
         back = saved(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
         found = saved(reach(back, colour.filter("id = colour").select("id")).join(colour, "id"), "found")
         names = found.groupBy("colour").agg(F.min("id").alias("component"))
-        part = found.join(names, "colour").select("id", "component")
-        done = saved(part if done is None else done.unionByName(part), "done")
+        salted(found, names, ["colour"], ["id"]).select("id", "component").write.parquet(f"{folder}/{k}")
+        k += 1
         left = left.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
         left = trimmed(saved(left.select("src", "dst"), "left"))
-    return with_all(everyone, done) if done is not None else everyone.select("id", F.col("id").alias("component"))
+    if not k:
+        return everyone.select("id", F.col("id").alias("component"))
+    return with_all(everyone, spark.read.schema("id long, component long").option("recursiveFileLookup", True).parquet(folder))
 
 
 def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:

@@ -345,6 +345,16 @@ def inc_metrics(spark, sf_dir):
     return inc.maintained(nodes, start, delta, batch=max(n, 1), cuts=[n]).filter("id is null").select("inserted", "unsettled")
 
 
+@query("SELECT true AS same")
+def histograms_agree(spark, sf_dir):
+    """Whether the maintained components have the histogram of those found from scratch, with time coupling and without."""
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    want = ops.histogram(ops.with_all(nodes, ops.scc(edges)))
+    got = [ops.histogram(registry.maintained_members("batch", name, nodes, start, delta, batch=50)) for name in ("bat_pk2", "bat_cd4cg2")]
+    return spark.createDataFrame([(all(ops.same_histogram(want, g) for g in got),)], "same boolean")
+
+
 @query(f"{_BASE}, {_G0}, {_parts('start', '0')}, {_parts()} SELECT a.part AS part_before, b.part AS part_after, count(*) AS cnt FROM parts0 a JOIN parts b USING (id) GROUP BY 1, 2")
 def inc_partition_migration(spark, sf_dir):
     """How nodes move between parts, as one set of edges comes in."""

@@ -56,10 +56,12 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """What is saved inside is deleted in the end, except what the given function saves."""
+    """What is saved inside is deleted in the end, except what the given function saves; where nothing was, it needn't save anything."""
     _open.append([])
 
     def keep(df: DataFrame, what: str = "result") -> DataFrame:
+        if not _open[-1]:
+            return df
         mine = _open.pop()
         try:
             return saved(df, what)  # belongs to the scratch space around this one, if there is any
