@@ -3,7 +3,7 @@ import pytest
 
 from tidegraph.llm import queries
 
-TABLES = ("documents", "pages", "benchmark")
+TABLES = ("documents", "pages", "benchmark", "embeddings")
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))

@@ -45,4 +45,20 @@ cuts AS (SELECT coalesce(max(CASE WHEN cut - lo <= hi - cut THEN lo ELSE hi END)
 sharded AS (SELECT *, (SELECT count(*) FROM cuts c WHERE p.start >= c.cut) AS shard FROM placed p)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, CAST(nth - min(nth) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM sharded"""
 
-ORACLES = {"op2_jaccard": OP2, "op6_sharding": OP6, "op8_warc": OP8, "op10_decontamination": OP10}
+_DRAW = "CAST('0x' || substr(x, {0}, 8) AS BIGINT)"
+OP11 = rf"""WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
+drawn AS (SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, {_DRAW.format(1)} % (len(u) + 1) AS p, {_DRAW.format(9)} % (len(u) + 1) AS q, {_DRAW.format(17)} % 100 AS c, {_DRAW.format(25)} % 100 AS d FROM cut),
+formed AS (SELECT doc_id, n, text, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR c >= 50 THEN 'plain' WHEN d < 80 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1 : least(p, q)], '') AS a, array_to_string(u[least(p, q) + 1 : greatest(p, q)], '') AS b, array_to_string(u[greatest(p, q) + 1 :], '') AS z FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256 FROM formed"""
+
+OP13 = """WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+ranked AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positive JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10"""
+
+ORACLES = {"op2_jaccard": OP2, "op6_sharding": OP6, "op8_warc": OP8, "op10_decontamination": OP10, "op11_fill_in_middle": OP11, "op13_hard_negatives": OP13}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import ann, bpe, decontamination, ngram_join, quality, sharding, token_counts, toxicity, url_filter, warc
+from tidegraph.llm import ann, bpe, decontamination, fill_in_middle, hard_negatives, ngram_join, quality, sharding, simhash, token_counts, toxicity, url_filter, warc
 from tidegraph.llm.common import fresh_path
 from tidegraph.llm.oracles import ORACLES
 
@@ -103,3 +103,23 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of all other vectors to every hundredth."""
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed, or plain, and rebuilt."""
+    done = fill_in_middle.restored(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.col("restored.sha256").alias("restored_sha256"))
+
+
+@query
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of near copies of every document."""
+    return simhash.near_copies(table(spark, sf_dir, "documents")).withColumnRenamed("component", "component_id")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; of every seventh, the label is the next one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
