@@ -7,7 +7,7 @@ from tests.helpers import closure_components, parts, random_edges
 from tidegraph.functions import edges as fe
 from tidegraph.functions.order import first_rows, numbered
 from tidegraph.operators import incremental as inc
-from tidegraph.operators import kernel, scc
+from tidegraph.operators import kernel, replay, scc
 from tidegraph.operators import time_coupled as tc
 from tidegraph.operators.replay import GM, Replay
 from tidegraph.plans import registry
@@ -86,11 +86,20 @@ def check_replay(r, year, edges):
         if x != y and r.space.get(x) is not None and r.space.get(x) == r.space.get(y):
             assert r.rank[x] > r.rank[y]
     assert len({(r.space[c], r.rank[c]) for c in r.rank}) == len(r.rank) == len(r.space)
+    for at, order in r.orders.items():
+        chain, c = [], order.first
+        while c is not None:
+            chain.append(c)
+            assert order.down[c] == (chain[-2] if len(chain) > 1 else None)
+            c = order.up[c]
+        assert chain == sorted((c for c in r.space if r.space[c] == at), key=r.rank.__getitem__) and order.last == (chain[-1] if chain else None)
 
 
 @pytest.mark.parametrize("coupled", [False, True])
-def test_replay_equals_recomputation(coupled):
-    """Random graphs and batches; the state at the start is made by inserting, too. Some ids turn up late."""
+@pytest.mark.parametrize(("search", "settling"), [("two-way", "single"), ("both", "single"), ("forward", "single"), ("two-way", "islands"), ("two-way", "rounds"), ("both", "rounds")])
+def test_replay_equals_recomputation(coupled, search, settling, monkeypatch):
+    """Random graphs and batches; the state at the start is made by inserting, too. Some ids turn up late. Gaps are narrow, so that labels run out."""
+    monkeypatch.setattr(replay, "GAP", 3)
     for seed in range(120):
         r = random.Random(seed)
         n = 16
@@ -98,7 +107,7 @@ def test_replay_equals_recomputation(coupled):
         known = [v for v in range(n) if year[v]]
         edges, size = [(a, b) for a, b in random_edges(r, n, 35) if a != b], r.choice([1, 2, 5, 35])
         ids = np.array(known)
-        first = Replay(ids, ids, [None if coupled else GM] * len(ids), list(range(1, len(ids) + 1)), np.array([year[v] for v in known]), ids[:0], ids[:0], coupled=coupled)
+        first = Replay(ids, ids, [None if coupled else GM] * len(ids), list(range(1, len(ids) + 1)), np.array([year[v] for v in known]), ids[:0], ids[:0], coupled=coupled, search=search, settling=settling)
         for at in range(0, len(edges), size):
             a, b = zip(*edges[at : at + size], strict=True)
             first.insert(list(a), list(b))
@@ -111,14 +120,72 @@ def test_searches_stay_between_the_ranks():
     """A long path above and below is not looked at."""
     n = 4000
     ids = np.arange(n)
-    r = Replay(ids, ids, [GM] * n, list(range(1, n + 1)), np.zeros(n, int), ids[1:], ids[:-1])
-    r.insert([2000], [2003])
-    assert r.counts.merged == 3 and r.counts.visited == 8
+    for search, visited in (("both", 8), ("forward", 4), ("two-way", 4)):
+        r = Replay(ids, ids, [GM] * n, list(range(1, n + 1)), np.zeros(n, int), ids[1:], ids[:-1], search=search)
+        r.insert([2000], [2003])
+        assert r.counts.merged == 3 and r.counts.visited == visited
 
 
-@pytest.mark.parametrize(("most", "coupled"), [(2_000_000, False), (2_000_000, True)])
+def test_two_way_search_stops_where_it_meets():
+    """A head that leads to much, and a tail that little leads to: the search takes about what the smaller side has."""
+    n, wide = 5000, 4000
+    ids = np.arange(n)
+    # 0 is the tail; 1 .. wide are led to by the head, n - 1
+    src, dst = np.full(wide, n - 1), np.arange(1, wide + 1)
+    for search, most in (("both", 10**6), ("two-way", 10)):
+        r = Replay(ids, ids, [GM] * n, list(range(1, n + 1)), np.zeros(n, int), src, dst, search=search)
+        r.insert([0], [n - 1])
+        assert r.rank[0] > r.rank[n - 1] and all(r.rank[n - 1] > r.rank[v] for v in range(1, wide + 1))
+        assert r.counts.visited <= most and (search != "both" or r.counts.visited > wide)
+
+
+def test_batches_visit_less_than_single_edges():
+    """Islands take one search, whatever the number of their edges."""
+    n = 200
+    ids = np.arange(2 * n)
+    path = [(v, v - 1) for v in range(1, 2 * n) if v != n]  # two paths, and edges from the lower to the upper one
+    edges = [(n - k, n + k - 1) for k in range(1, n + 1)]
+    counts = {}
+    for settling, size in (("single", 1), ("islands", n), ("rounds", n)):
+        edges = edges[::-1] if settling == "rounds" else edges  # the widest first
+        r = Replay(ids, ids, [GM] * 2 * n, list(range(1, 2 * n + 1)), np.zeros(2 * n, int), *(np.array(x) for x in zip(*path, strict=True)), search="both", settling=settling)
+        for at in range(0, len(edges), size):
+            r.insert(*(list(x) for x in zip(*edges[at : at + size], strict=True)))
+        counts[settling] = r.counts
+        check_replay(r, {v: 0 for v in range(2 * n)}, path + edges)
+    assert counts["islands"].visited * 5 <= counts["single"].visited and counts["islands"].islands == 1
+    assert (counts["rounds"].rounds, counts["rounds"].deferred, counts["rounds"].invalid) == (1, n - 1, 1)  # the others wait, and lead downward by then
+
+
+def test_labels_run_out_and_are_made_anew(monkeypatch):
+    monkeypatch.setattr(replay, "GAP", 2)
+    rank, rnd = {}, random.Random(2)
+    order, want = replay.Order(rank), []
+    for c in range(3000):
+        at = rnd.randint(0, len(want)) if c % 3 else min(len(want), 1)
+        order.insert(want[at - 1] if at else None, [c])
+        want.insert(at, c)
+        if c % 7 == 0:
+            gone = want.pop(rnd.randrange(len(want)))
+            order.remove(gone)
+    assert sorted(rank, key=rank.__getitem__) == want and len(set(rank.values())) == len(want)
+    some = sorted(rnd.sample(range(len(want)), 200))
+    new = [want[i] for i in some]
+    rnd.shuffle(new)
+    order.deal([want[i] for i in some], new)
+    for i, c in zip(some, new, strict=True):
+        want[i] = c
+    assert sorted(rank, key=rank.__getitem__) == want
+    c, chain = order.first, []
+    while c is not None:
+        chain.append(c)
+        c = order.up[c]
+    assert chain == want
+
+
+@pytest.mark.parametrize(("most", "coupled"), [(2_000_000, False), (2_000_000, True), (60, False), (60, True)])
 def test_batches_as_sets_and_unlisted_ids(spark, monkeypatch, most, coupled):
-    """Three batches; some ids are listed nowhere, and have year 0 in all paths."""
+    """Two batches; some ids are listed nowhere, and have year 0 in all paths."""
     monkeypatch.setattr(kernel, "LOCAL_ROWS", most)
     r = random.Random(5)
     year = {v: 2000 + v // 8 for v in range(40)}
@@ -126,9 +193,9 @@ def test_batches_as_sets_and_unlisted_ids(spark, monkeypatch, most, coupled):
     edges = [(a, b) for a, b in random_edges(r, 46, 90) if a != b]
     nodes, df = frames(spark, year, edges[:45])
     state = inc.start(nodes, df, coupled=coupled)
-    for at in range(45, 90, 15):
-        state, counts = inc.apply_batch(state, spark.createDataFrame(edges[at : at + 15], "src long, dst long"))
-        now = edges[: at + 15]
+    for at in range(45, 90, 23):
+        state, counts = inc.apply_batch(state, spark.createDataFrame(edges[at : at + 23], "src long, dst long"))
+        now = edges[: at + 23]
         seen = {v: everyone[v] for v in set(year) | {x for e in now for x in e}}
         assert pairs(state.members, "id", "component") == set(closure_components(seen, now).items())
         assert inc.violations(state).first().violations == 0
@@ -136,12 +203,54 @@ def test_batches_as_sets_and_unlisted_ids(spark, monkeypatch, most, coupled):
             assert pairs(state.parts, "id", "part") == set(parts(seen, now).items())
     assert pairs(registry.static_members("tarjan", nodes, spark.createDataFrame(edges, "src long, dst long")), "id", "component") == set(closure_components(seen, edges).items())
     delta = spark.createDataFrame([(i, *e) for i, e in enumerate(edges[45:])], "seq long, src long, dst long")
-    rows = inc.maintained(nodes, df, delta, batch=4, cuts=[20, 45], coupled=coupled).filter("id is not null and cut = 1")
+    rows = inc.maintained(nodes, df, delta, batch=15, cuts=[20, 45], coupled=coupled).filter("id is not null and cut = 1")
     assert pairs(rows, "id", "component") == set(closure_components(seen, edges).items())
     if coupled:
         assert pairs(rows, "id", "part") == set(parts(seen, edges).items())
 
 
+@pytest.mark.parametrize("settling", ["single", "islands", "rounds"])
+def test_replay_apart_counts_as_one_task(spark, monkeypatch, settling):
+    """Islands that are replayed in parallel do the same, edge for edge, as one task does; one of the nodes is new."""
+    r = random.Random(8)
+    n = 120
+    year = {v: 2000 for v in range(n)}
+    edges = sorted({(a, b) for a, b in random_edges(r, n, 110) if a > b})
+    new = [(a, min(n, a + r.randint(1, 6))) for a in r.sample(range(n), 30)] + [(a, b) for a, b in random_edges(r, n, 10) if a > b]
+    r.shuffle(new)
+    nodes, df = frames(spark, year, edges)
+    delta = spark.createDataFrame([(i, *e) for i, e in enumerate(new)], "seq long, src long, dst long")
+    runs = []
+    for most in (2_000_000, 150):
+        monkeypatch.setattr(kernel, "LOCAL_ROWS", most)
+        runs.append(inc.maintained(nodes, df, delta, batch=1 if settling == "single" else 7, cuts=[14, len(new)], search="both", settling=settling).collect())
+    names = [f for f in replay.Counts.__dataclass_fields__ if not f.endswith("seconds") and f != "rounds"]  # each island has rounds of its own
+    one, apart = ([{k: x[k] for k in ["cut", *names]} for x in rows if x.id is None] for rows in runs)
+    assert sorted(one, key=lambda x: x["cut"]) == sorted(apart, key=lambda x: x["cut"]) and one[1]["invalid"] > 3
+    assert {(x["cut"], x.id, x.component) for x in runs[0]} == {(x["cut"], x.id, x.component) for x in runs[1]}
+
+
+def test_sweep_over_years(spark, monkeypatch):
+    """A chain through five years takes a step a year, and finds what a search does; with a small bound, also within a year."""
+    n = 2000
+    year = {v: 2005 - v // (n // 5) for v in range(n)}  # newest first
+    chain = [(v, v + 1) for v in range(n - 1)] + [(n - 1, 0)]  # the last edge leads from the oldest year to the newest
+    nodes, df = frames(spark, year, chain)
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 1000)
+    steps = []
+    real = scc.reach
+    monkeypatch.setattr(tc, "reach", lambda *a: steps.append(1) or real(*a))
+    assert tc.gm(tc.classes(nodes, df)).count() == n
+    assert len(steps) <= 5 + 1
+    r = random.Random(3)
+    year = {v: 2000 + v // 10 for v in range(60)}
+    edges = sorted({(a, b) for a, b in random_edges(r, 60, 90) if a != b and (a > b or r.random() < 0.2)})
+    nodes, df = frames(spark, year, edges)
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 30)
+    want = {v for v, p in parts(year, edges).items() if p == "gm"}
+    assert {x.id for x in tc.gm(tc.classes(nodes, df)).collect()} == want and 0 < len(want) < 60
+
+
 def test_coupled_batches_distributed(spark, monkeypatch):
     nodes, start = frames(spark, YEARS, START)
     monkeypatch.setattr(kernel, "LOCAL_ROWS", 3)

@@ -27,8 +27,8 @@ from tidegraph.functions.edges import listed
 from tidegraph.functions.order import numbered
 from tidegraph.operators import kernel
 from tidegraph.operators.replay import GM, Counts, Replay
-from tidegraph.operators.scc import condensed, fits, levels, reach, scc, solved, with_all
-from tidegraph.operators.time_coupled import partition, tc_scc
+from tidegraph.operators.scc import condensed, fits, levels, scc, solved, with_all
+from tidegraph.operators.time_coupled import partition, swept, tc_scc
 from tidegraph.storage import saved
 
 #: Checkpoints of the increment in percent of the graph, the increment's share, and the sample of single edges.
@@ -104,12 +104,23 @@ def islands(upward: DataFrame) -> DataFrame:
     return found.groupBy("space", "island").agg(F.max("hi").alias("hi")).select("space", F.col("island").alias("lo"), "hi")
 
 
-def _placed(order: DataFrame, found: DataFrame) -> DataFrame:
-    """(component, space, rank, island): components whose rank lies in an island. A range join by blocks of ranks, which grow with the ranks."""
-    width = max(1, (order.agg(F.max("rank")).first()[0] or 1) // 4096)
-    blocks = found.withColumn("block", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    at = order.withColumn("block", F.floor(F.col("rank") / width)).join(blocks, ["space", "block"])
-    return at.filter(F.col("rank").between(F.col("lo"), F.col("hi"))).select("component", "space", "rank", F.col("lo").alias("island"))
+def in_islands(order: DataFrame, found: DataFrame) -> DataFrame:
+    """(component, space, rank, island): components whose rank lies in an island (space, lo, hi), known by its start.
+
+    Both are put in one order of space and rank, and the last island's start and end are carried along: within a range
+    by a window, and into a range from what lies before it, one row a range.
+    """
+    n = int(order.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(None).cast("long")
+    rows = order.select("space", F.col("rank").alias("at"), F.lit(1).alias("kind"), "component", none.alias("hi"))
+    rows = rows.unionByName(found.select("space", F.col("lo").alias("at"), F.lit(0).alias("kind"), none.alias("component"), "hi"))
+    ranged = saved(rows.repartitionByRange(n, "space", "at", "kind").withColumn("range_", F.spark_partition_id()), "ranged")
+    open_ = F.when(F.col("kind") == 0, F.struct("space", "at", "hi"))
+    last = ranged.groupBy("range_").agg(F.max(open_).alias("last"))  # one row a range: starts ascend
+    before = last.select("range_", F.last("last", ignorenulls=True).over(Window.partitionBy().orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    within = Window.partitionBy("range_").orderBy("space", "at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = ranged.withColumn("own", F.last(open_, ignorenulls=True).over(within)).join(F.broadcast(before), "range_").withColumn("island", F.coalesce("own", "before"))
+    return carried.filter("kind = 1 and island.space = space and at <= island.hi").select("component", "space", F.col("at").alias("rank"), F.col("island.at").alias("island"))
 
 
 def _solve_island(t: pa.Table) -> pa.Table:
@@ -128,6 +139,14 @@ def _relabelled(edges: DataFrame, moved: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").select("src", "dst").distinct()
 
 
+def _joined(state: State, new: DataFrame, edges: DataFrame) -> State:
+    """The state after islands were solved: new has each of their components, what it joined, and the rank of that."""
+    order = state.order.join(new.select("component"), "component", "left_anti").unionByName(new.select(F.col("joined").alias("component"), "space", "rank").distinct())
+    moved = new.select("component", "joined").filter("component <> joined")
+    members = state.members.join(moved, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
+    return State(saved(members, "members"), saved(order, "order"), saved(_relabelled(edges, moved), "edges"), state.parts)
+
+
 def _with_new_nodes(state: State, delta: DataFrame) -> State:
     """The state with nodes that the batch names first: components of their own, above all others, of year 0."""
     ids = delta.select(F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("id")).filter("id is not null").distinct()
@@ -152,8 +171,13 @@ def _with_new_parts(state: State, delta: DataFrame, edges: DataFrame) -> tuple[S
     to_gm = ends.filter("p_dst <> 'gm' and (p_src = 'gm' or y_src < y_dst)").select(F.col("dst").alias("id"))
     to_gsi = ends.filter("p_dst = 'gr' and y_src = y_dst").select(F.col("dst").alias("id")).distinct()
     inner = _spaces(state.members, state.parts).filter(F.col("space") == GM).select(F.col("component").alias("dst"))
-    seeds = state.members.join(to_gm, "id").select(F.col("component").alias("id")).distinct()
-    found = saved(reach(saved(edges.join(inner, "dst", "left_anti").select("src", "dst"), "outside"), seeds).withColumnRenamed("id", "component"), "migrated")
+    # a component outside Gm lies in one year, and no edge between such leads to a newer one but those whose heads move now
+    years = saved(state.members.join(state.parts.filter("part <> 'gm'").select("id", "year"), "id").groupBy("component").agg(F.min("year").alias("year")), "years")
+    seeds = state.members.join(to_gm.distinct(), "id").select("component").distinct().join(years, "component").select(F.col("component").alias("id"), "year")
+    outside = edges.join(inner, "dst", "left_anti").select("src", "dst")
+    for end in ("src", "dst"):
+        outside = outside.join(years.select(F.col("component").alias(end), F.col("year").alias(f"y_{end}")), end)
+    found = saved(swept(saved(outside.filter("y_src >= y_dst"), "outside"), seeds).withColumnRenamed("id", "component"), "migrated")
     moved = saved(state.members.join(found, "component", "left_semi").select("id"), "moved")
     now = state.parts.join(moved.withColumn("to", F.lit("gm")), "id", "left").join(to_gsi.withColumn("or", F.lit("gsi")), "id", "left")
     parts = saved(now.select("id", "year", F.coalesce("to", "or", "part").alias("part")), "parts")
@@ -183,7 +207,7 @@ def apply_batch(state: State, delta: DataFrame) -> tuple[State, dict[str, int]]:
     counts["invalid"] = upward.count()
     if not counts["invalid"]:
         return State(state.members, state.order, edges, state.parts), counts
-    inside = saved(_placed(state.order, islands(upward)), "inside")
+    inside = saved(in_islands(state.order, islands(upward)), "inside")
     counts["affected"] = inside.count()
     both = edges
     for end in ("src", "dst"):
@@ -201,10 +225,7 @@ def apply_batch(state: State, delta: DataFrame) -> tuple[State, dict[str, int]]:
         dealt = turn.join(slot, ["island_", "k"])
         new = joined.select(F.col("id").alias("component"), F.col("component").alias("joined")).join(dealt.select(F.col("component").alias("joined"), "space", "rank"), "joined").select("component", "joined", "space", "rank")
     new = saved(new, "new")
-    order = state.order.join(new.select("component"), "component", "left_anti").unionByName(new.select(F.col("joined").alias("component"), "space", "rank").distinct())
-    moved = new.select("component", "joined").filter("component <> joined")
-    members = state.members.join(moved, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
-    return State(saved(members, "members"), saved(order, "order"), saved(_relabelled(edges, moved), "edges"), state.parts), counts
+    return _joined(state, new, edges), counts
 
 
 def violations(state: State) -> DataFrame:
@@ -218,8 +239,8 @@ def violations(state: State) -> DataFrame:
 COUNTED = ", ".join(f"{f.name} {'double' if f.name.endswith('seconds') else 'long'}" for f in fields(Counts))
 
 
-def replay(state: State, delta: DataFrame, batch: int, cuts: list[int]) -> DataFrame:
-    """Insert (seq, src, dst) in order, batch by batch, up to each cut, inside one task: (cut, id, component, part, and the counts of Counts, which rows without an id have)."""
+def replay(state: State, delta: DataFrame, batch: int, cuts: list[int], *, search: str = "two-way", settling: str = "single") -> DataFrame:
+    """Insert (seq, src, dst) in order, batch by batch, up to each cut, inside one task: (cut, id, component, part, and the counts of Counts, which rows without an id have). search, settling: as Replay."""
     coupled = state.parts is not None
     long = lambda x: x.cast("long")
     members = state.members.join(state.order, "component", "left")
@@ -237,7 +258,7 @@ def replay(state: State, delta: DataFrame, batch: int, cuts: list[int]) -> DataF
         old, new = kind == 1, np.flatnonzero(kind == 2)
         new = new[np.argsort(c[new], kind="stable")]
         space = t.column(4).take(pa.array(node)).to_pylist()
-        r = Replay(a[node], b[node], space, c[node].tolist(), t.column(5).take(pa.array(node)).fill_null(0).to_numpy(), a[old], b[old], coupled=coupled)
+        r = Replay(a[node], b[node], space, c[node].tolist(), t.column(5).take(pa.array(node)).fill_null(0).to_numpy(), a[old], b[old], coupled=coupled, search=search, settling=settling)
         out, at = [], 0
         for n, cut in enumerate(cuts):
             r.counts = Counts()
@@ -268,22 +289,127 @@ def strided(delta: DataFrame, n: int, most: int = SINGLE_EDGES) -> DataFrame:
     return delta.filter((F.col("seq") % step == 0) & (F.col("seq") <= step * (most - 1))).withColumn("seq", F.floor(F.col("seq") / step).cast("long"))
 
 
-def maintained(nodes: DataFrame, edges: DataFrame, delta: DataFrame, *, batch: int, cuts: list[int], coupled: bool = False) -> DataFrame:
-    """As replay, whatever the size: inside one task where nodes, graph and increment fit it. A larger graph takes all edges up to a cut as one set; after each cut, components and parts are the same."""
+def _window(delta: DataFrame, at: int, end: int) -> DataFrame:
+    return delta.filter((F.col("seq") >= at) & (F.col("seq") < end))
+
+
+def replay_apart(state: State, delta: DataFrame, batch: int, *, search: str = "two-way", settling: str = "single") -> tuple[State, dict[str, int | float]] | None:
+    """Insert (seq, src, dst), none of which changes parts, as replay does, island by island in parallel; the state after it, and its counts.
+
+    A new cycle, and any new place, lies inside an island of the places that these edges span, and what an island does
+    depends on its own components and edges alone. Each island is therefore a replay of its own, in which edges and
+    batches keep their order; edges between islands lead downward, whatever happens. None if an island doesn't fit a task.
+    """
+    state = _with_new_nodes(state, delta)
+    ends = delta.select(*[F.col(c).cast("long") for c in ("seq", "src", "dst")]).filter("src <> dst")
+    for end in ("src", "dst"):
+        ends = ends.join(state.members.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}")), end)
+    ends = saved(ends.filter("c_src <> c_dst").select("seq", F.col("c_src").alias("src"), F.col("c_dst").alias("dst")), "ends")
+    placed = ends
+    for end in ("src", "dst"):
+        placed = placed.join(state.order.select(F.col("component").alias(end), F.col("space").alias(f"s_{end}"), F.col("rank").alias(f"r_{end}")), end, "left")
+    upward = saved(placed.filter("s_src = s_dst and r_src < r_dst").select(F.col("s_src").alias("space"), "r_src", "r_dst"), "upward")
+    counts: dict[str, int | float] = {f.name: 0 for f in fields(Counts)}
+    counts["inserted"] = ends.count()
+    edges = state.edges.unionByName(ends.select("src", "dst")).distinct()
+    if upward.isEmpty():
+        return State(state.members, state.order, saved(edges, "edges"), state.parts), counts
+    inside = saved(in_islands(state.order, islands(upward)), "inside")
+    own = inside.select("component", "space", "island")
+
+    def within(df: DataFrame) -> DataFrame:
+        for end in ("src", "dst"):
+            df = df.join(own.select(F.col("component").alias(end), F.col("island").alias(f"i_{end}"), F.col("space").alias(f"s_{end}")), end)
+        return df.filter("i_src = i_dst and s_src = s_dst").withColumnRenamed("s_src", "space").withColumnRenamed("i_src", "island")
+
+    none = F.lit(0).cast("long")
+    rows = inside.select("space", "island", F.lit(0).alias("kind"), F.col("component").alias("a"), none.alias("b"), F.col("rank").alias("c"))
+    rows = rows.unionByName(within(state.edges).select("space", "island", F.lit(1).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), none.alias("c")))
+    rows = saved(rows.unionByName(within(ends).select("space", "island", F.lit(2).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("seq").alias("c"))), "islands")
+    sizes = rows.groupBy("space", "island").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("kind") == 2, 1)).alias("new"))
+    if not sizes.filter(F.col("n") > kernel.LOCAL_ROWS).isEmpty():
+        return None
+    counts["inserted"] -= sizes.agg(F.sum("new")).first()[0]
+
+    def run(t: pa.Table) -> pa.Table:
+        kind, a, b, c = (t.column(k).to_numpy() for k in ("kind", "a", "b", "c"))
+        node, old, new = (np.flatnonzero(kind == k) for k in range(3))
+        node, new = node[np.argsort(a[node])], new[np.argsort(c[new], kind="stable")]
+        n = len(node)
+        r = Replay(a[node], a[node], [GM] * n, c[node].tolist(), np.zeros(n, np.int64), a[old], b[old], search=search, settling=settling)
+        edges_ = np.flatnonzero(np.diff(c[new] // batch)) + 1
+        for part in np.split(new, edges_):
+            r.insert(a[part].tolist(), b[part].tolist())
+        slots = dict(zip(sorted(r.rank, key=r.rank.__getitem__), np.sort(c[node]).tolist(), strict=False))
+        many = lambda x, kind: pa.array([x] * n, kind)
+        space = t.column("space")[0].as_py()
+        out = {"component": pa.array(r.ids), "joined": pa.array([r.name[x] for x in r.of]), "space": many(space, pa.int64()), "rank": pa.array([slots[x] for x in r.of])}
+        plain = pa.table(out | {f.name: pa.nulls(n, pa.float64() if f.name.endswith("seconds") else pa.int64()) for f in fields(Counts)})
+        sums = {"component": pa.nulls(1, pa.int64()), "joined": pa.nulls(1, pa.int64()), "space": pa.array([space]), "rank": pa.nulls(1, pa.int64())}
+        sums |= {f.name: pa.array([x], pa.float64() if f.name.endswith("seconds") else pa.int64()) for f, x in zip(fields(Counts), r.counts.as_tuple(), strict=True)}
+        return pa.concat_tables([plain, pa.table(sums)])
+
+    done = saved(rows.groupBy("space", "island").applyInArrow(run, f"component long, joined long, space long, rank long, {COUNTED}"), "done")
+    total = done.filter("component is null").agg(*[F.sum(f.name).alias(f.name) for f in fields(Counts)]).first()
+    for f in fields(Counts):
+        counts[f.name] += total[f.name]
+    return _joined(state, done.filter("component is not null").select("component", "joined", "space", "rank"), edges), counts
+
+
+def _changes_parts(state: State, delta: DataFrame) -> DataFrame:
+    """(seq): edges that would change parts as they are now, or that name new nodes."""
+    ends = delta.filter("src <> dst")
+    for end in ("src", "dst"):
+        ends = ends.join(state.parts.select(F.col("id").alias(end), F.col("part").alias(f"p_{end}"), F.col("year").alias(f"y_{end}")), end, "left")
+    new = F.col("p_src").isNull() | F.col("p_dst").isNull()
+    to_gm = (F.col("p_dst") != "gm") & ((F.col("p_src") == "gm") | (F.col("y_src") < F.col("y_dst")))
+    return ends.filter(new | to_gm | ((F.col("p_dst") == "gr") & (F.col("y_src") == F.col("y_dst")))).select("seq")
+
+
+def _advance(state: State, delta: DataFrame, at: int, end: int, batch: int, counts: dict, **method: str) -> State:
+    """The state after the edges at to end, where batches start at multiples of batch from 0. counts gets what they did; None where sets were inserted, for what sets don't tell."""
+
+    def add(found: dict) -> None:
+        for k in counts:
+            counts[k] = None if counts[k] is None or k not in found else counts[k] + found[k]
+
+    while at < end:
+        stop = end
+        if state.parts is not None:
+            first = _changes_parts(state, _window(delta, at, end)).agg(F.min("seq")).first()[0]
+            if first is not None and first < at + batch - at % batch:  # this batch changes parts
+                stop = min(end, at + batch - at % batch)
+                state, found = apply_batch(state, _window(delta, at, stop))
+                add(found)
+                at = stop
+                continue
+            stop = end if first is None else first - first % batch
+        while (found := replay_apart(state, _window(delta, at, stop), batch, **method)) is None and stop - at > batch:
+            stop = at + max(1, (stop - at) // (2 * batch)) * batch
+        if found is None:  # one batch spans too much for a task
+            found = apply_batch(state, _window(delta, at, stop))
+        state = found[0]
+        add(found[1])
+        at = stop
+    return state
+
+
+def maintained(nodes: DataFrame, edges: DataFrame, delta: DataFrame, *, batch: int, cuts: list[int], coupled: bool = False, search: str = "two-way", settling: str = "single") -> DataFrame:
+    """As replay, whatever the size: inside one task where nodes, graph and increment fit it, else island by island. There, a batch that changes parts, or whose islands don't fit a task, is inserted as a set, which tells only some counts; the others are null for that cut."""
     nodes = saved(listed(nodes, edges, delta), "listed")
     state = start(nodes, edges, coupled=coupled)
+    method = {"search": search, "settling": settling}
     if fits(nodes, edges, delta):
-        return saved(replay(state, delta, batch, cuts), "replay")
+        return saved(replay(state, delta, batch, cuts, **method), "replay")
     out, at = None, 0
     for n, cut in enumerate(cuts):
-        counts = {f.name: None for f in fields(Counts)}
-        if cut > at:
-            state, found = apply_batch(state, delta.filter((F.col("seq") >= at) & (F.col("seq") < cut)))
-            counts, at = counts | found, cut
+        counts: dict[str, int | float | None] = {f.name: 0 for f in fields(Counts)}
+        state, at = _advance(state, delta, at, cut, batch, counts, **method), max(at, cut)
         part = state.parts.select("id", "part") if coupled else state.members.select("id", F.lit(None).cast("string").alias("part"))
         kinds = [(f.name, "double" if f.name.endswith("seconds") else "long") for f in fields(Counts)]
         own = state.members.join(part, "id").select(F.lit(n).cast("long").alias("cut"), "id", "component", "part", *[F.lit(None).cast(k).alias(name) for name, k in kinds])
-        metrics = own.sparkSession.createDataFrame([(n, None, None, None, *counts.values())], own.schema)
+        seconds = [None if x is None else float(x) if name.endswith("seconds") else int(x) for name, x in counts.items()]
+        metrics = own.sparkSession.createDataFrame([(n, None, None, None, *seconds)], own.schema)
         both = saved(own.unionByName(metrics), "cut")
         out = both if out is None else out.unionByName(both)
     return out

@@ -12,14 +12,50 @@ from pyspark.sql import functions as F
 from tidegraph.functions.edges import dated, edge_class, listed
 from tidegraph.operators import kernel
 from tidegraph.operators.scc import fits, reach, scc, solved, with_all
-from tidegraph.storage import saved
+from tidegraph.storage import fresh_path, saved
+
+
+def swept(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id): seeds (id, year), and what edges (src, dst, y_src, y_dst) lead to from them, none of which leads to a newer year.
+
+    A large graph is swept once, year by year, the newest first: a year is closed under its own edges, and what it leads
+    to in older years waits there. So a step a year is taken, however long paths are; the edges of each year are read once.
+    """
+    if fits(edges, seeds):
+        return reach(edges, seeds)
+    spark = edges.sparkSession
+    folder = fresh_path(spark, "swept")
+    edges.select("src", "dst", F.col("y_src").alias("year"), F.col("y_dst").alias("to")).repartition("year").write.partitionBy("year").parquet(f"{folder}/edges")
+    seeds.select("id", "year").distinct().write.parquet(f"{folder}/hits/0")
+    own = spark.read.schema("src long, dst long, to long, year long").parquet(f"{folder}/edges")
+    hits = lambda: spark.read.schema("id long, year long").option("recursiveFileLookup", True).parquet(f"{folder}/hits")
+    k, last = 0, None
+    while True:
+        known = hits() if last is None else hits().filter(F.col("year") < last)
+        last = known.agg(F.max("year")).first()[0]
+        if last is None:
+            break
+        k += 1
+        begin = known.filter(F.col("year") == last).select("id").distinct()
+        mine = own.filter(F.col("year") == last)
+        reach(mine.filter("to = year").select("src", "dst"), begin).write.parquet(f"{folder}/found/{k}")
+        found = spark.read.schema("id long").parquet(f"{folder}/found/{k}")
+        ahead = mine.filter("to < year").join(found.withColumnRenamed("id", "src"), "src", "left_semi")
+        ahead.select(F.col("dst").alias("id"), F.col("to").alias("year")).distinct().write.parquet(f"{folder}/hits/{k}")
+    if not k:
+        return seeds.select("id")
+    return spark.read.schema("id long").option("recursiveFileLookup", True).parquet(f"{folder}/found").distinct()
 
 
 def gm(classed: DataFrame, direction: str = "forward") -> DataFrame:
-    """(id) of Gm, from classed edges. backward: what leads to the heads, instead of what they lead to."""
-    seeds = classed.filter("edge_class = 'unorder'").select(F.col("dst").alias("id")).distinct()
-    edges = classed.select("src", "dst") if direction == "forward" else classed.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return reach(edges, seeds)
+    """(id) of Gm, from classed edges. backward: what leads to the heads, instead of what they lead to.
+
+    Forward, edges from older to newer nodes need no following, since all their heads are seeds.
+    """
+    heads = classed.filter("edge_class = 'unorder'")
+    if direction == "forward":
+        return swept(classed.filter("edge_class <> 'unorder'"), heads.select(F.col("dst").alias("id"), F.col("y_dst").alias("year")).distinct())
+    return reach(classed.select(F.col("dst").alias("src"), F.col("src").alias("dst")), heads.select(F.col("dst").alias("id")).distinct())
 
 
 def gsi(classed: DataFrame, inner: DataFrame, direction: str = "forward") -> DataFrame:
@@ -36,7 +72,7 @@ def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def partition(nodes: DataFrame, edges: DataFrame, direction: str = "forward") -> DataFrame:
     """(id, part) of all nodes, also those that aren't listed: gm, gsi or gr."""
     nodes = listed(nodes, edges)
-    classed = saved(classes(nodes, edges).select("src", "dst", "edge_class", "y_dst"), "classed")
+    classed = saved(classes(nodes, edges).select("src", "dst", "edge_class", "y_src", "y_dst"), "classed")
     inner = saved(gm(classed, direction), "gm")
     parts = inner.withColumn("part", F.lit("gm")).unionByName(gsi(classed, inner, direction).withColumn("part", F.lit("gsi")))
     return nodes.select("id").join(parts, "id", "left").select("id", F.coalesce("part", F.lit("gr")).alias("part"))

@@ -270,7 +270,7 @@ def _inc_members(name, spark, sf_dir):
 @query(f"{_ALL} SELECT id, component FROM comp", *[f"bat_members_{a.removeprefix('bat_')}" for a in registry.BATCH])
 def _bat_members(name, spark, sf_dir):
     nodes, _, edges = graphs.local_graph(spark, sf_dir)
-    return registry.maintained_members("batch", name.replace("bat_members_", "bat_"), nodes, *graphs.split_increment(edges), batch=100).select("id", "component")
+    return registry.maintained_members("batch", name.replace("bat_members_", "bat_"), nodes, *graphs.split_increment(edges), batch=BATCH).select("id", "component")
 
 
 @query(f"{_ALL} SELECT id, component FROM comp")
@@ -345,6 +345,24 @@ def inc_metrics(spark, sf_dir):
     return inc.maintained(nodes, start, delta, batch=max(n, 1), cuts=[n]).filter("id is null").select("inserted", "unsettled")
 
 
+#: Edges of a batch, and islands of the upward ones in the first order, merged by a running maximum.
+BATCH = 100
+
+
+@query(f"""{_BASE}, {_DELTA}, {_G0}, {_closure('start')}, cedge AS (SELECT DISTINCT a.component AS s, b.component AS t FROM start e JOIN comp a ON a.id = e.s JOIN comp b ON b.id = e.t WHERE a.component <> b.component),
+lv(c, d) AS (SELECT DISTINCT component, 0 FROM comp UNION SELECT ce.s, lv.d + 1 FROM lv JOIN cedge ce ON ce.t = lv.c), lvl AS (SELECT c AS component, max(d) AS level FROM lv GROUP BY c),
+ranked AS (SELECT id, component, rank FROM comp JOIN (SELECT component, row_number() OVER (ORDER BY level, component) AS rank FROM lvl) USING (component)),
+batch AS (SELECT a.component <> b.component AS new, a.rank AS lo, b.rank AS hi FROM delta e JOIN ranked a ON a.id = e.s JOIN ranked b ON b.id = e.t WHERE e.seq < {BATCH}),
+span AS (SELECT lo, hi, max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM batch WHERE new AND lo < hi)
+SELECT (SELECT count(*) FROM batch WHERE new) AS inserted, count(*) AS invalid, count(*) FILTER (far IS NULL OR lo > far) AS islands FROM span""")
+def bat_metrics(spark, sf_dir):
+    """The first batch: edges between components, those that lead upward, and the islands that these make."""
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    rows = inc.maintained(nodes, start, delta, batch=BATCH, cuts=[min(BATCH, delta.count())], **registry.method("bat_pk2"))
+    return rows.filter("id is null").select("inserted", "invalid", "islands")
+
+
 @query("SELECT true AS same")
 def histograms_agree(spark, sf_dir):
     """Whether the maintained components have the histogram of those found from scratch, with time coupling and without."""

@@ -22,6 +22,9 @@ STATIC = ("tarjan", "gabow", "kosaraju", "pearce", "pearce2", "tc_tarjan", "tc_g
 SINGLE = ("ahrsz", "hkmst", "pk", "mnr", "tc_ahrsz", "tc_hkmst", "tc_pk", "tc_mnr", "dyn_pearce2", "dyn_tc_pearce2")
 BATCH = ("bat_pk2", "bat_ahrsz", "bat_ahrsz_p", "bat_cd4cg", "bat_cd4cg2")
 KINDS = {"static": STATIC, "inc": SINGLE, "batch": BATCH}
+#: How single edges are searched, and how batches are settled, by name; tc_ before a name changes neither.
+SEARCH = {"mnr": "forward", "pk": "both", "ahrsz": "two-way", "hkmst": "two-way"}
+SETTLING = {"bat_pk2": "islands", "bat_ahrsz": "islands", "bat_ahrsz_p": "rounds", "bat_cd4cg": "rounds", "bat_cd4cg2": "islands"}
 
 
 def check(kind: str, name: str) -> None:
@@ -36,6 +39,11 @@ def coupled(name: str) -> bool:
     return name.startswith("tc_") or "cd4cg" in name
 
 
+def method(name: str) -> dict[str, str]:
+    """How a name settles what it inserts."""
+    return {"search": SEARCH.get(name.removeprefix("tc_"), "two-way"), "settling": SETTLING.get(name, "single")}
+
+
 def static_members(name: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): of all nodes, or, for time-coupled names, of those that the decomposition visits."""
     check("static", name)
@@ -82,7 +90,7 @@ def maintained_members(kind: str, name: str, nodes: DataFrame, edges: DataFrame,
     cuts = [delta.count()] if cuts is None else cuts
     if name.startswith("dyn_"):
         return recomputed(nodes, edges, delta, cuts, name == "dyn_tc_pearce2")[0]
-    rows = inc.maintained(nodes, edges, delta, batch=1 if kind == "inc" else batch, cuts=cuts, coupled=coupled(name))
+    rows = inc.maintained(nodes, edges, delta, batch=1 if kind == "inc" else batch, cuts=cuts, coupled=coupled(name), **method(name))
     return rows.filter("id is not null").select("cut", "id", "component")
 
 
@@ -155,7 +163,7 @@ def run(spark: SparkSession, c: Config) -> Result:
         for k in ("parted_seconds", "whole_seconds"):
             out.dynamic[k.replace("_", " ")] = " : ".join(f"{getattr(r, k):.6f}" for r in runs)
     else:
-        both = saved(inc.maintained(nodes, edges, delta, batch=batch, cuts=cuts, coupled=coupled(c.name)), "maintained")
+        both = saved(inc.maintained(nodes, edges, delta, batch=batch, cuts=cuts, coupled=coupled(c.name), **method(c.name)), "maintained")
         rows, metrics = both.filter("id is not null"), both.filter("id is null").orderBy("cut").collect()  # one row a cut
         for f in fields(Counts):
             out.dynamic[f.name.replace("_", " ")] = " : ".join("-" if m[f.name] is None else f"{m[f.name]:.6f}" if isinstance(m[f.name], float) else str(m[f.name]) for m in metrics)
