@@ -61,6 +61,67 @@ def test_scores_equal_plain_convolution():
     assert ((p >= 0.5) == [y for _, _, y, _ in rows]).mean() > 0.95
 
 
+def test_gradients_equal_differences():
+    """Every kind of parameter, by central differences of the loss in double precision."""
+    r = np.random.default_rng(4)
+    texts = [[1, 2, 3, 4, 5] * 9, [6, 2], [7, 8, 9] * 30]
+    table_rows = r.integers(1, 40, (10, 4))
+    table_rows[0] = 0
+    start, stretches = toxicity.layout([len(t) for t in texts])
+    words = np.zeros(int(stretches.sum()) * toxicity.STRETCH, int)
+    for t, at in zip(texts, start.tolist(), strict=True):
+        words[at : at + len(t)] = t
+    y, width = np.array([1.0, 0.0, 1.0]), len(toxicity.WIDTHS) * toxicity.FILTERS
+    m = toxicity.Model(r.normal(0, 0.3, (40, toxicity.DIM)), [r.normal(0, 0.4, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS], r.normal(0, 0.1, width), r.normal(0, 0.5, 2 * width), 0.2, {}, True)
+    m.table[0] = 0
+
+    def loss():
+        x = np.concatenate((m.table[table_rows[words]].sum(axis=1), np.zeros((max(toxicity.WIDTHS) - 1, toxicity.DIM))))
+        n = len(x) - max(toxicity.WIDTHS) + 1
+        z = np.concatenate([sum(x[j : n + j] @ w[j] for j in range(len(w))) for w in m.filters], axis=1) + m.bias
+        z, total, at = np.maximum(z, 0), 0.0, 0
+        for k, label in zip(stretches.tolist(), y.tolist(), strict=True):
+            top = z[at : at + k * toxicity.STRETCH].reshape(k, toxicity.STRETCH, -1).max(axis=1)
+            at += k * toxicity.STRETCH
+            s = np.concatenate((top.mean(axis=0), top.max(axis=0))) @ m.out + m.shift
+            total += np.log1p(np.exp(-s if label else s)) / len(y)
+        return total + toxicity.DECAY / 2 * (sum((w**2).sum() for w in m.filters) + (m.out**2).sum())
+
+    grads, moved = toxicity.gradients(m, table_rows[words], stretches, y)
+    e = 1e-5
+    for p, g in zip([m.table, *m.filters, m.bias, m.out], grads, strict=True):
+        for i in r.integers(0, p.size, 40).tolist():
+            at = np.unravel_index(i, p.shape)
+            if p is m.table and at[0] == 0:
+                continue
+            p[at] += e
+            up = loss()
+            p[at] -= 2 * e
+            down = loss()
+            p[at] += e
+            assert abs((up - down) / (2 * e) - g[at]) < 1e-6
+    m.shift += e
+    up = loss()
+    m.shift -= 2 * e
+    assert abs((up - loss()) / (2 * e) - moved) < 1e-6
+
+
+def test_fitted_on_whole_texts(spark):
+    """Toxic words far behind the first thousands of characters are learnt; ids choose rows and nothing else; texts that are too long leave their place to others."""
+    r = random.Random(6)
+    calm = [f"{a}{b}" for a in "bdfglm" for b in ("elo", "ani", "uro", "ito")]
+    body = lambda bad: " ".join([r.choice(calm) for _ in range(1500)] + (["zgrimox"] * 60 if bad else []))
+    rows = [(i, body(i % 3 == 0), int(i % 3 == 0)) for i in range(150)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    m = toxicity.train(docs, labels, epochs=8)
+    low, high = m.score([body(False), body(True)], toxicity._WordIndex())
+    assert low < 0.5 < high
+    few = toxicity.train(docs, labels, most_bytes=20_000)  # a sixteenth of that is less than any text
+    assert not few.fitted
+    assert toxicity.in_batches([5, 5, 10**6, 1, 1, 1], 2) == [[0, 1], [2], [3, 4], [5]]
+
+
 def test_odd_rows(spark):
     rows = sample()
     docs = spark.createDataFrame([(i, t, g, 0.0, 1) for i, t, _, g in rows] + [(None, "vile " * 50, None, 0.0, 1), (900, None, "en", 0.0, 1), (901, "", "xx", 0.0, 1), (0, rows[0][1], "en", 0.0, 1), (902, "vile words " * 50000, "en", 0.0, 1)], "doc_id long, text string, lang string, score double, toxic int")

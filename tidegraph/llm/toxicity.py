@@ -5,11 +5,16 @@ of its first 4, 5 and 7 letters. Filters one, two and three words wide slide ove
 max-pooled within stretches of 32 words; the mean and the maximum of the stretches enter a logistic output. Rows that
 the training sample touches in few documents stay at zero, so rare words can't be learnt by heart.
 
-It is fitted on a bounded sample of labelled rows (``most_rows``, by a hash of the id; crops of ``crop_chars``
-characters), and scores whole texts, slab by slab, so that a text of any length needs the same memory. Rows whose
-crc32(id as text) mod 5 is 0 are held out of fitting. A fifth of the sample isn't fitted on: the scores of its whole
-texts calibrate the thresholds. A score depends on the text alone; only the decision ``toxic`` also looks at the
-language. An empty table gives an empty result.
+It is fitted on whole texts of a bounded sample of labelled rows: at most ``most_rows``, and at most ``most_bytes`` of
+text, in the order of a hash of the id; a row whose text doesn't fit what is left, or has over a sixteenth of
+``most_bytes``, is passed over. It scores whole texts,
+slab by slab, so that a text of any length needs the same memory. Rows whose crc32(id as text) mod 5 is 0 are held out
+of fitting. A fifth of the sample isn't fitted on: the scores of its texts calibrate the thresholds. A score depends on
+the text alone, and the id decides no more than which rows are in the sample; only the decision ``toxic`` also looks at
+the language. An empty table gives an empty result.
+
+Repeated documents have the same score, each for itself; of a labelled document that is repeated, every row of the
+sample's id is fitted on.
 
 Null text counts as empty, which has a score too. A null id gives held_out false. Labels that are null, not 0 or 1, or
 without a document, don't count; a label that is given twice counts once, the larger. Without any labels of both
@@ -37,6 +42,10 @@ LETTERS = (4, 5, 7)
 #: Empty rows before a text, as many as a window reaches ahead.
 LEAD = max(WIDTHS) - 1
 SLAB = STRETCH * 1024
+#: Weight of the squares of filters and output in the loss; words of a batch that is fitted on at once.
+DECAY, BATCH_WORDS = 1e-4, 300_000
+#: Share of most_bytes that one text to fit on may have.
+LARGEST = 1 / 16
 #: Words that a worker remembers at least before it starts anew.
 REMEMBERED = 100_000
 #: Characters that are scored at once, at least.
@@ -133,6 +142,52 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(f @ self.out + self.shift, -30, 30)))
 
 
+def gradients(model: Model, picked: np.ndarray, stretches: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], float]:
+    """Of the mean log loss of some texts, and half of DECAY times the squares of filters and output: by table, filters, bias, output, and by the shift. picked: table rows of every position."""
+    width = len(WIDTHS) * FILTERS
+    x = np.concatenate((model.table[picked].sum(axis=1), np.zeros((max(WIDTHS) - 1, DIM), np.float32)))
+    z = model.convolved(x).reshape(-1, STRETCH, width)
+    best = z.argmax(axis=1)
+    top = np.take_along_axis(z, best[:, None], axis=1)[:, 0]
+    f = model.features(top, stretches)
+    p = 1 / (1 + np.exp(-np.clip(f @ model.out + model.shift, -30, 30)))
+    error = (p - y) / len(y)
+    of = np.repeat(np.arange(len(y)), stretches)
+    back = error[:, None] * model.out[None]
+    grad_top = back[of, :width] / stretches[of][:, None]
+    first = np.cumsum(stretches) - stretches
+    is_peak = (top == np.maximum.reduceat(top, first)[of]) & (top > 0)
+    ties = np.maximum(np.add.reduceat(is_peak, first), 1)  # equal stretches share the maximum's part
+    grad_top = ((grad_top + np.where(is_peak, back[of, width:] / ties[of], 0)) * (top > 0)).astype(model.table.dtype)
+    position = best + np.arange(len(best))[:, None] * STRETCH
+    grads = [np.zeros_like(model.table)]
+    dx = np.zeros_like(x)
+    for k, w in enumerate(model.filters):
+        mine = slice(k * FILTERS, (k + 1) * FILTERS)
+        g, pos = grad_top[:, mine], position[:, mine]
+        dw = np.empty_like(w)
+        for j in range(len(w)):
+            dw[j] = np.einsum("sfd,sf->df", x[pos + j], g)
+            np.add.at(dx, (pos + j).ravel(), (g[:, :, None] * w[j].T[None]).reshape(-1, DIM))
+        grads.append(dw + DECAY * w)
+    touched = np.flatnonzero(np.abs(dx[: len(picked)]).sum(axis=1))
+    np.add.at(grads[0], picked[touched].ravel(), np.repeat(dx[touched], picked.shape[1], axis=0))
+    return [*grads, grad_top.sum(axis=0), f.T @ error + DECAY * model.out], float(error.sum())
+
+
+def in_batches(lengths: list[int], batch: int) -> list[list[int]]:
+    """Places in their order, so many at once, and of BATCH_WORDS words together at most, or one."""
+    out: list[list[int]] = []
+    held = 0
+    for i, n in enumerate(lengths):
+        if not out or len(out[-1]) == batch or held + n > BATCH_WORDS:
+            out.append([])
+            held = 0
+        out[-1].append(i)
+        held += n
+    return out
+
+
 def fit(texts: list[str], labels: list[int], *, epochs: int = 6, batch: int = 32, rate: float = 0.01, least_docs: int = 5, seed: int = 0) -> Model:
     """A model of the texts' labels."""
     r = np.random.default_rng(seed)
@@ -161,41 +216,14 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 6, batch: int = 32
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
         order = r.permutation(len(docs))
-        for at in range(0, len(order), batch):
-            part = order[at : at + batch]
+        for places in in_batches([len(docs[i]) for i in order], batch):
+            part = order[places]
             start, stretches = layout([len(docs[i]) for i in part])
             words = np.zeros(int(stretches.sum()) * STRETCH, np.int32)
             for i, s in zip(part, start.tolist(), strict=True):
                 words[s : s + len(docs[i])] = docs[i]
-            picked = rows[words]
-            x = np.concatenate((model.table[picked].sum(axis=1), np.zeros((max(WIDTHS) - 1, DIM), np.float32)))
-            z = model.convolved(x).reshape(-1, STRETCH, width)
-            best = z.argmax(axis=1)
-            top = np.take_along_axis(z, best[:, None], axis=1)[:, 0]
-            f = model.features(top, stretches)
-            p = 1 / (1 + np.exp(-np.clip(f @ model.out + model.shift, -30, 30)))
-            error = (p - y[part]) / len(part)
-            of = np.repeat(np.arange(len(part)), stretches)
-            back = error[:, None] * model.out[None]
-            grad_top = back[of, :width] / stretches[of][:, None]
-            peak = np.maximum.reduceat(top, np.cumsum(stretches) - stretches)
-            is_peak = (top == peak[of]) & (top > 0)
-            grad_top = ((grad_top + np.where(is_peak, back[of, width:], 0)) * (top > 0)).astype(np.float32)
-            position = best + np.arange(len(best))[:, None] * STRETCH
-            grads = [np.zeros_like(model.table)]
-            dx = np.zeros_like(x)
-            for k, w in enumerate(model.filters):
-                mine = slice(k * FILTERS, (k + 1) * FILTERS)
-                g, pos = grad_top[:, mine], position[:, mine]
-                dw = np.empty_like(w)
-                for j in range(len(w)):
-                    dw[j] = np.einsum("sfd,sf->df", x[pos + j], g)
-                    np.add.at(dx, (pos + j).ravel(), (g[:, :, None] * w[j].T[None]).reshape(-1, DIM))
-                grads.append(dw + 1e-4 * w)
-            touched = np.flatnonzero(np.abs(dx[: len(words)]).sum(axis=1))
-            np.add.at(grads[0], picked[touched].ravel(), np.repeat(dx[touched], picked.shape[1], axis=0))
+            grads, moved = gradients(model, rows[words], stretches, y[part])
             grads[0] *= learnt[:, None]
-            grads += [grad_top.sum(axis=0), f.T @ error + 1e-4 * model.out]
             step += 1
             for q, g, a, b in zip(params, grads, first, second, strict=True):
                 a *= 0.9
@@ -203,7 +231,7 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 6, batch: int = 32
                 b *= 0.99
                 b += 0.01 * g * g
                 q -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
-            model.shift -= rate * float(error.sum()) * 10
+            model.shift -= rate * moved * 10
     return model
 
 
@@ -222,20 +250,26 @@ def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str], *, least
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, crop_chars: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", epochs: int = 5) -> Model:
-    """Fit and calibrate on at most most_rows labelled rows."""
+def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", epochs: int = 5) -> Model:
+    """Fit and calibrate on whole texts of at most most_rows labelled rows, those to fit on of most_bytes together at most."""
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).filter("id is not null and label in (0, 1)")
     chosen = marked.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    start = F.greatest(F.lit(1), F.pmod(F.xxhash64(docs[id_col]), F.greatest(F.length(text) - crop_chars, F.lit(1))) + 1).cast("int")
     apart = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0
-    order = (F.xxhash64("id"), F.col("id"))
-    some = docs.select(docs[id_col].alias("id"), text.substr(start, F.lit(crop_chars)).alias("text")).join(F.broadcast(chosen), "id").filter(~apart)
-    rows = some.orderBy(*order).limit(2 * most_rows).collect()  # most_rows at most, unless ids repeat
+    order = (F.xxhash64("id"), F.col("id"), F.xxhash64("text"))
+    some = docs.select(docs[id_col].alias("id"), text.alias("text")).join(F.broadcast(chosen), "id").filter(~apart)  # most_rows numbers
+    left, taken = most_bytes, []
+    sizes = some.select("id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "id", "h").limit(2 * most_rows).collect()  # numbers only
+    for r in sizes:
+        if r.n <= min(left, LARGEST * most_bytes):
+            left -= r.n
+            taken.append((r.id, r.h))
+    fits = docs.sparkSession.createDataFrame([*set(taken)], some.select("id").schema.add("h", "long"))
+    rows = some.withColumn("h", F.xxhash64("text")).join(F.broadcast(fits), ["id", "h"], "left_semi").orderBy(*order).limit(2 * most_rows).collect()  # most_rows and most_bytes at most, unless ids repeat
     model = fit([x.text for x in rows], [x.label for x in rows], epochs=epochs)
     if model.fitted:
         whole = docs.select(docs[id_col].alias("id"), text.alias("text"), docs[lang_col].cast("string").alias("lang")).join(F.broadcast(chosen), "id").filter(apart)
-        scored = _scored(whole, model, "text", "score").select("id", "score", "label", "lang").orderBy(*order, "score").limit(2 * most_rows).collect()  # numbers only
+        scored = _scored(whole, model, "text", "score").select("id", "score", "label", "lang").orderBy(F.xxhash64("id"), "id", "score").limit(2 * most_rows).collect()  # numbers only
         model.thresholds = calibrate(np.array([x.score for x in scored]), np.array([x.label for x in scored]), [x.lang or "" for x in scored])
     return model
 
