@@ -53,6 +53,15 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     assert warc.read(empty.select("file"), f"file://{tmp_path}/none/warc").count() == 0
 
 
+def test_many_empty_pages_fill_several_archives(spark, tmp_path):
+    """Records count, not payloads alone: files stay bounded where every page is empty."""
+    df = spark.range(200_000).selectExpr("id as page_id", "cast(null as string) as url", "if(id % 2 = 0, '', null) as html").repartition(1)
+    done = warc.archive(df, f"file://{tmp_path}").collect()
+    assert len(done) == 4 and sum(r.records for r in done) == 200_000 and max(r.records for r in done) == warc.FILE_RECORDS
+    rows = warc.read(spark.createDataFrame(done).select("file"), f"file://{tmp_path}/warc")
+    assert rows.select("id").distinct().count() == 200_000 and {(r.payload_bytes, r.record_type) for r in rows.select("payload_bytes", "record_type").distinct().collect()} == {(0, "response")}
+
+
 def test_whole_file_stream_becomes_members(tmp_path):
     made = [warc.response(i, f"0-0-{i}", "http://a/", bytes([i]) * (i * 5000)) for i in range(9)]
     for pack in (gzip.compress(b"".join(made)), b"".join(gzip.compress(x) for x in made)):

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm.common import bound_batches, filesystem, salted, saved, utf8
 
-#: Payload bytes of one archive file.
-FILE_BYTES = 32 << 20
+#: Bytes of the records of one archive file, headers included, before they are packed; and records, since an index is read whole.
+FILE_BYTES, FILE_RECORDS = 32 << 20, 50_000
 #: Tasks, at most, that archives are dealt over.
 MOST_TASKS = 100_000
 CHUNK = 1 << 20
@@ -146,17 +146,18 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
             rows = []
             for page, url, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), strict=True):
                 payload = payload or b""
-                if out is None or size >= FILE_BYTES:
+                if out is None or size >= FILE_BYTES or seq >= FILE_RECORDS:
                     if out is not None:
                         close()
                         k += 1
                     name, seq, size = f"part-{part:06d}-{k:04d}-{uuid.uuid4().hex[:12]}.warc.gz", 0, 0
                     out, pack = _Counted(files, f"{path}/{name}"), zlib.compressobj(6, zlib.DEFLATED, 31)
                 own = f"{part}-{k}-{seq}"
-                out.write(pack.compress(response(page, own, url, payload)))
+                raw = response(page, own, url, payload)
+                out.write(pack.compress(raw))
                 rows.append((name, seq, page, len(payload), hashlib.sha1(payload).hexdigest(), own))
                 seq += 1
-                size += len(payload)
+                size += len(raw)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["file", "seq", "id", "n", "digest", "record"])
         if out is not None:
             close()
