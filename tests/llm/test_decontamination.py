@@ -102,6 +102,34 @@ def test_many_blocks_are_one_stage(spark):
         assert (x.n_words, x.n_hit, set(x.items)) == (n, len(hit), who)
 
 
+def test_each_block_is_built_once(spark, monkeypatch):
+    """One task over many batches: no block's automaton is built twice, and no block's windows are read twice."""
+    r = random.Random(4)
+    vocab = [f"v{i}" for i in range(200)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(30))) for i in range(300)]
+    texts = [" ".join(r.choice(vocab) for _ in range(20)) + " " + items[r.randrange(300)][1] for _ in range(400)] + ["no such words"] * 50
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+
+    class Caught:  # keeps the function that a task would run
+        sparkSession, schema = docs.sparkSession, docs.schema
+
+        def mapInArrow(self, f, _):
+            self.f = f
+
+    built, read, caught = [], [], Caught()
+    real, windows = d.Matcher, d.Blocks.windows
+    monkeypatch.setattr(d, "Matcher", lambda *a: built.append(1) or real(*a))
+    monkeypatch.setattr(d.Blocks, "windows", lambda self, k: read.append(k) or windows(self, k))
+    d._annotate(caught, bench, 13, "text", "item_id", 1500, ("n", "spans", "items"))
+    table = docs.toArrow()
+    out = list(caught.f(iter(table.to_batches(max_chunksize=10))))
+    blocks = len(set(read))
+    assert blocks >= 12 and len(read) == blocks and len(built) <= blocks
+    found = {i: set(w) for b in out for i, w in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True)}
+    assert len(found) == 450 and all(found[i] == brute(texts[i], items)[2] for i in range(0, 450, 9))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")

@@ -10,8 +10,12 @@ first, and only stretches that could hold a window are streamed.
 
 The items are written to the shared folder in blocks of about ``BLOCK_BYTES`` of text, each with the hashes of its
 windows, and never meet as a whole. One stage goes over the documents. A bit filter of the items' word pairs and
-windows, of a size that is bounded, picks the documents of a batch that may hold a window; the hashes of their windows
-say which blocks may have it; only those blocks' automata are built, one after the other, and scan those documents.
+windows, of a size that is bounded, picks the documents that may hold a window, and lets the others go on. A task holds
+what was picked up to ``HELD_BYTES``; then it goes through the blocks once: the hashes of a block's windows say which of
+the held documents may have one, and only if there is any is the block's automaton built, which scans these documents.
+
+Texts of any length are whole: a text is split into words once to be filtered, and again for each block that may match
+it, one text at a time; a text that is longer than a batch or than ``HELD_BYTES`` is held alone.
 
 Null or wordless texts have no words, no hits and no items, and aren't contaminated. Items that are null or wordless
 have no window. Items with a null id make hits but aren't listed. Repeated documents are judged each for itself,
@@ -39,6 +43,8 @@ from pyspark.sql import types as T
 from tidegraph.llm.common import WordHashes, bound_batches, filesystem, fresh_path, keeps, mix, take_turn, utf8
 
 BLOCK_BYTES = 1 << 20
+#: Bytes of picked documents that a task holds before it goes through the blocks.
+HELD_BYTES = 32 << 20
 #: Bits of the filter, at most, and bits for each word pair or window.
 FILTER_BITS, BITS_EACH = 1 << 28, 16
 #: A-Z to a-z; digits, a-z and bytes from 0x80 on stay; all else to a space.
@@ -313,29 +319,52 @@ def _annotate(df: DataFrame, benchmark: DataFrame, window: int, text_col: str, i
     where = plain.fieldNames().index(text_col)
     blocks = write_blocks(benchmark, window, item_col, "text", block_bytes)
 
+    def annotated(batch: pa.RecordBatch, n_words: list[int], hits: list[tuple[list, set]]) -> pa.RecordBatch:
+        flat = [[x for s in spans_ for x in s] for spans_, _ in hits]
+        more = [pa.array(n_words, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array([sorted(who) for _, who in hits], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *more], full.fieldNames())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("decontamination")
         known, only = blocks.bits.value, blocks.windows(0) if blocks.n == 1 else None
+        held: list[tuple[pa.RecordBatch, list[int], list[np.ndarray]]] = []
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            """The held documents with what all blocks say of them."""
+            texts = [t for batch, *_ in held for t in utf8(batch.column(where).cast(pa.string()))]
+            passing = [h for *_, hashes in held for h in hashes]
+            flat, of = np.concatenate(passing), np.repeat(np.arange(len(passing)), [len(h) for h in passing])
+            hits: list[tuple[list, set]] = [([], set()) for _ in texts]
+            for k in range(blocks.n):
+                windows = only if only is not None else blocks.windows(k)
+                if len(windows):
+                    at = np.minimum(np.searchsorted(windows, flat), len(windows) - 1)
+                    for i in np.unique(of[windows[at] == flat]).tolist():
+                        found, ids = blocks.matcher(k).of(words_of(texts[i]))
+                        hits[i] = merged(hits[i][0] + found), hits[i][1] | ids
+            lo = 0
+            for batch, n_words, _ in held:
+                yield annotated(batch, n_words, hits[lo : lo + batch.num_rows])
+                lo += batch.num_rows
+            held.clear()
+
         for batch in batches:
-            n_words, maybe = [], {}
+            n_words, picked, hashes = [], [], []
             for i, text in enumerate(utf8(batch.column(where).cast(pa.string()))):
                 words = words_of(text)
                 n_words.append(len(words))
                 if len(passing := blocks.passing(_words.of(words), known)):
-                    maybe[i] = (words, passing)
-            hits: dict[int, tuple[list, set]] = {i: ([], set()) for i in maybe}
-            for k in range(blocks.n if maybe else 0):
-                windows = only if only is not None else blocks.windows(k)
-                for i, (words, passing) in maybe.items():
-                    at = np.minimum(np.searchsorted(windows, passing), max(len(windows) - 1, 0))
-                    if len(windows) and (windows[at] == passing).any():
-                        found, ids = blocks.matcher(k).of(words)
-                        hits[i] = (merged(hits[i][0] + found), hits[i][1] | ids)
-            none: tuple[list, set] = ([], set())
-            flat = [[x for s in hits.get(i, none)[0] for x in s] for i in range(len(n_words))]
-            who = [sorted(hits.get(i, none)[1]) for i in range(len(n_words))]
-            more = [pa.array(n_words, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(who, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], full.fieldNames())
+                    picked.append(i)
+                    hashes.append(np.unique(passing))
+            rest = sorted(set(range(len(n_words))) - set(picked))
+            if rest:
+                yield annotated(batch.take(pa.array(rest)), [n_words[i] for i in rest], [([], set())] * len(rest))
+            if picked:
+                held.append((batch.take(pa.array(picked)), [n_words[i] for i in picked], hashes))
+                if sum(b.nbytes for b, *_ in held) >= HELD_BYTES:
+                    yield from settled()
+        if held:
+            yield from settled()
 
     return df.mapInArrow(run, full)
 
