@@ -118,8 +118,19 @@ def test_repeated_ids_keep_all_links(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((x.doc_id or 0, x.component or 0) for x in ngram_join.jaccard_groups(df, k=4, num=85, den=100).collect())
     assert got == sorted([(10, 10), (10, 10), (20, 10), (30, 10), (7, 7), (40, 7), (40, 7), (50, 7), (50, 7), (60, 60), (60, 60), (0, 0)])
-    kept = sorted(x.doc_id or 0 for x in ngram_join.first_of_groups(df, k=4, num=85, den=100).collect())
-    assert kept == [0, 7, 10, 60]
+    kept = sorted(((x.doc_id or 0, x.text) for x in ngram_join.first_of_groups(df, k=4, num=85, den=100).collect()), key=str)
+    assert kept == sorted([(0, texts[0]), (7, texts[2]), (10, texts[0]), (10, texts[1]), (40, texts[3]), (60, None), (60, "one")], key=str)
+
+
+def test_different_texts_of_one_id_stay(spark):
+    """A row goes only if its own text is a copy."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, c), (3, c), (3, None), (3, ""), (4, b + " more"), (5, b), (None, a), (6, "short text"), (6, c)]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, id int")
+    kept = ngram_join.first_of_groups(df, k=4, num=85, den=100)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (3, c), (3, None), (3, ""), (None, a), (6, "short text")], key=str)
 
 
 def test_without_ids(spark):

@@ -37,6 +37,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegraph.llm.common import WordHashes, bound_batches, keeps, mix, release, salted, saved, scratch, shingle_hashes, take_turn, utf8
 from tidegraph.llm.components import components, roots
@@ -44,8 +45,8 @@ from tidegraph.llm.components import components, roots
 CELLS, CHUNKS = 1 << 20, 64
 #: Longest l; relative cost of verifying a candidate against listing a token once.
 MOST_MATCHES, VERIFY_COST = 4, 4.0
-#: Nodes, and tokens, of one block of a list that is compared inside a task.
-BLOCK_NODES, BLOCK_TOKENS = 2048, 1_000_000
+#: Nodes, bytes of their signatures and short hashes, and tokens of one block of a list that is compared inside a task.
+BLOCK_NODES, BLOCK_BYTES, BLOCK_TOKENS = 2048, 16 << 20, 1_000_000
 #: Tokens of one block of a component whose links are counted.
 LINK_TOKENS = 300_000
 #: Bits of the smallest and the largest signature; leaves of one hub that a task verifies.
@@ -437,7 +438,8 @@ def _groups(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int
     placed = shared.join(near, "id", "left").select("token", "salt", "salts", "id", F.coalesce("component", "id").alias("component"), "least_matches")
     placed = saved(placed, "placed")
     release(docs.sparkSession)
-    rows = _in_blocks(_open_lists(placed).withColumn("one", F.lit(1)), "one", BLOCK_NODES).join(signs, "id").select("token", "x", "y", "id", "component", "n", "matches", "sign", "few")
+    weight = signs.select("id", F.greatest(F.length("sign") + F.length("few"), F.lit(BLOCK_BYTES // BLOCK_NODES)).alias("weight"))
+    rows = _in_blocks(_open_lists(placed).join(weight, "id"), "weight", BLOCK_BYTES).join(signs, "id").select("token", "x", "y", "id", "component", "n", "matches", "sign", "few")
     more = saved(_by_list(rows, _likely_kernel(num, den), np.uint64, np.uint16), "likely")
     release(docs.sparkSession)
     joined = components(_moved(more, near, "a", "b"))
@@ -463,6 +465,20 @@ def _groups(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int
     return likely.join(again.select("id"), "id", "left_anti").select("id", "component").unionByName(settled)
 
 
+def _with_digest(df: DataFrame, k: int, text_col: str, d1: str, d2: str) -> DataFrame:
+    """df with the digest of each row's set."""
+    where, full = df.columns.index(text_col), T.StructType([*df.schema.fields, T.StructField(d1, T.LongType()), T.StructField(d2, T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("ngram_join")
+        for batch in batches:
+            sums = [xxhash.xxh3_128_intdigest(shingle_set(t, k).tobytes()) for t in utf8(batch.column(where).cast(pa.string()))]
+            both = [pa.array([(x >> 64) - (1 << 63) for x in sums], pa.int64()), pa.array([(x & ((1 << 64) - 1)) - (1 << 63) for x in sums], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *both], full.fieldNames())
+
+    return df.mapInArrow(run, full)
+
+
 def _keyed(docs: DataFrame, rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """docs (id, text), rows (id, d1, d2, ...) and links (a, b), such that no id has several sets: where one has, all but one of its sets get new ids, and links say so. No links if there are none such."""
     digests = rows.filter("n > 0 and id is not null").select("id", "d1", "d2")
@@ -479,22 +495,16 @@ def _keyed(docs: DataFrame, rows: DataFrame, k: int) -> tuple[DataFrame, DataFra
         attempt += 1
     new = saved(new, "keys")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_turn("ngram_join")
-        for batch in batches:
-            sums = [xxhash.xxh3_128_intdigest(shingle_set(t, k).tobytes()) for t in utf8(batch.column(1))]
-            both = [pa.array([(x >> 64) - (1 << 63) for x in sums], pa.int64()), pa.array([(x & ((1 << 64) - 1)) - (1 << 63) for x in sums], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *both], ["id", "text", "d1", "d2"])
-
-    of_several = docs.join(several.select("id"), "id", "left_semi").select("id", "text").mapInArrow(digest, "id long, text string, d1 long, d2 long")
+    of_several = docs.join(several.select("id"), "id", "left_semi").select("id", "text")
+    of_several = _with_digest(of_several, k, "text", "d1", "d2")
     named = of_several.join(new, ["id", "d1", "d2"], "left").select(F.coalesce("key", "id").alias("id"), "text")
     apart = saved(docs.join(several.select("id"), "id", "left_anti").select("id", "text").unionByName(named), "apart")
     renamed = saved(rows.join(new, ["id", "d1", "d2"], "left").withColumn("id", F.coalesce("key", "id")).select(rows.columns), "renamed")
     return apart, renamed, new.select(F.col("id").alias("a"), F.col("key").alias("b"))
 
 
-def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs (id, text), with ids of which each has one set; (id, n, d1, d2) of every row given; and (n, d1, d2, node, equal, component) of every set, with the number of its rows."""
+def _classes(docs: DataFrame, k: int, num: int, den: int, *, by_id: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (id, text), with ids of which each has one set; (id, n, d1, d2) of every row given; and (n, d1, d2, node, equal, component) of every set, with the number of its rows. by_id: sets of one id count as linked, and components are known by real ids."""
     spark: SparkSession = docs.sparkSession
     bound_batches(spark)
     rows = saved(_prefixes(docs, k, num, den, token_sketch(docs, k)), "prefixes")
@@ -504,7 +514,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Da
     release(spark)
     groups = _groups(some, saved(nodes.select(F.col("node").alias("id"), "d1", "d2"), "one"), apart, k, num, den)
     found = saved(nodes.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").select("n", "d1", "d2", "node", "equal", F.coalesce("component", "node").alias("component")), "groups")
-    if same is not None:
+    if same is not None and by_id:
         at = lambda end: some.select(F.col("id").alias(end), "n", "d1", "d2").distinct().join(found.select("n", "d1", "d2", F.col("component").alias(f"c_{end}")), ["n", "d1", "d2"]).select(end, f"c_{end}")
         links = same.join(at("a"), "a").join(at("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
         found = saved(_moved(found, components(links), "component"), "joined")
@@ -599,14 +609,25 @@ def jaccard_links(df: DataFrame, *, k: int, num: int, den: int, id_col: str = "d
 
 
 def first_of_groups(df: DataFrame, *, k: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each group: that with the smallest id, and one only of rows with that id. Rows without an id all stay; all columns stay."""
-    groups = jaccard_groups(df, k=k, num=num, den=den, id_col=id_col, text_col=text_col)
-    goes = groups.filter(F.col(id_col) != F.col("component")).select(id_col).distinct()
-    again = groups.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1").select(id_col)
-    left = _without(df, goes, id_col)
+    """df with one row of each group, that with the smallest id. A row goes only where its own text is a copy: rows of one id with different texts are judged each for itself. Rows without an id or without words all stay; all columns stay."""
+    tag = uuid.uuid4().hex[:8]
+    with scratch(df.sparkSession) as keep:
+        _, rows, sets = _classes(_documents(df, id_col, text_col), k, num, den, by_id=False)
+        some = rows.filter("n > 0 and id is not null")
+        least = some.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"))
+        first = sets.join(least, ["n", "d1", "d2"]).groupBy("component").agg(F.min(F.struct("id", "n", "d1", "d2")).alias("first")).select("first.id", "first.d1", "first.d2")
+        first = saved(first, "first")
+        again = keep(some.groupBy("id").count().filter("count > 1").select("id"), "again")
+        stays = keep(first.join(again, "id", "left_semi").select("id", F.col("d1").alias(f"d1_{tag}"), F.col("d2").alias(f"d2_{tag}")), "stays")
+        copies = some.join(again, "id", "left_anti").join(first, ["id", "d1", "d2"], "left_anti").select(F.col("id").alias(id_col))
+        copies = keep(copies, "copies")
+    left, names = _without(df, copies, id_col), df.columns
     if again.isEmpty():
         return left
-    names = df.columns
-    some = left.join(again, id_col, "left_semi").select(names)
-    first = some.groupBy(id_col).agg(F.max_by(F.struct(*[F.col(c) for c in names]), F.struct(F.col(text_col).isNotNull(), F.xxhash64(text_col))).alias("row")).select("row.*")
-    return left.join(again, id_col, "left_anti").select(names).unionByName(first.select(names))
+    own = again.withColumnRenamed("id", id_col)
+    both = _with_digest(left.join(own, id_col, "left_semi").select(names), k, text_col, f"d1_{tag}", f"d2_{tag}")
+    none = xxhash.xxh3_128_intdigest(b"")
+    wordless = (F.col(f"d1_{tag}") == (none >> 64) - (1 << 63)) & (F.col(f"d2_{tag}") == (none & ((1 << 64) - 1)) - (1 << 63))
+    keys = [id_col, f"d1_{tag}", f"d2_{tag}"]
+    one = both.filter(~wordless).join(stays.withColumnRenamed("id", id_col), keys, "left_semi").groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in names]), F.xxhash64(text_col)).alias(f"row_{tag}"))
+    return left.join(own, id_col, "left_anti").select(names).unionByName(both.filter(wordless).select(names)).unionByName(one.select(f"row_{tag}.*").select(names))
