@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import closure_components, parts, random_edges
 from tidegraph.functions import edges as fe
@@ -251,6 +252,26 @@ def test_sweep_over_years(spark, monkeypatch):
     assert {x.id for x in tc.gm(tc.classes(nodes, df)).collect()} == want and 0 < len(want) < 60
 
 
+def test_migrated_components_stand_above_what_they_lead_to(spark, monkeypatch):
+    """One edge to a node outside a large Gm touches what lies between, and no more; where gaps are full, Gm gets new ranks."""
+    n = 5000
+    year = {v: 2000 for v in range(n)} | {n: 1999, n + 1: 2000, n + 2: 2000}
+    nodes, df = frames(spark, year, [(n, 0), *((v, v + 1) for v in range(n - 1)), (n + 1, n - 10)])
+    first = inc.start(nodes, df, coupled=True)
+    state, counts = inc.apply_batch(first, spark.createDataFrame([(n - 5, n + 1)], "src long, dst long"))
+    assert counts["migrated"] == 1 and 0 < counts["affected"] < 50 and inc.violations(state).first().violations == 0
+    assert {r.component for r in state.members.filter(F.col("id").between(n - 10, n - 5) | (F.col("id") == n + 1)).collect()} == {n - 10}
+    tight = inc.State(first.members, first.order.withColumn("rank", F.col("rank") / inc.GAP).withColumn("rank", F.col("rank").cast("long")), first.edges, first.parts)
+    state, counts = inc.apply_batch(tight, spark.createDataFrame([(n - 20, n + 1), (n - 3, n + 2)], "src long, dst long"))
+    assert counts["migrated"] == 2 and counts["affected"] < 50 and inc.violations(state).first().violations == 0
+
+
+def test_next_above(spark):
+    order = spark.createDataFrame([(x,) for x in (1, 5, 9, 40)], "rank long").repartition(3)
+    wanted = spark.createDataFrame([(x,) for x in (0, 1, 4, 9, 39, 40, 99)], "at long")
+    assert pairs(inc.next_above(order, wanted), "at", "following") == {(0, 1), (1, 5), (4, 5), (9, 40), (39, 40), (40, None), (99, None)}
+
+
 def test_coupled_batches_distributed(spark, monkeypatch):
     nodes, start = frames(spark, YEARS, START)
     monkeypatch.setattr(kernel, "LOCAL_ROWS", 3)

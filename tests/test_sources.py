@@ -5,10 +5,11 @@ import pytest
 from tests.helpers import closure_components, parts
 from tests.test_graph import DELTA, START, YEARS, pairs
 from tidegraph.__main__ import main
-from tidegraph.operators.incremental import start
+from tidegraph.operators.incremental import start, violations
 from tidegraph.plans import registry
 from tidegraph.sources import graphs, reports
 from tidegraph.storage import filesystem
+from tidegraph.streaming import maintain
 from tidegraph.streaming.maintain import follow
 
 
@@ -103,4 +104,22 @@ def test_stream(spark, tmp_path, coupled):
     version = kept.version
     kept.apply(spark.createDataFrame(DELTA, "src long, dst long"), 0)  # a repeated batch changes nothing
     assert pairs(kept.state().members, "id", "component") == {(v, 10 if v > 9 else 0) for v in YEARS}
-    assert kept.versions() == [version, version + 1]
+    assert kept.versions()[-2:] == [version, version + 1] and kept.versions(whole=True) == [-1]
+
+
+def test_micro_batches_write_what_changed(spark, tmp_path, monkeypatch):
+    """One edge of a large graph writes a few rows; after some versions the state is written whole, and old versions go."""
+    monkeypatch.setattr(maintain, "COMPACT", 2)
+    n = 3000
+    nodes = spark.range(n).selectExpr("id", "2000 + id div 100 as year")
+    edges = spark.range(1, n).selectExpr("id as src", "id - 1 as dst")
+    kept = maintain.Maintained(spark, f"{tmp_path}/state", start(nodes, edges))
+    want = {v: v for v in range(n)}
+    for k, (a, b) in enumerate([(500, 502), (1000, 1001), (501, 503), (7, 9)]):
+        kept.apply(spark.createDataFrame([(a, b)], "src long, dst long"), k)
+        least = min(want[v] for v in range(a, b + 1))
+        want.update({v: least for v in range(a, b + 1)})
+        if k == 0:
+            assert sum(spark.read.parquet(f"{tmp_path}/state/v=0/{t}").count() for t in ("members", "order", "edges")) < 100
+    assert dict(pairs(kept.state().members, "id", "component")) == want and violations(kept.state()).first().violations == 0
+    assert kept.versions() == [2, 3, 4, 5] and kept.versions(whole=True) == [2, 5]

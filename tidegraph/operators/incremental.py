@@ -5,10 +5,13 @@ inside a space leads from a higher to a lower one. Without time coupling all com
 space, each year of Gsi is one, and Gr has none (see replay).
 
 A batch is inserted as sets. With time coupling, heads of new edges from older to newer nodes, or from Gm, move to Gm
-with all they lead to, above what is there, and heads of new edges within a year join Gsi, above all of their year. Then
-an inserted edge that leads upward spans an interval of its space's ranks; a new cycle climbs by such edges only, so it
-lies inside one merged interval, an island. Each island is solved by itself, and its components take its own ranks anew, sinks
-first. What lies outside stays as it is. Islands are independent and are solved in parallel.
+with all they lead to, each just above the highest in Gm that it leads to, and heads of new edges within a year join
+Gsi, above all of their year. Ranks leave gaps for that. Then an inserted edge that leads upward spans an interval of its
+space's ranks; a new cycle climbs by such edges only, so it lies inside one merged interval, an island. In each island
+only what the heads of these edges lead to, and what leads to their tails, is solved and takes its own ranks anew. What
+lies outside stays as it is, and isn't written. Islands are independent and are solved in parallel.
+
+``changes`` says which rows of the state a batch replaces; ``apply_batch`` gives the whole state after it.
 
 A node that isn't listed has year 0, wherever it turns up.
 """
@@ -35,6 +38,10 @@ from tidegraph.storage import saved
 CHECKPOINTS, DELTA_SHARE, SINGLE_EDGES = (0.5, 1, 5, 10, 15, 20, 25, 30), 30, 15_000
 
 
+#: Between the ranks of neighbours, as a state starts, and where all ranks of Gm are made anew.
+GAP = 1 << 20
+
+
 @dataclass
 class State:
     members: DataFrame  # id, component
@@ -42,6 +49,35 @@ class State:
     edges: DataFrame  # src, dst: distinct edges between components
     parts: DataFrame | None = None  # id, year, part; None without time coupling
 
+    def after(self, c: Changes) -> State:
+        """The state with the changes, unsaved."""
+        parts = None if self.parts is None else overlaid(self.parts, c.parts, ["id"])
+        return State(overlaid(self.members, c.members, ["id"]), overlaid(self.order, c.order, ["component"], "rank is not null"), overlaid(self.edges, c.edges, ["src", "dst"], "not gone"), parts)
+
+
+@dataclass
+class Changes:
+    """Rows that replace those of a state that have their keys."""
+
+    members: DataFrame  # id, component
+    order: DataFrame  # component, space, rank; a null rank: gone
+    edges: DataFrame  # src, dst, gone
+    parts: DataFrame | None = None  # id, year, part
+
+    @classmethod
+    def none(cls, state: State) -> Changes:
+        return cls(state.members.limit(0), state.order.limit(0), state.edges.withColumn("gone", F.lit(False)).limit(0), None if state.parts is None else state.parts.limit(0))
+
+    def then(self, c: Changes) -> Changes:
+        """These changes and later ones."""
+        parts = None if self.parts is None else overlaid(self.parts, c.parts, ["id"])
+        return Changes(overlaid(self.members, c.members, ["id"]), overlaid(self.order, c.order, ["component"]), overlaid(self.edges, c.edges, ["src", "dst"]), parts)
+
+
+def overlaid(base: DataFrame, changed: DataFrame, keys: list[str], stays: str = "true") -> DataFrame:
+    """base with changed rows in place of those with their keys, where they stay."""
+    return base.join(changed.select(*keys), keys, "left_anti").select(base.columns).unionByName(changed.filter(stays).select(base.columns))
+
 
 def space_of() -> F.Column:
     """The space of a (part, year)."""
@@ -64,7 +100,7 @@ def ranks_by_space(members: DataFrame, parts: DataFrame, between: DataFrame) ->
     """(component, space, rank): numbers from 1 in each space, by the longest path to a sink inside it, and the name."""
     spaces = saved(_spaces(members, parts), "spaces")
     level = levels(spaces.select("component"), saved(_inside(between, spaces).select("src", "dst"), "inside"))
-    return numbered(level.join(spaces, "component"), "level", "component", name="rank", within="space").select("component", "space", "rank")
+    return numbered(level.join(spaces, "component"), "level", "component", name="rank", within="space").select("component", "space", (F.col("rank") * GAP).alias("rank"))
 
 
 def start(nodes: DataFrame, edges: DataFrame, *, coupled: bool = False) -> State:
@@ -83,7 +119,7 @@ def start(nodes: DataFrame, edges: DataFrame, *, coupled: bool = False) -> State
     else:
         members = saved(with_all(nodes, scc(edges)), "members")
         level = levels(members, saved(condensed(edges, members), "condensed"))
-    order = numbered(level, "level", "component", name="rank").select("component", F.lit(GM).cast("long").alias("space"), "rank")
+    order = numbered(level, "level", "component", name="rank").select("component", F.lit(GM).cast("long").alias("space"), (F.col("rank") * GAP).alias("rank"))
     return State(members, saved(order, "order"), saved(condensed(edges, members), "condensed"))
 
 
@@ -124,45 +160,106 @@ def in_islands(order: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _solve_island(t: pa.Table) -> pa.Table:
-    """(component, joined, space, rank) of one island, from rows (space, island, src, dst, rank): edges, and components as loops with their rank."""
-    src, dst = t.column("src").to_numpy(), t.column("dst").to_numpy()
-    s = kernel.solve(src, dst)
-    slots = np.sort(t.column("rank").to_numpy()[src == dst])
-    space = pa.array(np.full(len(s), t.column("space")[0].as_py(), np.int64))
-    return pa.table({"component": s["id"], "joined": s["component"], "space": space, "rank": slots[s["rank"].to_numpy() - 1]})
-
-
-def _relabelled(edges: DataFrame, moved: DataFrame) -> DataFrame:
-    """edges between components after some (component, joined) joined others."""
-    for end in ("src", "dst"):
-        edges = edges.join(moved.select(F.col("component").alias(end), F.col("joined").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-    return edges.filter("src <> dst").select("src", "dst").distinct()
-
-
-def _joined(state: State, new: DataFrame, edges: DataFrame) -> State:
-    """The state after islands were solved: new has each of their components, what it joined, and the rank of that."""
-    order = state.order.join(new.select("component"), "component", "left_anti").unionByName(new.select(F.col("joined").alias("component"), "space", "rank").distinct())
-    moved = new.select("component", "joined").filter("component <> joined")
-    members = state.members.join(moved, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
-    return State(saved(members, "members"), saved(order, "order"), saved(_relabelled(edges, moved), "edges"), state.parts)
-
-
-def _with_new_nodes(state: State, delta: DataFrame) -> State:
-    """The state with nodes that the batch names first: components of their own, above all others, of year 0."""
+    """(component, joined, space, rank) of what changes in one island, from rows (space, island, src, dst, rank): edges, and components as loops with their rank."""
+    src, dst, rank = (t.column(k).to_numpy() for k in ("src", "dst", "rank"))
+    node = np.flatnonzero(src == dst)
+    node = node[np.argsort(src[node])]
+    ids, at = src[node], rank[node]
+    edge = np.flatnonzero(src != dst)
+    a, b = np.searchsorted(ids, src[edge]), np.searchsorted(ids, dst[edge])
+    settled = at[a] > at[b]
+    r = Replay(ids, ids, [GM] * len(ids), at.tolist(), np.zeros(len(ids), np.int64), src[edge][settled], dst[edge][settled], settling="islands", labels=True)
+    r.insert(src[edge][~settled].tolist(), dst[edge][~settled].tolist())
+    now, size = np.array([r.rank[x] for x in r.of]), np.array([len(r.members[x]) for x in r.of])
+    moved = (now != at) | (size > 1)
+    joined = np.array([r.name[x] for x in r.of])[moved]
+    return pa.table({"component": ids[moved], "joined": joined, "space": np.full(len(joined), t.column("space")[0].as_py(), np.int64), "rank": now[moved]})
+
+
+def _new_nodes(state: State, delta: DataFrame) -> Changes | None:
+    """Nodes that the batch names first: components of their own, above all others, of year 0; None if there are none."""
     ids = delta.select(F.explode(F.array(F.col("src").cast("long"), F.col("dst").cast("long"))).alias("id")).filter("id is not null").distinct()
     new = saved(ids.join(state.members.select("id"), "id", "left_anti"), "new-nodes")
     if new.isEmpty():
-        return state
-    members = saved(state.members.unionByName(new.select("id", F.col("id").alias("component"))), "members")
+        return None
+    none, own = Changes.none(state), new.select("id", F.col("id").alias("component"))
     if state.parts is not None:
-        return State(members, state.order, state.edges, saved(state.parts.unionByName(new.select("id", F.lit(0).cast("long").alias("year"), F.lit("gr").alias("part"))), "parts"))
+        return Changes(own, none.order, none.edges, new.select("id", F.lit(0).cast("long").alias("year"), F.lit("gr").alias("part")))
     top = state.order.agg(F.max("rank")).first()[0] or 0
-    more = numbered(new.withColumnRenamed("id", "component"), "component", name="rank").select("component", F.lit(GM).cast("long").alias("space"), (F.col("rank") + top).alias("rank"))
-    return State(members, saved(state.order.unionByName(more), "order"), state.edges)
+    more = numbered(new.withColumnRenamed("id", "component"), "component", name="rank").select("component", F.lit(GM).cast("long").alias("space"), (F.col("rank") * GAP + top).alias("rank"))
+    return Changes(own, more, none.edges)
 
 
-def _with_new_parts(state: State, delta: DataFrame, edges: DataFrame) -> tuple[State, int]:
-    """The state with nodes moved to Gm and Gsi by the new edges, ranks included, and how many nodes moved to Gm. edges: old and new, between components."""
+def next_above(order: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(at, following): the smallest rank of order (rank) above each wanted (at), null if there is none. In one order of both, the next rank is carried back: within a range by a window, and into a range from those after it."""
+    n = int(order.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = order.select(F.col("rank").alias("at"), F.lit(0).alias("kind")).unionByName(wanted.select("at", F.lit(1).alias("kind")))
+    ranged = saved(rows.repartitionByRange(n, "at", "kind").withColumn("range_", F.spark_partition_id()), "ranged")
+    rank = F.when(F.col("kind") == 0, F.col("at"))
+    first = ranged.groupBy("range_").agg(F.min(rank).alias("first"))  # one row a range
+    later = first.select("range_", F.min("first").over(Window.partitionBy().orderBy("range_").rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    back = Window.partitionBy("range_").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.withColumn("own", F.last(rank, ignorenulls=True).over(back)).join(F.broadcast(later), "range_")
+    return found.filter("kind = 1").select("at", F.coalesce("own", "later").alias("following"))
+
+
+def _heights(found: DataFrame, edges: DataFrame, inner: DataFrame) -> DataFrame:
+    """(component, level, at) of what moves to Gm (component): its longest path to a sink among what moves, and the highest rank in Gm that it leads to, by old edges."""
+    out = saved(edges.join(found.withColumnRenamed("component", "src"), "src", "left_semi"), "out")
+    own = out.join(found.withColumnRenamed("component", "dst"), "dst", "left_semi").select("src", "dst")
+    high = out.join(inner.select(F.col("component").alias("dst"), "rank"), "dst").groupBy(F.col("src").alias("component")).agg(F.max("rank").alias("at"))
+    if not fits(own, found):  # all of them above the highest of all
+        top = high.agg(F.max("at")).first()[0]
+        return levels(found, own).withColumn("at", F.lit(top).cast("long"))
+    rows = own.select("src", "dst", F.lit(None).cast("long").alias("at")).unionByName(found.join(high, "component", "left").select(F.col("component").alias("src"), F.col("component").alias("dst"), "at"))
+
+    def run(t: pa.Table) -> pa.Table:
+        src, dst = (t.column(k).to_numpy() for k in ("src", "dst"))
+        s = kernel.solve(src, dst)  # its edges make no cycle
+        ids, level = s["id"].to_numpy(), s["level"].to_numpy()
+        best: dict[int, int | None] = {c: x for c, d, x in zip(src.tolist(), dst.tolist(), t.column("at").to_pylist(), strict=True) if c == d}
+        to: dict[int, list[int]] = {}
+        for c, d in zip(src.tolist(), dst.tolist(), strict=True):
+            if c != d:
+                to.setdefault(c, []).append(d)
+        for c in ids[np.argsort(level, kind="stable")].tolist():
+            best[c] = max((x for x in (best[c], *(best[d] for d in to.get(c, ()))) if x is not None), default=None)
+        return pa.table({"component": ids, "level": level, "at": pa.array([best[c] for c in ids.tolist()], pa.int64())})
+
+    return kernel.in_one_task(rows, run, "component long, level long, at long")
+
+
+def _placed_in_gm(found: DataFrame, state: State, old_edges: DataFrame) -> DataFrame:
+    """(component, space, rank) of what moves to Gm, and, where a gap is too narrow for it, of all of Gm."""
+    inner = state.order.filter(F.col("space") == GM).select("component", "rank")
+    heights = saved(_heights(found, old_edges, inner), "heights")
+    narrow = False
+    while True:
+        least = inner.agg(F.min("rank")).first()[0]
+        wanted = heights.filter("at is not null").groupBy("at").count()
+        gaps = next_above(inner, wanted).join(wanted, "at").withColumn("following", F.coalesce("following", F.col("at") + GAP * (F.col("count") + 1)))
+        gaps = saved(gaps, "gaps")
+        if gaps.filter("following - at <= count").isEmpty():
+            break
+        # all of Gm anew, as far apart as at the start; heights move with it
+        old = numbered(inner, "rank", name="nth")
+        fresh = saved(old.select("component", (F.col("nth") * GAP).alias("rank"), F.col("rank").alias("at")), "anew")
+        heights = saved(heights.join(fresh.select("at", F.col("rank").alias("to")), "at", "left").select("component", "level", F.col("to").alias("at")), "heights")
+        inner, narrow = fresh.select("component", "rank"), True
+        if not heights.join(wanted, "at").filter(F.col("count") >= GAP).isEmpty():
+            raise ValueError("more components than a gap has places move above one component")
+    under = heights.filter("at is null").count()
+    low = (least if least is not None else GAP * (under + 1)) - GAP * (under + 1)  # what leads nowhere in Gm goes below all
+    base = heights.withColumn("at", F.coalesce("at", F.lit(low)))
+    turn = numbered(base, "level", "component", name="nth", within="at")
+    both = turn.join(gaps.unionByName(old_edges.sparkSession.createDataFrame([(low, low + GAP * (under + 1), under)], gaps.schema)), "at")
+    step = F.floor((F.col("following") - F.col("at")) / (F.col("count") + 1))
+    placed = both.select("component", F.lit(GM).cast("long").alias("space"), (F.col("at") + F.col("nth") * step).cast("long").alias("rank"))
+    return placed.unionByName(inner.select("component", F.lit(GM).cast("long").alias("space"), "rank")) if narrow else placed
+
+
+def _new_parts(state: State, delta: DataFrame, old_edges: DataFrame) -> tuple[Changes, int]:
+    """Nodes that the new edges move to Gm and Gsi, ranks included, and how many move to Gm. The state's edges include the new ones; the old ones have no cycle."""
     part = state.parts.select("id", "part", "year")
     ends = delta
     for end in ("src", "dst"):
@@ -170,46 +267,49 @@ def _with_new_parts(state: State, delta: DataFrame, edges: DataFrame) -> tuple[S
     ends = saved(ends.select("src", "dst", "p_src", "p_dst", "y_src", "y_dst"), "ends")
     to_gm = ends.filter("p_dst <> 'gm' and (p_src = 'gm' or y_src < y_dst)").select(F.col("dst").alias("id"))
     to_gsi = ends.filter("p_dst = 'gr' and y_src = y_dst").select(F.col("dst").alias("id")).distinct()
-    inner = _spaces(state.members, state.parts).filter(F.col("space") == GM).select(F.col("component").alias("dst"))
+    none = Changes.none(state)
+    if to_gm.isEmpty() and to_gsi.isEmpty():
+        return none, 0
     # a component outside Gm lies in one year, and no edge between such leads to a newer one but those whose heads move now
-    years = saved(state.members.join(state.parts.filter("part <> 'gm'").select("id", "year"), "id").groupBy("component").agg(F.min("year").alias("year")), "years")
+    years = saved(state.members.join(part.filter("part <> 'gm'").select("id", "year"), "id").groupBy("component").agg(F.min("year").alias("year")), "years")
     seeds = state.members.join(to_gm.distinct(), "id").select("component").distinct().join(years, "component").select(F.col("component").alias("id"), "year")
-    outside = edges.join(inner, "dst", "left_anti").select("src", "dst")
+    outside = state.edges
     for end in ("src", "dst"):
         outside = outside.join(years.select(F.col("component").alias(end), F.col("year").alias(f"y_{end}")), end)
     found = saved(swept(saved(outside.filter("y_src >= y_dst"), "outside"), seeds).withColumnRenamed("id", "component"), "migrated")
     moved = saved(state.members.join(found, "component", "left_semi").select("id"), "moved")
-    now = state.parts.join(moved.withColumn("to", F.lit("gm")), "id", "left").join(to_gsi.withColumn("or", F.lit("gsi")), "id", "left")
-    parts = saved(now.select("id", "year", F.coalesce("to", "or", "part").alias("part")), "parts")
-    # what moved stands above all of Gm, in an order of its own; its old edges have no cycle, and new ones are met in islands
-    level = levels(found, saved(state.edges.join(found.withColumnRenamed("component", "src"), "src", "left_semi").join(found.withColumnRenamed("component", "dst"), "dst", "left_semi"), "own"))
-    fresh = to_gsi.join(moved, "id", "left_anti").join(state.parts, "id").select(F.col("id").alias("component"), (2 * F.col("year")).alias("space"), F.lit(0).cast("long").alias("level"))
-    more = numbered(level.withColumn("space", F.lit(GM).cast("long")).unionByName(fresh), "level", "component", name="rank", within="space")
+    fresh = saved(to_gsi.join(moved, "id", "left_anti"), "fresh")
+    parts = moved.withColumn("to", F.lit("gm")).unionByName(fresh.withColumn("to", F.lit("gsi"))).join(state.parts, "id").select("id", "year", F.col("to").alias("part"))
+    order = _placed_in_gm(found, state, old_edges) if not found.isEmpty() else none.order
     tops = state.order.groupBy("space").agg(F.max("rank").alias("top"))  # one row a space
-    more = more.join(F.broadcast(tops), "space", "left").select("component", "space", (F.col("rank") + F.coalesce("top", F.lit(0))).alias("rank"))
-    order = saved(state.order.join(found, "component", "left_anti").unionByName(more), "order")
-    return State(state.members, order, state.edges, parts), moved.count()
+    above = fresh.join(state.parts, "id").select(F.col("id").alias("component"), (2 * F.col("year")).alias("space"))
+    above = numbered(above, "component", name="nth", within="space").join(F.broadcast(tops), "space", "left").select("component", "space", (F.col("nth") * GAP + F.coalesce("top", F.lit(0))).alias("rank"))
+    return Changes(none.members, saved(order.unionByName(above), "order"), none.edges, saved(parts, "parts")), moved.count()
 
 
-def apply_batch(state: State, delta: DataFrame) -> tuple[State, dict[str, int]]:
-    """The state with the edges (src, dst) inserted, and how many edges were new between components, led upward, how many components lay in islands, and how many nodes moved to Gm."""
-    state = _with_new_nodes(state, delta)
+def changes(state: State, delta: DataFrame) -> tuple[Changes, dict[str, int]]:
+    """What inserting the edges (src, dst) changes; and how many edges were new between components, led upward, how many components got new ranks or joined others, and how many nodes moved to Gm."""
+    done = Changes.none(state)
+    if (new := _new_nodes(state, delta)) is not None:
+        done, state = done.then(new), state.after(new)
     delta = delta.filter("src <> dst")
     inserted = saved(condensed(delta.select("src", "dst"), state.members), "inserted")
-    edges = saved(state.edges.unionByName(inserted).distinct(), "edges")
     counts = {"inserted": inserted.count(), "invalid": 0, "affected": 0, "migrated": 0}
+    own = Changes(done.members.limit(0), done.order.limit(0), saved(inserted.join(state.edges, ["src", "dst"], "left_anti").withColumn("gone", F.lit(False)), "fresh"), None if done.parts is None else done.parts.limit(0))
+    old_edges = state.edges
+    done, state = done.then(own), state.after(own)
     if state.parts is not None:
-        state, counts["migrated"] = _with_new_parts(state, delta, edges)
+        moved, counts["migrated"] = _new_parts(state, delta, old_edges)
+        done, state = done.then(moved), state.after(moved)
     upward = _inside(inserted, state.order)
     for end in ("src", "dst"):
         upward = upward.join(state.order.select(F.col("component").alias(end), F.col("rank").alias(f"r_{end}")), end)
     upward = saved(upward.filter("r_src < r_dst").select("space", "r_src", "r_dst"), "upward")
     counts["invalid"] = upward.count()
     if not counts["invalid"]:
-        return State(state.members, state.order, edges, state.parts), counts
+        return done, counts
     inside = saved(in_islands(state.order, islands(upward)), "inside")
-    counts["affected"] = inside.count()
-    both = edges
+    both = state.edges
     for end in ("src", "dst"):
         both = both.join(inside.select(F.col("component").alias(end), F.col("island").alias(f"i_{end}"), F.col("space").alias(f"s_{end}")), end)
     within = saved(both.filter("i_src = i_dst and s_src = s_dst").select(F.col("s_src").alias("space"), F.col("i_src").alias("island"), "src", "dst"), "within")
@@ -225,7 +325,32 @@ def apply_batch(state: State, delta: DataFrame) -> tuple[State, dict[str, int]]:
         dealt = turn.join(slot, ["island_", "k"])
         new = joined.select(F.col("id").alias("component"), F.col("component").alias("joined")).join(dealt.select(F.col("component").alias("joined"), "space", "rank"), "joined").select("component", "joined", "space", "rank")
     new = saved(new, "new")
-    return _joined(state, new, edges), counts
+    counts["affected"] = new.count()
+    return done.then(_of_islands(state, new)), counts
+
+
+def _of_islands(state: State, new: DataFrame) -> Changes:
+    """Changes by solved islands (component, joined, space, rank): what each component joined, and the rank of that."""
+    moved = saved(new.filter("component <> joined").select("component", "joined"), "joined")
+    members = state.members.join(moved, "component").select("id", F.col("joined").alias("component"))
+    order = new.select("component", "space", F.when(F.col("component") == F.col("joined"), F.col("rank")).alias("rank"))
+    touched = state.edges
+    for end in ("src", "dst"):
+        touched = touched.join(moved.select(F.col("component").alias(end), F.col("joined").alias(f"to_{end}")), end, "left")
+    touched = saved(touched.filter("to_src is not null or to_dst is not null"), "touched")
+    now = touched.select(F.coalesce("to_src", "src").alias("src"), F.coalesce("to_dst", "dst").alias("dst")).filter("src <> dst").distinct()
+    edges = touched.select("src", "dst", F.lit(True).alias("gone")).unionByName(now.withColumn("gone", F.lit(False)))
+    return Changes(members, order, edges, None if state.parts is None else state.parts.limit(0))
+
+
+def _whole(state: State) -> State:
+    return State(saved(state.members, "members"), saved(state.order, "order"), saved(state.edges, "edges"), None if state.parts is None else saved(state.parts, "parts"))
+
+
+def apply_batch(state: State, delta: DataFrame) -> tuple[State, dict[str, int]]:
+    """The state with the edges (src, dst) inserted, and the counts of changes."""
+    done, counts = changes(state, delta)
+    return _whole(state.after(done)), counts
 
 
 def violations(state: State) -> DataFrame:
@@ -237,10 +362,11 @@ def violations(state: State) -> DataFrame:
 
 
 COUNTED = ", ".join(f"{f.name} {'double' if f.name.endswith('seconds') else 'long'}" for f in fields(Counts))
+SCOPES = pa.map_(pa.int64(), pa.int64())
 
 
 def replay(state: State, delta: DataFrame, batch: int, cuts: list[int], *, search: str = "two-way", settling: str = "single") -> DataFrame:
-    """Insert (seq, src, dst) in order, batch by batch, up to each cut, inside one task: (cut, id, component, part, and the counts of Counts, which rows without an id have). search, settling: as Replay."""
+    """Insert (seq, src, dst) in order, batch by batch, up to each cut, inside one task: (cut, id, component, part, and the counts of Counts and scopes, which rows without an id have). search, settling: as Replay."""
     coupled = state.parts is not None
     long = lambda x: x.cast("long")
     members = state.members.join(state.order, "component", "left")
@@ -261,7 +387,7 @@ def replay(state: State, delta: DataFrame, batch: int, cuts: list[int], *, searc
         r = Replay(a[node], b[node], space, c[node].tolist(), t.column(5).take(pa.array(node)).fill_null(0).to_numpy(), a[old], b[old], coupled=coupled, search=search, settling=settling)
         out, at = [], 0
         for n, cut in enumerate(cuts):
-            r.counts = Counts()
+            r.counts, r.scopes = Counts(), {}
             while at < min(cut, len(new)):
                 part = new[at : min(at + batch, cut)]
                 r.insert(a[part].tolist(), b[part].tolist())
@@ -271,11 +397,17 @@ def replay(state: State, delta: DataFrame, batch: int, cuts: list[int], *, searc
             own = {"cut": pa.array([n] * m, pa.int64()), "id": pa.array(r.ids, pa.int64()), "component": pa.array([r.name[x] for x in r.of], pa.int64()), "part": pa.array(parts, pa.string())}
             empty = {"cut": pa.array([n], pa.int64()), "id": pa.nulls(1, pa.int64()), "component": pa.nulls(1, pa.int64()), "part": pa.nulls(1, pa.string())}
             kinds = [pa.float64() if f.name.endswith("seconds") else pa.int64() for f in fields(Counts)]
-            out.append(pa.table(own | {f.name: pa.nulls(m, k) for f, k in zip(fields(Counts), kinds, strict=True)}))
-            out.append(pa.table(empty | {f.name: pa.array([x], k) for f, x, k in zip(fields(Counts), r.counts.as_tuple(), kinds, strict=True)}))
+            out.append(pa.table(own | {f.name: pa.nulls(m, k) for f, k in zip(fields(Counts), kinds, strict=True)} | {"scopes": pa.nulls(m, SCOPES)}))
+            out.append(pa.table(empty | {f.name: pa.array([x], k) for f, x, k in zip(fields(Counts), r.counts.as_tuple(), kinds, strict=True)} | {"scopes": pa.array([list(r.scopes.items())], SCOPES)}))
         return pa.concat_tables(out)
 
-    return kernel.in_one_task(rows, run, f"cut long, id long, component long, part string, {COUNTED}")
+    return kernel.in_one_task(rows, run, f"cut long, id long, component long, part string, {COUNTED}, scopes map<long, long>")
+
+
+def invalid_by_scope(rows: DataFrame) -> DataFrame:
+    """(cut, part, year, invalid) of what replay returns: edges that led upward as their batch began, by the part and year in whose order they did; Gm has no year."""
+    found = rows.filter("id is null").select("cut", F.explode("scopes").alias("space", "invalid"))
+    return found.select("cut", F.when(F.col("space") == GM, "gm").otherwise("gsi").alias("part"), F.when(F.col("space") != GM, (F.col("space") / 2).cast("long")).alias("year"), "invalid")
 
 
 def checkpoints(n: int, percentage: float) -> list[int]:
@@ -300,7 +432,8 @@ def replay_apart(state: State, delta: DataFrame, batch: int, *, search: str = "t
     depends on its own components and edges alone. Each island is therefore a replay of its own, in which edges and
     batches keep their order; edges between islands lead downward, whatever happens. None if an island doesn't fit a task.
     """
-    state = _with_new_nodes(state, delta)
+    if (new := _new_nodes(state, delta)) is not None:
+        state = state.after(new)
     ends = delta.select(*[F.col(c).cast("long") for c in ("seq", "src", "dst")]).filter("src <> dst")
     for end in ("src", "dst"):
         ends = ends.join(state.members.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}")), end)
@@ -313,7 +446,7 @@ def replay_apart(state: State, delta: DataFrame, batch: int, *, search: str = "t
     counts["inserted"] = ends.count()
     edges = state.edges.unionByName(ends.select("src", "dst")).distinct()
     if upward.isEmpty():
-        return State(state.members, state.order, saved(edges, "edges"), state.parts), counts
+        return _whole(State(state.members, state.order, edges, state.parts)), counts
     inside = saved(in_islands(state.order, islands(upward)), "inside")
     own = inside.select("component", "space", "island")
 
@@ -353,7 +486,8 @@ def replay_apart(state: State, delta: DataFrame, batch: int, *, search: str = "t
     total = done.filter("component is null").agg(*[F.sum(f.name).alias(f.name) for f in fields(Counts)]).first()
     for f in fields(Counts):
         counts[f.name] += total[f.name]
-    return _joined(state, done.filter("component is not null").select("component", "joined", "space", "rank"), edges), counts
+    state = State(state.members, state.order, saved(edges, "edges"), state.parts)
+    return _whole(state.after(_of_islands(state, done.filter("component is not null").select("component", "joined", "space", "rank")))), counts
 
 
 def _changes_parts(state: State, delta: DataFrame) -> DataFrame:
@@ -407,9 +541,9 @@ def maintained(nodes: DataFrame, edges: DataFrame, delta: DataFrame, *, batch: i
         state, at = _advance(state, delta, at, cut, batch, counts, **method), max(at, cut)
         part = state.parts.select("id", "part") if coupled else state.members.select("id", F.lit(None).cast("string").alias("part"))
         kinds = [(f.name, "double" if f.name.endswith("seconds") else "long") for f in fields(Counts)]
-        own = state.members.join(part, "id").select(F.lit(n).cast("long").alias("cut"), "id", "component", "part", *[F.lit(None).cast(k).alias(name) for name, k in kinds])
+        own = state.members.join(part, "id").select(F.lit(n).cast("long").alias("cut"), "id", "component", "part", *[F.lit(None).cast(k).alias(name) for name, k in kinds], F.lit(None).cast("map<long, long>").alias("scopes"))
         seconds = [None if x is None else float(x) if name.endswith("seconds") else int(x) for name, x in counts.items()]
-        metrics = own.sparkSession.createDataFrame([(n, None, None, None, *seconds)], own.schema)
+        metrics = own.sparkSession.createDataFrame([(n, None, None, None, *seconds, None)], own.schema)
         both = saved(own.unionByName(metrics), "cut")
         out = both if out is None else out.unionByName(both)
     return out

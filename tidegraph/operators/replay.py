@@ -147,10 +147,10 @@ class Order:
 
 
 class Replay:
-    """Components and their order under insertions. Ids that aren't known come in with year 0, as components of their own."""
+    """Components and their order under insertions. Ids that aren't known come in with year 0, as components of their own. labels: the given ranks stay as labels, which islands deal anew and nothing else changes."""
 
-    def __init__(self, ids: np.ndarray, component: np.ndarray, space: list[int | None], rank: list[int | None], year: np.ndarray, src: np.ndarray, dst: np.ndarray, *, coupled: bool = False, search: str = "two-way", settling: str = "single"):
-        if search not in SEARCHES or settling not in SETTLINGS:
+    def __init__(self, ids: np.ndarray, component: np.ndarray, space: list[int | None], rank: list[int | None], year: np.ndarray, src: np.ndarray, dst: np.ndarray, *, coupled: bool = False, search: str = "two-way", settling: str = "single", labels: bool = False):
+        if search not in SEARCHES or settling not in SETTLINGS or (labels and settling != "islands"):
             raise ValueError(f"search {search}, settling {settling}")
         self.coupled, self.search, self.settling = coupled, search, settling
         self.ids, self.year = ids.tolist(), year.tolist()
@@ -165,13 +165,16 @@ class Replay:
                 places.setdefault(space[v], []).append((rank[v], c))
             self.members.setdefault(c, []).append(v)
         for at, held in places.items():
-            for _, c in sorted(held):
+            for r, c in sorted(held):
                 self._place(c, at)
+                if labels:
+                    self.rank[c] = r
         self.out: dict[int, list[int]] = {}
         self.into: dict[int, list[int]] = {}
         for s, t in zip(src.tolist(), dst.tolist(), strict=True):
             self._link(self.of[self._node(s)], self.of[self._node(t)])
         self.counts = Counts()
+        self.scopes: dict[int, int] = {}  # by space, edges that led upward there as their batch began
 
     def _node(self, v: int) -> int:
         if v not in self.index:
@@ -221,6 +224,9 @@ class Replay:
             self.counts.inserted += 1
             if self.coupled and not self._settled(a, b) or not self.coupled and self._upward(self.of[a], self.of[b]):
                 later.append((a, b))
+                if self._upward(self.of[a], self.of[b]):
+                    at = self.space[self.of[a]]
+                    self.scopes[at] = self.scopes.get(at, 0) + 1
             else:
                 self._link(self.of[a], self.of[b])
         self.counts.unsettled += len(later)

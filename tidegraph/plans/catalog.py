@@ -247,7 +247,7 @@ lv(c, d) AS (SELECT component, 0 FROM placed UNION SELECT ie.s, lv.d + 1 FROM lv
 SELECT component, space, row_number() OVER (PARTITION BY space ORDER BY level, component) AS rank FROM lvl JOIN placed USING (component)""")
 def topo_rank_by_part(spark, sf_dir):
     nodes, _, edges = graphs.local_graph(spark, sf_dir)
-    return inc.start(nodes, edges, coupled=True).order
+    return inc.start(nodes, edges, coupled=True).order.withColumn("rank", (F.col("rank") / inc.GAP).cast("long"))  # without the gaps
 
 
 _G0 = "start AS (SELECT s, t FROM edge WHERE b >= 3)"
@@ -345,6 +345,29 @@ def inc_metrics(spark, sf_dir):
     return inc.maintained(nodes, start, delta, batch=max(n, 1), cuts=[n]).filter("id is null").select("inserted", "unsettled")
 
 
+@query(f"""{_BASE}, {_DELTA}, {_G0}, {_parts('start')}, {_closure('start')}, {_SPACE}, placed AS (SELECT DISTINCT component, space FROM comp JOIN space USING (id) WHERE space IS NOT NULL),
+inner_edge AS (SELECT DISTINCT a.component AS s, b.component AS t FROM start e JOIN comp a ON a.id = e.s JOIN comp b ON b.id = e.t JOIN placed p ON p.component = a.component JOIN placed q ON q.component = b.component WHERE a.component <> b.component AND p.space = q.space),
+lv(c, d) AS (SELECT component, 0 FROM placed UNION SELECT ie.s, lv.d + 1 FROM lv JOIN inner_edge ie ON ie.t = lv.c), lvl AS (SELECT c AS component, max(d) AS level FROM lv GROUP BY c),
+ranked AS (SELECT component, space, row_number() OVER (PARTITION BY space ORDER BY level, component) AS rank FROM lvl JOIN placed USING (component))
+SELECT CASE p.space WHEN -1 THEN 'gm' ELSE 'gsi' END AS part, CASE WHEN p.space <> -1 THEN CAST(p.space // 2 AS BIGINT) END AS year, count(*) AS invalid
+FROM delta e JOIN comp a ON a.id = e.s JOIN comp b ON b.id = e.t JOIN ranked p ON p.component = a.component JOIN ranked q ON q.component = b.component WHERE p.space = q.space AND p.rank < q.rank GROUP BY p.space""")
+def inc_invalid_by_scope(spark, sf_dir):
+    """The increment as one batch: edges that lead upward in the first order of their space, by part and year."""
+    nodes, _, edges = graphs.local_graph(spark, sf_dir)
+    start, delta = graphs.split_increment(edges)
+    n = delta.count()
+    return inc.invalid_by_scope(inc.maintained(nodes, start, delta, batch=max(n, 1), cuts=[n], coupled=True)).select("part", "year", "invalid")
+
+
+@query(f"{_LEVEL} SELECT row_number() OVER (ORDER BY level, component) AS rank, component FROM lvl")
+def order_dump(spark, sf_dir):
+    """Components in their order, written as text and read back."""
+    _, edges, members = _members(spark, sf_dir)
+    path = fresh_path(spark, "order")
+    reports.write_order(numbered(ops.levels(members, ops.condensed(edges, members)), "level", "component", name="rank"), path)
+    return spark.read.option("sep", "\t").schema("rank long, component long").csv(path)
+
+
 #: Edges of a batch, and islands of the upward ones in the first order, merged by a running maximum.
 BATCH = 100
 

@@ -51,6 +51,11 @@ def show_order(order: DataFrame, n: int = 20) -> str:
     return "\n".join(f"{r['rank']}\t{r.component}" for r in order.orderBy("rank").limit(n).collect())
 
 
+def write_order(order: DataFrame, path: str) -> None:
+    """rank and component, tab-separated, in the order of the ranks."""
+    order.select("rank", "component").repartitionByRange("rank").sortWithinPartitions("rank").write.mode("overwrite").option("sep", "\t").csv(path)
+
+
 def write_components(members: DataFrame, path: str) -> None:
     """component and node, tab-separated, component by component."""
     members.select("component", "id").repartitionByRange("component", "id").sortWithinPartitions("component", "id").write.mode("overwrite").option("sep", "\t").csv(path)

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegraph.operators.incremental import State, apply_batch
-from tidegraph.storage import delete
+from tidegraph.operators.incremental import Changes, State, changes, overlaid
+from tidegraph.storage import delete, saved, scratch
 
 EDGES = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
-#: Versions that stay: the newest, and the one before, which a reader may have in hand.
-KEPT = 2
+#: Versions of changes after which a whole state is written.
+COMPACT = 16
+#: Tables of a version, with their keys and the rows that stay.
+TABLES = {"members": (["id"], "true"), "order": (["component"], "rank is not null"), "edges": (["src", "dst"], "not gone"), "parts": (["id"], "true")}
 
 
 class Maintained:
-    """State by version, in a folder that all machines share; version -1 is the starting graph.
+    """State by version, in a folder that all machines share: a whole state now and then, and what each micro-batch changed since.
 
-    A version counts once the file that says so is there, which is written last. Every micro-batch goes on from the newest;
-    inserting edges twice changes nothing, so a repeated one does no harm. A folder that holds versions is taken up.
+    Version -1 is the starting graph. A version counts once the file that says so is there, which is written last. Every
+    micro-batch goes on from the newest and writes changed rows only; of a key, a reader takes the newest version. After
+    COMPACT versions a whole state is written, and what lies before the whole state before it is deleted, so a reader
+    keeps what it has in hand. Inserting edges twice changes nothing, so a repeated micro-batch does no harm. A folder
+    that holds versions is taken up.
     """
 
     def __init__(self, spark: SparkSession, folder: str, state: State):
@@ -33,42 +41,71 @@ class Maintained:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
+    def _exists(self, path: str) -> bool:
+        files, at = self._hadoop(path)
+        return files.exists(at)
+
     def _path(self, version: int) -> str:
         return f"{self.folder}/v={version}"
 
-    def versions(self) -> list[int]:
-        """The complete versions that are there."""
+    def versions(self, whole: bool = False) -> list[int]:
+        """The complete versions that are there, or those of them that are whole states."""
         files, at = self._hadoop(self.folder)
         if not files.exists(at):
             return []
-        names = [str(x.getPath().getName()) for x in files.listStatus(at)]  # KEPT, and one that is being written
+        names = [str(x.getPath().getName()) for x in files.listStatus(at)]  # a few times COMPACT
         numbers = sorted(int(n.removeprefix("v=")) for n in names if n.startswith("v="))
-        return [n for n in numbers if files.exists(self._hadoop(f"{self._path(n)}/complete")[1])]
+        mark = "whole" if whole else "complete"
+        return [n for n in numbers if self._exists(f"{self._path(n)}/complete") and self._exists(f"{self._path(n)}/{mark}")]
 
-    def _write(self, state: State, version: int) -> None:
+    def _write(self, rows: State | Changes, version: int) -> None:
         path = self._path(version)
         delete(self.spark, f"{path}/complete")
         delete(self.spark, path)
-        for name in ("members", "order", "edges", "parts"):
-            df = getattr(state, name)
+        for name in TABLES:
+            df = getattr(rows, name)
             if df is not None:
                 df.write.parquet(f"{path}/{name}")
-        files, mark = self._hadoop(f"{path}/complete")
-        files.create(mark).close()
-        for old in self.versions():
-            if old <= version - KEPT:
-                delete(self.spark, self._path(old))
+        for mark in (["whole"] if isinstance(rows, State) else []) + ["complete"]:
+            files, at = self._hadoop(f"{path}/{mark}")
+            files.create(at).close()
+
+    def _state(self, version: int, newest_of: Callable[[DataFrame], DataFrame] = lambda df: df) -> State:
+        """The state of a version; newest_of may save what changed since the whole state before it."""
+        base = max(v for v in self.versions(whole=True) if v <= version)
+        later = [v for v in self.versions() if base < v <= version]
+        tables = {}
+        for name, (keys, stays) in TABLES.items():
+            if not self._exists(f"{self._path(base)}/{name}"):
+                continue
+            df = self.spark.read.parquet(f"{self._path(base)}/{name}")
+            changed = None
+            for v in later:
+                more = self.spark.read.parquet(f"{self._path(v)}/{name}").withColumn("version", F.lit(v))
+                changed = more if changed is None else changed.unionByName(more)
+            if changed is not None:
+                rest = [c for c in changed.columns if c not in (*keys, "version")]
+                newest = changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("row")).select(*keys, "row.*")
+                df = overlaid(df, newest_of(newest), keys, stays)
+            tables[name] = df
+        return State(**tables)
 
     def state(self) -> State:
-        at = self._path(self.version)
-        files, parts = self._hadoop(f"{at}/parts")
-        names = ["members", "order", "edges", *(["parts"] if files.exists(parts) else [])]
-        return State(*(self.spark.read.parquet(f"{at}/{name}") for name in names))
+        return self._state(self.version)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        new, _ = apply_batch(self.state(), batch.select("src", "dst").filter("src <> dst"))
-        self._write(new, self.version + 1)
-        self.version += 1
+        with scratch(self.spark):  # what is saved on the way goes once the version is written
+            new, _ = changes(self._state(self.version, saved), batch.select("src", "dst").filter("src <> dst"))
+            self._write(new, self.version + 1)
+            self.version += 1
+            whole = self.versions(whole=True)
+            if self.version - whole[-1] < COMPACT:
+                return
+            self._write(self._state(self.version, saved), self.version + 1)
+            self.version += 1
+        for old in self.versions():
+            if old < whole[-1]:
+                delete(self.spark, self._path(old))
 
 
 def follow(spark: SparkSession, edges: str, folder: str, state: State, *, files_per_batch: int = 1) -> Maintained:
