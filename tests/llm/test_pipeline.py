@@ -56,7 +56,8 @@ def test_run_on_odd_rows(spark, sf_dir, tmp_path):
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = [r.doc_id for r in rows if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and len(set(plain) - set(ids)) <= 5
+    assert len(ids) == len(set(ids)) + 1 and ids.count(kept[1]) == 2  # two different texts, of which the second is copied by kept[2]
+    assert len(set(plain) - set(ids)) <= 5 and kept[2] not in ids
     known = text | {10**6 + i: t for i, (_, t, *_) in enumerate(odd[:4])}
     for r in rows:
         if r.doc_id not in (None, kept[0], kept[1]):
