@@ -252,6 +252,52 @@ def test_sweep_over_years(spark, monkeypatch):
     assert {x.id for x in tc.gm(tc.classes(nodes, df)).collect()} == want and 0 < len(want) < 60
 
 
+def test_long_paths_take_a_round_a_part(spark, monkeypatch):
+    """A chain of 5,000 nodes in parts of 1,000 edges: rounds count parts, for what is reached, levels, and components."""
+    n = 5000
+    chain = [(v, v + 1) for v in range(n - 1)]
+    df = spark.createDataFrame(chain, "src long, dst long")
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 1000)
+    rounds = []
+    real = scc._carried
+    monkeypatch.setattr(scc, "_carried", lambda *a: rounds.append(1) or real(*a))
+    assert scc.reach(df, spark.createDataFrame([(0,)], "id long")).count() == n
+    assert len(rounds) <= 10
+    rounds.clear()
+    names = spark.range(n + 1).select(F.col("id").alias("component"))
+    assert pairs(scc.levels(names, df), "component", "level") == {(v, n - 1 - v) for v in range(n)} | {(n, 0)}
+    assert len(rounds) <= 10
+    rounds.clear()
+    loops = [*chain, *((v + 1, v) for v in range(0, 200, 2)), (n - 1, n - 100)]
+    got = dict(pairs(scc.scc_distributed(spark.createDataFrame(loops, "src long, dst long")), "id", "component"))
+    assert got == {v: v - v % 2 if v < 200 else min(v, n - 100) for v in range(n)}
+    assert len(rounds) <= 40  # of all colours and searches together
+
+
+@pytest.mark.parametrize("gain", [0, 1])
+def test_spread_equals_plain_rounds(spark, monkeypatch, gain):
+    """Shuffled ids, so that paths change parts often; a hub whose edges fill several parts; repeated edges; starts that no edge knows."""
+    r = random.Random(11)
+    name = r.sample([k * 2**55 + k for k in range(-99, 99)], 80)
+    edges = [(a, b) for a, b in random_edges(r, 79, 150) if a != b and (not gain or a < b)] + [(0, v) for v in range(1, 40)] * 2
+    first = {v: r.randrange(-5, 5) for v in r.sample(range(80), 20)} | {79: 7}
+    best = dict(first)
+    for _ in range(80):
+        for a, b in edges:
+            if a in best:
+                best[b] = max(best.get(b, best[a] + gain), best[a] + gain)
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 20)
+    got = scc.spread(spark.createDataFrame([(name[a], name[b]) for a, b in edges], "src long, dst long"), spark.createDataFrame([(name[v], x) for v, x in first.items()], "id long, value long"), gain)
+    assert pairs(got, "id", "value") == {(name[v], x) for v, x in best.items()}
+
+
+def test_mixed_ids_stay_apart(spark):
+    ids = spark.createDataFrame([(x,) for x in (*range(-500, 500), 2**63 - 1, -(2**63), 2**32, 2**53 + 1)], "id long")
+    both = ids.select("id", scc.mixed("id", 0).alias("a"), scc.mixed("id", 1).alias("b")).collect()
+    assert len({x.a for x in both}) == len({x.b for x in both}) == len(both)
+    assert sorted(both, key=lambda x: x.a) != sorted(both, key=lambda x: x.b)
+
+
 def test_migrated_components_stand_above_what_they_lead_to(spark, monkeypatch):
     """One edge to a node outside a large Gm touches what lies between, and no more; where gaps are full, Gm gets new ranks."""
     n = 5000

@@ -112,3 +112,25 @@ def reached(src: np.ndarray, dst: np.ndarray, seeds: np.ndarray) -> np.ndarray:
                 seen[w] = True
                 todo.append(w)
     return ids[seen]
+
+
+def carried(src: np.ndarray, dst: np.ndarray, ids: np.ndarray, values: np.ndarray, gain: int) -> pa.Table:
+    """(id, value): the greatest that paths bring to a node from ids that hold values, gain more with every edge, where that is more than it holds itself. With a gain, there are no cycles."""
+    names, flat = np.unique(np.concatenate((src, dst, ids)), return_inverse=True)
+    n, m = len(names), len(src)
+    starts, targets = neighbours(n, flat[:m], flat[m : 2 * m])
+    held: list[int | None] = [None] * n
+    for v, x in zip(flat[2 * m :].tolist(), values.tolist()):
+        if held[v] is None or held[v] < x:
+            held[v] = x
+    best = held.copy()
+    for group in reversed(strong(n, starts, targets, np.unique(flat[2 * m :]).tolist())):  # each before all that it reaches
+        top = max(best[v] for v in group if best[v] is not None)
+        for v in group:
+            best[v] = top
+        for v in group:
+            for w in targets[starts[v] : starts[v + 1]]:
+                if best[w] is None or best[w] < top + gain:
+                    best[w] = top + gain
+    grown = [v for v in range(n) if best[v] is not None and (held[v] is None or best[v] > held[v])]
+    return pa.table({"id": names[grown].astype(np.int64), "value": pa.array([best[v] for v in grown], pa.int64())})

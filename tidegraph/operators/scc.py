@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Callable
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.functions.order import numbered
 from tidegraph.operators import kernel
 from tidegraph.storage import fresh_path, salted, saved
 
-#: Hops after which reach looks at how many edges are left.
-REACH_ROUNDS = 4
+#: Rounds after which it is looked at how many edges still need following.
+REST_ROUNDS = 4
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -39,13 +41,13 @@ def with_all(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def trimmed(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """Edges less those whose source nothing enters or whose target nothing leaves, again and again: such ends are components of their own."""
+    """Edges less those whose source nothing enters or whose target nothing leaves, again and again while that takes a tenth of the edges: such ends are components of their own."""
     n = edges.count()
     for _ in range(rounds):
         ins, outs = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
         edges = saved(edges.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"), "trim")
         was, n = n, edges.count()
-        if n in (0, was):
+        if not n or 10 * n > 9 * was:
             break
     return edges
 
@@ -60,34 +62,73 @@ def _reached_in_one_task(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return kernel.in_one_task(rows, run, "id long")
 
 
-def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(id): seeds (id), and what paths lead to from them.
+def in_parts(edges: DataFrame) -> DataFrame:
+    """(part, src, dst): neighbours in the order of their sources lie in one part, as many as fit a task. A source of many edges has several parts."""
+    if fits(edges):
+        return _pairs(edges).withColumn("part", F.lit(0).cast("long"))
+    return saved(numbered(_pairs(edges), "src", "dst", name="part").select(F.expr(f"(part - 1) div {kernel.LOCAL_ROWS}").alias("part"), "src", "dst"), "parts")
+
+
+def _carried(edges: DataFrame, front: DataFrame, gain: int) -> DataFrame:
+    """(id, value): what paths inside the parts of edges (part, src, dst) bring from the front (id, value) that is more than arrived there. Parts that the front doesn't enter aren't looked at."""
+    arrived = edges.select("part", F.col("src").alias("id")).distinct().join(front, "id").select(F.col("part").alias("entered"), "id", "value")
+    touched = edges.join(arrived.select(F.col("entered").alias("part")).distinct(), "part", "left_semi").select("part", "src", "dst")
+
+    def run(e: pa.Table, a: pa.Table) -> pa.Table:
+        return kernel.carried(*(e.column(x).to_numpy() for x in ("src", "dst")), *(a.column(x).to_numpy() for x in ("id", "value")), gain)
 
-    A large graph takes a hop a round; a round writes its front only, and every few rounds the edges into what was
-    reached go, until the rest fits one task.
+    return touched.groupBy("part").cogroup(arrived.groupBy("entered")).applyInArrow(run, "id long, value long")
+
+
+def spread(edges: DataFrame, start: DataFrame, gain: int = 0, rest: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """(id, value): the greatest that start (id, value) and paths from there bring to each node, gain more with every edge; with a gain, edges hold no cycle.
+
+    Edges lie in parts. A round carries new values along all paths inside each part that they enter; what grew is written
+    and goes on to other parts. So rounds count how often a path changes parts, not its edges. ``rest`` gives the edges
+    that still need following after so many rounds, by what is known; as soon as they fit, one task ends it.
     """
+    spark, folder, k, ended = edges.sparkSession, fresh_path(edges.sparkSession, "spread"), 0, False
+    read = lambda at="": spark.read.schema("id long, value long").option("recursiveFileLookup", True).parquet(folder + at)
+    known = lambda: read().groupBy("id").agg(F.max("value").alias("value"))
+    start.groupBy(F.col("id").cast("long").alias("id")).agg(F.max(F.col("value").cast("long")).alias("value")).write.parquet(f"{folder}/0")
+    left, front = in_parts(edges), read("/0")
+    while not ended and not front.isEmpty():
+        if rest and k % REST_ROUNDS == REST_ROUNDS - 1:
+            left = saved(rest(left, known(), k).select("part", "src", "dst"), "left")
+            ended = fits(left, front)
+            if ended:
+                left = left.withColumn("part", F.lit(0).cast("long"))
+        k += 1
+        best = _carried(left, front, gain).groupBy("id").agg(F.max("value").alias("value"))
+        grown = best.join(known().withColumnRenamed("value", "was"), "id", "left").filter("was is null or value > was")
+        grown.select("id", "value").write.parquet(f"{folder}/{k}")
+        front = read(f"/{k}")
+    return known()
+
+
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id): seeds (id), and what paths lead to from them. Of a large graph, edges into what was reached need no following."""
     seeds = seeds.select(F.col("id").cast("long").alias("id")).distinct()
     if fits(edges, seeds):
         return _reached_in_one_task(edges, seeds)
-    spark, folder = edges.sparkSession, fresh_path(edges.sparkSession, "reached")
-    read = lambda: spark.read.schema("id long").option("recursiveFileLookup", True).parquet(folder)
-    left, k = _pairs(edges), 0
-    seeds.write.parquet(f"{folder}/0")
-    front = spark.read.schema("id long").parquet(f"{folder}/0")
-    while not front.isEmpty():
-        if k % REACH_ROUNDS == REACH_ROUNDS - 1:
-            left = saved(left.join(read().withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "left")
-            if fits(left, front):
-                return read().unionByName(_reached_in_one_task(left, front).join(front, "id", "left_anti"))
-        k += 1
-        ahead = left.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
-        ahead.join(read(), "id", "left_anti").write.parquet(f"{folder}/{k}")
-        front = spark.read.schema("id long").parquet(f"{folder}/{k}")
-    return read()
+    unmet = lambda left, known, _: left.join(known.select(F.col("id").alias("dst")), "dst", "left_anti")
+    return spread(edges, seeds.withColumn("value", F.lit(1)), rest=unmet).select("id")
+
+
+def mixed(name: str, k: int) -> Column:
+    """Another long for each long of a column, in an order that k chooses: either half takes a hash of the other."""
+    low, high = F.col(name).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(name, 32)
+    cut = lambda half: F.xxhash64(half, F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF))
+    high = high.bitwiseXOR(cut(low))
+    low = low.bitwiseXOR(cut(high))
+    return F.shiftleft(high.bitwiseXOR(cut(low)), 32).bitwiseOR(low)
 
 
 def scc_distributed(edges: DataFrame) -> DataFrame:
-    """scc for graphs of any size: trim, spread the largest ancestor's id forward as a colour, and take what reaches a colour's own node backward within the colour; again with the rest."""
+    """scc for graphs of any size: trim, spread the greatest colour of any ancestor, and take what reaches a colour's own node backward within the colour; again with the rest.
+
+    Colours are ids in another order each time, so a chain of components falls apart in pieces instead of losing one a time.
+    """
     edges = saved(_pairs(edges).filter("src <> dst").distinct(), "edges")
     everyone = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     spark, folder, k, left = edges.sparkSession, fresh_path(edges.sparkSession, "components"), 0, trimmed(edges)
@@ -96,17 +137,11 @@ def scc_distributed(edges: DataFrame) -> DataFrame:
             solved(left).select("id", "component").write.parquet(f"{folder}/{k}")
             k += 1
             break
-        colour = saved(left.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("colour", F.col("id")), "colour")
-        while True:
-            sent = left.join(colour.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.max("colour").alias("sent"))
-            step = colour.join(sent.withColumnRenamed("dst", "id"), "id", "left").select("id", F.greatest("colour", "sent").alias("colour"), (F.col("sent") > F.col("colour")).alias("moved"))
-            step = saved(step, "colour")
-            colour = step.select("id", "colour")
-            if step.filter("moved").isEmpty():
-                break
+        ends = left.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        colour = saved(spread(left, ends.withColumn("value", mixed("id", k))).withColumnRenamed("value", "colour"), "colour")
         within = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("d")), "dst").filter("c = d")
         back = saved(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "back")
-        found = saved(reach(back, colour.filter("id = colour").select("id")).join(colour, "id"), "found")
+        found = saved(reach(back, colour.filter(F.col("colour") == mixed("id", k)).select("id")).join(colour, "id"), "found")
         names = found.groupBy("colour").agg(F.min("id").alias("component"))
         salted(found, names, ["colour"], ["id"]).select("id", "component").write.parquet(f"{folder}/{k}")
         k += 1
@@ -134,25 +169,16 @@ def component_degrees(edges: DataFrame, components: DataFrame) -> DataFrame:
 def levels(components: DataFrame, between: DataFrame) -> DataFrame:
     """(component, level): the longest path of each component to a sink of the condensed graph.
 
-    A large graph loses its sinks a round; a round writes its own sinks only, and what is left goes to one task as soon
-    as it fits.
+    In a large graph, paths grow from their ends. After k rounds a component whose path is shorter than k has its final
+    level, and all it leads to has seen that.
     """
-    names = components.select("component").distinct()
-    spark, folder, k, left = between.sparkSession, fresh_path(between.sparkSession, "levels"), 0, between.select("src", "dst")
-    while not fits(left):
-        busy = left.select(F.col("src").alias("component")).distinct()
-        held = left.select(F.col("dst").alias("component")).distinct()
-        held.join(busy, "component", "left_anti").withColumn("level", F.lit(k).cast("long")).write.parquet(f"{folder}/{k}")
-        sinks = spark.read.schema("component long, level long").parquet(f"{folder}/{k}")
-        # who loses its last edge now is a sink of the next round
-        before, left = left, saved(left.join(sinks.select(F.col("component").alias("dst")), "dst", "left_anti").select("src", "dst"), "left")
-        freed = before.select(F.col("src").alias("component")).distinct().join(left.select(F.col("src").alias("component")).distinct(), "component", "left_anti")
-        freed = freed.join(left.select(F.col("dst").alias("component")).distinct(), "component", "left_anti")  # those that others lead to are met as sinks
-        freed.withColumn("level", F.lit(k + 1).cast("long")).write.parquet(f"{folder}/{k}-freed")
-        k += 1
-    found = solved(left).select(F.col("id").alias("component"), (F.col("level") + k).alias("level"))
-    if k:
-        found = found.unionByName(spark.read.schema("component long, level long").option("recursiveFileLookup", True).parquet(folder))
+    names = components.select(F.col("component").cast("long").alias("component")).distinct()
+    if fits(between):
+        found = solved(between).select(F.col("id").alias("component"), "level")
+    else:
+        ends = between.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        longer = lambda left, known, k: left.join(known.filter(F.col("value") >= k).select(F.col("id").alias("src")), "src", "left_semi")
+        found = spread(between.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends.withColumn("value", F.lit(0)), 1, longer).select(F.col("id").alias("component"), F.col("value").alias("level"))
     return names.join(found, "component", "left").select("component", F.coalesce("level", F.lit(0)).cast("long").alias("level"))
 
 
