@@ -145,6 +145,7 @@ def scc_distributed(edges: DataFrame) -> DataFrame:
         names = found.groupBy("colour").agg(F.min("id").alias("component"))
         salted(found, names, ["colour"], ["id"]).select("id", "component").write.parquet(f"{folder}/{k}")
         k += 1
+        left = back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))  # no cycle leaves its colour
         left = left.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
         left = trimmed(saved(left.select("src", "dst"), "left"))
     if not k:
