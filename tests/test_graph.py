@@ -274,6 +274,22 @@ def test_long_paths_take_a_round_a_part(spark, monkeypatch):
     assert len(rounds) <= 40  # of all colours and searches together
 
 
+def test_cycles_inside_ranges_merge(spark, monkeypatch):
+    """Rings inside ranges, rings across their borders, a hub, and a ring through rings far apart; names are smallest ids, also negative ones."""
+    ring = lambda ids: list(zip(ids, [*ids[1:], ids[0]]))
+    edges = [e for a in range(-200, 200, 8) for e in ring(list(range(a, a + 5)))] + ring([-196, 3, 100, 163]) + [(0, v) for v in range(-200, 200, 3)] + [(v, v + 3) for v in range(-200, 190, 8)]
+    edges = [(a, b) for a, b in edges if a != b]
+    src, dst = (np.array(x) for x in zip(*edges))
+    want = {(x["id"], x["component"]) for x in kernel.solve(src, dst).to_pylist()}
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 120)
+    df = spark.createDataFrame(edges, "src long, dst long").distinct()
+    left, went = scc.contracted(df, 0)
+    half = dict(pairs(went, "id", "component"))
+    assert len(half) > 150 and all(a > b for a, b in half.items()) and set(half.items()) <= {(a, b) for a in half for b in [half[a]] if (a, dict(want)[b]) in want}
+    assert pairs(left, "src", "dst") == {(half.get(a, a), half.get(b, b)) for a, b in edges if half.get(a, a) != half.get(b, b)}
+    assert pairs(scc.scc_distributed(df), "id", "component") == want
+
+
 @pytest.mark.parametrize("gain", [0, 1])
 def test_spread_equals_plain_rounds(spark, monkeypatch, gain):
     """Shuffled ids, so that paths change parts often; a hub whose edges fill several parts; repeated edges; starts that no edge knows."""

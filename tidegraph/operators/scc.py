@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,19 +125,52 @@ def mixed(name: str, k: int) -> Column:
     return F.shiftleft(high.bitwiseXOR(cut(low)), 32).bitwiseOR(low)
 
 
+def contracted(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct edges (src, dst) after each cycle that a range of ids holds has become its smallest id, and (id, component) of the nodes that went.
+
+    Nodes lie in ranges in the order of their ids, each with its edges out, half as many rows as fit a task. Edges inside a
+    range are at most those and, of its last node, one to each other node of the range. With an odd k, ranges begin halfway.
+    """
+    half = max(kernel.LOCAL_ROWS // 2, 1)
+    rows = edges.unionByName(edges.select(F.explode(F.array("src", "dst")).alias("src")).distinct().withColumn("dst", F.lit(None).cast("long")))
+    place = numbered(rows, "src", "dst").groupBy("src").agg(F.min("nth").alias("nth"))
+    place = saved(place.select(F.col("src").alias("id"), F.expr(f"(nth - 1 + {k % 2 * (half // 2)}) div {half}").alias("at")), "places")
+    inside = salted(edges, place.toDF("src", "at"), ["src"], ["dst"])
+    inside = salted(inside, place.toDF("dst", "to"), ["dst"], ["src"]).filter("at = to")
+
+    def run(t: pa.Table) -> pa.Table:
+        found = kernel.solve(t.column("src").to_numpy(), t.column("dst").to_numpy())
+        return found.filter(pc.not_equal(found["id"], found["component"])).select(["id", "component"])
+
+    went = saved(inside.groupBy("at").applyInArrow(run, "id long, component long"), "went")
+    for end in ("src", "dst"):  # a large component's edges keep their own ends until here, so no key is hotter than a node
+        other = "dst" if end == "src" else "src"
+        edges = salted(edges, went.withColumnRenamed("id", end), [end], [other], how="left").select(F.coalesce("component", end).alias(end), other)
+    return saved(edges.filter("src <> dst").distinct(), "contracted"), went
+
+
 def scc_distributed(edges: DataFrame) -> DataFrame:
-    """scc for graphs of any size: trim, spread the greatest colour of any ancestor, and take what reaches a colour's own node backward within the colour; again with the rest.
+    """scc for graphs of any size: trim, and merge cycles inside ranges of ids while that takes a tenth of the edges; then spread the greatest colour of any ancestor, and take what reaches a colour's own node backward within the colour; again with the rest.
 
     Colours are ids in another order each time, so a chain of components falls apart in pieces instead of losing one a time.
     """
     edges = saved(_pairs(edges).filter("src <> dst").distinct(), "edges")
     everyone = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     spark, folder, k, left = edges.sparkSession, fresh_path(edges.sparkSession, "components"), 0, trimmed(edges)
+    merged, idle = [], 0
     while not left.isEmpty():  # a round writes what it found only; its nodes leave the graph
-        if k and fits(left):
+        small = fits(left)
+        if small and (k or merged):
             solved(left).select("id", "component").write.parquet(f"{folder}/{k}")
             k += 1
             break
+        if not small and idle < 2:  # both ways of cutting ranges have to fail
+            was = left.count()
+            left, went = contracted(left, len(merged))
+            merged.append(went)
+            left = trimmed(left)
+            idle = idle + 1 if 10 * left.count() > 9 * was else 0
+            continue
         ends = left.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         colour = saved(spread(left, ends.withColumn("value", mixed("id", k))).withColumnRenamed("value", "colour"), "colour")
         within = left.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("d")), "dst").filter("c = d")
@@ -144,13 +178,15 @@ def scc_distributed(edges: DataFrame) -> DataFrame:
         found = saved(reach(back, colour.filter(F.col("colour") == mixed("id", k)).select("id")).join(colour, "id"), "found")
         names = found.groupBy("colour").agg(F.min("id").alias("component"))
         salted(found, names, ["colour"], ["id"]).select("id", "component").write.parquet(f"{folder}/{k}")
-        k += 1
+        k, idle = k + 1, 1
         left = back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))  # no cycle leaves its colour
         left = left.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti")
         left = trimmed(saved(left.select("src", "dst"), "left"))
-    if not k:
-        return everyone.select("id", F.col("id").alias("component"))
-    return with_all(everyone, spark.read.schema("id long, component long").option("recursiveFileLookup", True).parquet(folder))
+    known = spark.read.schema("id long, component long").option("recursiveFileLookup", True).parquet(folder) if k else spark.createDataFrame([], "id long, component long")
+    for went in reversed(merged):  # a node that went is where its new name is in the end
+        of = salted(went.toDF("id", "now"), known.toDF("now", "component"), ["now"], ["id"], how="left")
+        known = saved(known.unionByName(of.select("id", F.coalesce("component", "now").alias("component"))), "known")
+    return with_all(everyone, known)
 
 
 def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
