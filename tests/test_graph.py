@@ -397,3 +397,41 @@ def test_histograms(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "id long, component long")
     assert pairs(scc.histogram(df), "size", "cnt") == {(1, 2), (2, 1)}
     assert scc.same_histogram(scc.histogram(df), scc.histogram(df)) and not scc.same_histogram(scc.histogram(df), scc.histogram(df.limit(2)))
+
+
+def test_new_edges_span_short_intervals(spark):
+    """A path on which every third node ends, wherever it lies; edges lead on from there. Full searches meet few components."""
+    n = 300
+    nodes, df = frames(spark, {v: 2000 for v in range(n)}, [(v, w) for v in range(3, n) if v % 3 for w in (v - 1, v - 3)])
+    delta = spark.createDataFrame([(k, v, v - 1) for k, v in enumerate(range(3, n, 3))], "seq long, src long, dst long")
+    row = inc.maintained(nodes, df, delta, batch=1, cuts=[delta.count()], search="both").filter("id is null").first()
+    assert row.inserted == delta.count() and row.visited <= 4 * row.inserted
+
+
+def test_what_moves_to_gm_stays_near():
+    """An edge to a node outside Gm that leads nowhere, and one on from there, don't look at what lies above or below."""
+    n = 4000
+    ids = np.arange(n + 1)
+    r = Replay(ids, ids, [GM] * n + [None], [*range(1, n + 1), None], np.full(n + 1, 2000), ids[1:n], ids[: n - 1], coupled=True, search="both")
+    r.insert([n // 2], [n])
+    r.insert([n], [n // 2 - 1])
+    check_gm = [c for c in sorted(r.rank, key=r.rank.__getitem__)]
+    assert r.counts.migrated == 1 and r.counts.visited < 10 and check_gm.index(n) == n // 2
+
+
+def test_parts_change_before_batches(spark, monkeypatch):
+    """Beyond one task, what an increment moves to Gm moves as one set, and batches of one edge each follow, island by island."""
+    year = {v: 2000 + v // 40 for v in range(160)}
+    r = random.Random(4)
+    edges = sorted({(a, max(0, a - r.randint(1, 9))) for a in range(1, 160) for _ in range(2)} | {(39, 41), (79, 82)})
+    new = [(a, min(159, a + r.randint(1, 4))) for a in r.sample(range(150), 40)]
+    nodes, df = frames(spark, year, [e for e in edges if e[0] != e[1]])
+    delta = spark.createDataFrame([(i, *e) for i, e in enumerate(new)], "seq long, src long, dst long")
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 500)
+    calls, apply = [], inc.apply_batch
+    monkeypatch.setattr(inc, "apply_batch", lambda *a: calls.append(1) or apply(*a))
+    rows = inc.maintained(nodes, df, delta, batch=1, cuts=[len(new)], coupled=True, search="both").collect()
+    now = [e for e in edges if e[0] != e[1]] + new
+    assert {r.id: r.component for r in rows if r.id is not None} == closure_components(year, now)
+    assert {r.id: r.part for r in rows if r.id is not None} == parts(year, now)
+    assert len(calls) == 0 and [r.migrated for r in rows if r.id is None][0] > 0
