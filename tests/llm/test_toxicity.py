@@ -144,3 +144,19 @@ def test_thresholds_by_language():
     t = toxicity.calibrate(s, y, ["aa"] * 60 + ["bb"] * 60)
     assert 0.3 <= t["aa"] < 0.45 and 0.6 < t["bb"] <= 0.7
     assert toxicity.calibrate(s[:5], y[:5], ["aa"] * 5) == {}
+
+
+def test_all_labels_apart_from_the_fit_calibrate(spark, monkeypatch):
+    """Thresholds come from every labelled text of the ids apart, also beyond the rows that are fitted on."""
+    words = {0: "kind calm good warm", 1: "awful nasty cruel vile"}
+    rows = [(i, f"{words[i % 2]} {words[i % 2]}", "en" if i < 2000 else "de", i % 2) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "thresholds", lambda counts, **_: seen.append(counts) or {})
+    toxicity.train(docs, docs.select("doc_id", "toxic"), most_rows=200, epochs=1)
+    apart = docs.filter(~toxicity.held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0))
+    want = {(r["lang"], r["toxic"]): r["count"] for r in apart.groupBy("lang", "toxic").count().collect()}
+    got = {}
+    for (lang, label, _), n in seen[0].items():
+        got[lang, label] = got.get((lang, label), 0) + n
+    assert got == want and sum(want.values()) > 200

@@ -9,7 +9,8 @@ It is fitted on whole texts of a bounded sample of labelled rows: at most ``most
 text, in the order of a hash of the id; a row whose text doesn't fit what is left, or has over a sixteenth of
 ``most_bytes``, is passed over. It scores whole texts,
 slab by slab, so that a text of any length needs the same memory. Rows whose crc32(id as text) mod 5 is 0 are held out
-of fitting. A fifth of the sample isn't fitted on: the scores of its texts calibrate the thresholds. A score depends on
+of fitting. A fifth of the other ids isn't fitted on: the scores of all its labelled texts, however many, calibrate the
+thresholds, by counts that Spark sums. A score depends on
 the text alone, and the id decides no more than which rows are in the sample; only the decision ``toxic`` also looks at
 the language. An empty table gives an empty result.
 
@@ -235,25 +236,40 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = 6, batch: int = 32
     return model
 
 
-def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str], *, least: int = 30, low: float = 0.3, high: float = 0.7) -> dict[str, float]:
-    """The threshold of each language with enough labels of both kinds: midway in the widest range of fewest errors, held within [low, high]. Others take 0.5."""
+#: Thresholds that are tried.
+GRID = np.linspace(0.3, 0.7, 41)
+
+
+def calibrate(scores: np.ndarray, labels: np.ndarray, langs: list[str], *, least: int = 30) -> dict[str, float]:
+    """thresholds, by scores at hand."""
+    counts: dict[tuple[str, int, int], int] = {}
+    for lang, label, reached in zip(langs, labels.tolist(), np.searchsorted(GRID, scores, side="right").tolist(), strict=True):
+        counts[lang, label, reached] = counts.get((lang, label, reached), 0) + 1
+    return thresholds(counts, least=least)
+
+
+def thresholds(counts: dict[tuple[str, int, int], int], *, least: int = 30) -> dict[str, float]:
+    """The threshold of each language with enough labels of both kinds: midway in the widest range of fewest errors on the grid. Others take 0.5. counts: texts by language, label, and how many of the grid's thresholds their scores reach."""
     out = {}
-    for lang in sorted(set(langs)):
-        mine = np.array([x == lang for x in langs])
-        s, y = scores[mine], labels[mine]
-        if len(s) < least or not 0 < y.sum() < len(y):
+    for lang in sorted({k[0] for k in counts}):
+        texts = np.zeros((2, len(GRID) + 1), np.int64)
+        for (of, label, reached), n in counts.items():
+            if of == lang:
+                texts[label, reached] += n
+        if texts.sum() < least or not texts.sum(axis=1).all():
             continue
-        grid = np.linspace(low, high, 41)
-        errors = np.array([((s >= t) != (y == 1)).sum() for t in grid])
-        good = grid[errors == errors.min()]
+        missed = np.cumsum(texts[1])[:-1]  # of label 1, those that don't reach a threshold
+        wrong = texts[0].sum() - np.cumsum(texts[0])[:-1]  # of label 0, those that do
+        good = GRID[missed + wrong == (missed + wrong).min()]
         out[lang] = float((good.min() + good.max()) / 2)
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, most_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", epochs: int = 5) -> Model:
-    """Fit and calibrate on whole texts of at most most_rows labelled rows, those to fit on of most_bytes together at most."""
+    """Fit on whole texts of at most most_rows labelled rows, of most_bytes together at most, and calibrate on all labelled rows of a fifth of the ids."""
     marked = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).filter("id is not null and label in (0, 1)")
-    chosen = marked.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(most_rows)
+    known = marked.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(most_rows)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     apart = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(5)) == 0
     order = (F.xxhash64("id"), F.col("id"), F.xxhash64("text"))
@@ -268,9 +284,11 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, most_byt
     rows = some.withColumn("h", F.xxhash64("text")).join(F.broadcast(fits), ["id", "h"], "left_semi").orderBy(*order).limit(2 * most_rows).collect()  # most_rows and most_bytes at most, unless ids repeat
     model = fit([x.text for x in rows], [x.label for x in rows], epochs=epochs)
     if model.fitted:
-        whole = docs.select(docs[id_col].alias("id"), text.alias("text"), docs[lang_col].cast("string").alias("lang")).join(F.broadcast(chosen), "id").filter(apart)
-        scored = _scored(whole, model, "text", "score").select("id", "score", "label", "lang").orderBy(F.xxhash64("id"), "id", "score").limit(2 * most_rows).collect()  # numbers only
-        model.thresholds = calibrate(np.array([x.score for x in scored]), np.array([x.label for x in scored]), [x.lang or "" for x in scored])
+        whole = docs.select(docs[id_col].alias("id"), text.alias("text"), docs[lang_col].cast("string").alias("lang")).filter(apart & ~held_out(F.col("id")))
+        reached = sum((F.col("score") >= float(t)).cast("int") for t in GRID)
+        scored = _scored(whole, model, "text", "score").select("id", F.coalesce("lang", F.lit("")).alias("lang"), reached.alias("reached")).join(known, "id")  # scores meet labels, texts stay
+        counts = scored.groupBy("lang", "label", "reached").count().collect()  # at most 84 rows a language
+        model.thresholds = thresholds({(x["lang"], x["label"], x["reached"]): x["count"] for x in counts})
     return model
 
 
