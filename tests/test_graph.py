@@ -252,6 +252,18 @@ def test_sweep_over_years(spark, monkeypatch):
     assert {x.id for x in tc.gm(tc.classes(nodes, df)).collect()} == want and 0 < len(want) < 60
 
 
+def test_sweep_takes_years_together(spark, monkeypatch):
+    """A chain through forty years, of which a task holds ten or so: steps count tasks' worth of edges, not years."""
+    n = 2000
+    nodes, df = frames(spark, {v: 2040 - v // 50 for v in range(n)}, [(v, v + 1) for v in range(n - 1)] + [(n - 1, 0)])
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 600)
+    steps = []
+    real = scc.reach
+    monkeypatch.setattr(tc, "reach", lambda *a: steps.append(1) or real(*a))
+    assert tc.gm(tc.classes(nodes, df)).count() == n
+    assert len(steps) <= 6
+
+
 def test_long_paths_take_a_round_a_part(spark, monkeypatch):
     """A chain of 5,000 nodes in parts of 1,000 edges: rounds count parts, for what is reached, levels, and components."""
     n = 5000
