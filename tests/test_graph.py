@@ -447,3 +447,29 @@ def test_parts_change_before_batches(spark, monkeypatch):
     assert {r.id: r.component for r in rows if r.id is not None} == closure_components(year, now)
     assert {r.id: r.part for r in rows if r.id is not None} == parts(year, now)
     assert len(calls) == 0 and [r.migrated for r in rows if r.id is None][0] > 0
+
+
+def test_cuts_beyond_one_task(spark, monkeypatch):
+    """Components and parts at each cut, and upward edges by scope, are those of one task, and all cuts take one replay."""
+    year = {v: 2000 + v // 40 for v in range(160)}
+    r = random.Random(5)
+    edges = sorted({(a, max(0, a - r.randint(1, 9))) for a in range(1, 160) for _ in range(2)} | {(39, 41), (79, 82)})
+    edges = [e for e in edges if e[0] != e[1]]
+    new = [(a, min(159, a + r.randint(1, 4))) for a in r.sample(range(150), 40)]
+    nodes, df = frames(spark, year, edges)
+    delta = spark.createDataFrame([(i, *e) for i, e in enumerate(new)], "seq long, src long, dst long")
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 500)
+    calls, real = [], inc.in_islands
+    monkeypatch.setattr(inc, "in_islands", lambda *a: calls.append(1) or real(*a))
+    rows = inc.maintained(nodes, df, delta, batch=1, cuts=[0, 10, 25, 40], coupled=True).collect()
+    for n, cut in enumerate((0, 10, 25, 40)):
+        now = edges + new[:cut]
+        want = closure_components(year, now)
+        assert {(x.id, x.component, x.part) for x in rows if x.cut == n and x.id is not None} == {(v, want[v], p) for v, p in parts(year, now).items()}
+    assert len(calls) == 1
+    scopes = []
+    for most in (2_000_000, 500):
+        monkeypatch.setattr(kernel, "LOCAL_ROWS", most)
+        found = inc.maintained(nodes, df, delta, batch=40, cuts=[40], coupled=True, by="level")
+        scopes.append(pairs(inc.invalid_by_scope(found), "part", "year", "invalid"))
+    assert scopes[0] == scopes[1] and scopes[0]
