@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.common import salted, saved
+from tidegraph.llm.common import release, salted, saved
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -15,6 +15,7 @@ def roots(parents: DataFrame) -> DataFrame:
         up = now.select(F.col("id").alias("root"), F.col("root").alias("above"))
         now = saved(salted(now, up, ["root"], ["id"], how="left").select("id", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved")), "roots")
         if now.filter("moved").isEmpty():
+            release(now.sparkSession)
             return now.select("id", "root")
 
 
@@ -39,4 +40,5 @@ def components(links: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             left = salted(left, step.select(F.col("id").alias(end), F.col("root").alias(f"r{end}")), [end], ["b" if end == "a" else "a"])
         left = saved(left.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        release(left.sparkSession)  # rounds are many small jobs, whose plans and broadcasts else pile up in the driver
     return done if done is not None else links.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)

@@ -444,6 +444,7 @@ def _groups(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int
     release(docs.sparkSession)
     joined = components(_moved(more, near, "a", "b"))
     likely = saved(_moved(near, joined, "component").unionByName(joined), "likely")  # a root of near has no row there
+    release(docs.sparkSession)
     pairs = star.select(F.col("id").alias("a"), F.col("parent").alias("b")).unionByName(more).distinct()
     checked = saved(_verified(pairs, docs, k, num, den), "checked")
     release(docs.sparkSession)
@@ -452,15 +453,20 @@ def _groups(rows: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int
         return likely
     members = likely.unionByName(doubtful.select(F.col("component").alias("id"), "component")).distinct()  # the root of a star has no row in likely
     again = saved(salted(members, doubtful, ["component"], ["id"]).select("id", F.col("component").alias("was")), "again")
+    release(docs.sparkSession)
     sure = checked.filter("ok").join(again.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b")
     solid = components(sure)
     # nodes are compared where they share a list and a doubtful component: the two together are the list now
     part = shared.join(again, "id").select(F.xxhash64("token", "was").alias("token"), "salt", "salts", "id", "least_matches")
     part = part.join(solid, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = _open_lists(saved(part, "part"))
+    open_ = saved(_open_lists(saved(part, "part")), "open")
+    release(docs.sparkSession)
     sets = saved(_sets_of(docs, open_.select("id").distinct(), k).join(open_.select("id").distinct(), "id", "left_semi"), "sets")
+    release(docs.sparkSession)
     rows = _in_blocks(open_.join(signs.select("id", "n", "matches"), "id"), "n", BLOCK_TOKENS)
     links = _by_list(rows.join(sets, "id").select("token", "x", "y", "id", "component", "n", "matches", "tokens"), _exact_kernel(num, den), np.int64)
+    links = saved(links, "exact")
+    release(docs.sparkSession)
     settled = components(sure.unionByName(links))
     return likely.join(again.select("id"), "id", "left_anti").select("id", "component").unionByName(settled)
 
@@ -507,13 +513,16 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, *, by_id: bool = True)
     """docs (id, text), with ids of which each has one set; (id, n, d1, d2) of every row given; and (n, d1, d2, node, equal, component) of every set, with the number of its rows. by_id: sets of one id count as linked, and components are known by real ids."""
     spark: SparkSession = docs.sparkSession
     bound_batches(spark)
+    release(spark)
     rows = saved(_prefixes(docs, k, num, den, token_sketch(docs, k)), "prefixes")
+    release(spark)
     apart, keyed, same = _keyed(docs, rows, k)
     some = keyed.filter("n > 0 and id is not null")
     nodes = saved(some.groupBy("n", "d1", "d2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("equal")), "nodes")
     release(spark)
     groups = _groups(some, saved(nodes.select(F.col("node").alias("id"), "d1", "d2"), "one"), apart, k, num, den)
     found = saved(nodes.join(groups.select(F.col("id").alias("node"), "component"), "node", "left").select("n", "d1", "d2", "node", "equal", F.coalesce("component", "node").alias("component")), "groups")
+    release(spark)
     if same is not None and by_id:
         at = lambda end: some.select(F.col("id").alias(end), "n", "d1", "d2").distinct().join(found.select("n", "d1", "d2", F.col("component").alias(f"c_{end}")), ["n", "d1", "d2"]).select(end, f"c_{end}")
         links = same.join(at("a"), "a").join(at("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
@@ -617,10 +626,12 @@ def first_of_groups(df: DataFrame, *, k: int, num: int, den: int, id_col: str =
         least = some.groupBy("n", "d1", "d2").agg(F.min("id").alias("id"))
         first = sets.join(least, ["n", "d1", "d2"]).groupBy("component").agg(F.min(F.struct("id", "n", "d1", "d2")).alias("first")).select("first.id", "first.d1", "first.d2")
         first = saved(first, "first")
+        release(df.sparkSession)
         again = keep(some.groupBy("id").count().filter("count > 1").select("id"), "again")
         stays = keep(first.join(again, "id", "left_semi").select("id", F.col("d1").alias(f"d1_{tag}"), F.col("d2").alias(f"d2_{tag}")), "stays")
         copies = some.join(again, "id", "left_anti").join(first, ["id", "d1", "d2"], "left_anti").select(F.col("id").alias(id_col))
         copies = keep(copies, "copies")
+    release(df.sparkSession)
     left, names = _without(df, copies, id_col), df.columns
     if again.isEmpty():
         return left
