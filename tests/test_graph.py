@@ -473,3 +473,28 @@ def test_cuts_beyond_one_task(spark, monkeypatch):
         found = inc.maintained(nodes, df, delta, batch=40, cuts=[40], coupled=True, by="level")
         scopes.append(pairs(inc.invalid_by_scope(found), "part", "year", "invalid"))
     assert scopes[0] == scopes[1] and scopes[0]
+
+
+def test_what_trimming_leaves_is_solved_at_once(spark, monkeypatch):
+    """A graph beyond one task, of which little can lie on cycles, takes no round of colours."""
+    edges = [(v, v + 1) for v in range(0, 400, 2)] + [(v, v + 1) for v in range(500, 540)] + [(540, 520)]
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 100)
+    rounds, real = [], scc._carried
+    monkeypatch.setattr(scc, "_carried", lambda *a: rounds.append(1) or real(*a))
+    got = dict(pairs(scc.scc(spark.createDataFrame(edges, "src long, dst long")), "id", "component"))
+    assert got == {v: min(v, 520) for e in edges for v in e} and not rounds
+
+
+@pytest.mark.parametrize("most", [2_000_000, 50, 10])
+def test_places_fall_along_edges(spark, monkeypatch, most):
+    """By the greatest name, then by paths inside it; the same at any bound, also where one name holds more than fits a task."""
+    r = random.Random(9)
+    between = sorted({(max(e), min(e)) for e in random_edges(r, 60, 120) if e[0] != e[1]} | {(v, 70) for v in range(20)})
+    far, level = {}, {}
+    for v in [70, *range(60)]:
+        to = [b for a, b in between if a == v]
+        far[v] = max([v, *(far[b] for b in to)])
+        level[v] = max((1 + level[b] for b in to if far[b] == far[v]), default=0)
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", most)
+    names = spark.createDataFrame([(v,) for v in far], "component long")
+    assert pairs(scc.places(names, spark.createDataFrame(between, "src long, dst long")), "component", "level", "far") == {(v, level[v], far[v]) for v in far}

@@ -123,3 +123,15 @@ def test_micro_batches_write_what_changed(spark, tmp_path, monkeypatch):
             assert sum(spark.read.parquet(f"{tmp_path}/state/v=0/{t}").count() for t in ("members", "order", "edges")) < 100
     assert dict(pairs(kept.state().members, "id", "component")) == want and violations(kept.state()).first().violations == 0
     assert kept.versions() == [2, 3, 4, 5] and kept.versions(whole=True) == [2, 5]
+
+
+def test_small_files_share_a_micro_batch(spark, tmp_path):
+    """Each micro-batch goes over the whole state, so their number follows the bytes that come in, not the files; a restart takes what is new."""
+    nodes, edges = spark.createDataFrame([(v, 2000) for v in range(9)], "id long, year long"), spark.createDataFrame([(0, 1)], "src long, dst long")
+    first = start(nodes, edges)
+    more = spark.createDataFrame([(v, v + 1) for v in range(1, 8)], "src long, dst long")
+    more.repartitionByRange(4, "src").write.parquet(f"{tmp_path}/edges")
+    assert follow(spark, f"{tmp_path}/edges", f"{tmp_path}", first).version == 0
+    spark.createDataFrame([(8, 3)], "src long, dst long").write.mode("append").parquet(f"{tmp_path}/edges")
+    kept = follow(spark, f"{tmp_path}/edges", f"{tmp_path}", first)
+    assert kept.version == 1 and {(r.id, r.component) for r in kept.state().members.collect()} == {(v, min(v, 3)) for v in range(9)}

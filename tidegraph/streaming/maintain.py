@@ -14,6 +14,8 @@ from tidegraph.storage import delete, saved, scratch
 EDGES = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 #: Versions of changes after which a whole state is written.
 COMPACT = 16
+#: Bytes of files that a micro-batch takes. Each goes over the state's tables, so many small files are taken together.
+BATCH_BYTES = 64 << 20
 #: Tables of a version, with their keys and the rows that stay.
 TABLES = {"members": (["id"], "true"), "order": (["component"], "rank is not null"), "edges": (["src", "dst"], "not gone"), "parts": (["id"], "true")}
 
@@ -108,10 +110,11 @@ class Maintained:
                 delete(self.spark, self._path(old))
 
 
-def follow(spark: SparkSession, edges: str, folder: str, state: State, *, files_per_batch: int = 1) -> Maintained:
-    """Insert all edges (src, dst) of the Parquet files in a folder, as a stream, and return what is maintained. state: the starting graph, which counts only where the folder holds no version yet."""
+def follow(spark: SparkSession, edges: str, folder: str, state: State, *, files_per_batch: int | None = None) -> Maintained:
+    """Insert all edges (src, dst) of the Parquet files in a folder, as a stream, and return what is maintained. A micro-batch takes so many files, or as many as BATCH_BYTES hold, one at least. state: the starting graph, which counts only where the folder holds no version yet."""
     kept = Maintained(spark, f"{folder}/state", state)
-    stream = spark.readStream.schema(EDGES).option("maxFilesPerTrigger", files_per_batch).parquet(edges)
+    limit = ("maxBytesPerTrigger", BATCH_BYTES) if files_per_batch is None else ("maxFilesPerTrigger", files_per_batch)
+    stream = spark.readStream.schema(EDGES).option(*limit).parquet(edges)
     query = stream.writeStream.foreachBatch(kept.apply).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return kept
