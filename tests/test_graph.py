@@ -498,3 +498,17 @@ def test_places_fall_along_edges(spark, monkeypatch, most):
     monkeypatch.setattr(kernel, "LOCAL_ROWS", most)
     names = spark.createDataFrame([(v,) for v in far], "component long")
     assert pairs(scc.places(names, spark.createDataFrame(between, "src long, dst long")), "component", "level", "far") == {(v, level[v], far[v]) for v in far}
+
+
+def test_parts_at_cuts_need_no_components(spark, monkeypatch):
+    """Beyond one task, parts at cuts are those of one task, and no state is made for them."""
+    year = {v: 2000 + v // 40 for v in range(160)}
+    r = random.Random(6)
+    edges = sorted({(a, max(0, a - r.randint(1, 9))) for a in range(1, 160) for _ in range(2)} | {(39, 41), (79, 82)})
+    new = [(a, min(159, a + r.randint(1, 4))) for a in r.sample(range(150), 40)]
+    nodes, df = frames(spark, year, edges)
+    delta = spark.createDataFrame([(i, *e) for i, e in enumerate(new)], "seq long, src long, dst long")
+    monkeypatch.setattr(kernel, "LOCAL_ROWS", 300)
+    monkeypatch.setattr(inc, "started", None)
+    rows = pairs(inc.parts_at(nodes, df, delta, [0, 10, 40]), "cut", "id", "part")
+    assert rows == {(n, v, p) for n, cut in enumerate((0, 10, 40)) for v, p in parts(year, edges + new[:cut]).items()}
