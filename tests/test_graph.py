@@ -11,7 +11,8 @@ from tidegraph.operators import incremental as inc
 from tidegraph.operators import kernel, replay, scc
 from tidegraph.operators import time_coupled as tc
 from tidegraph.operators.replay import GM, Replay
-from tidegraph.plans import registry
+from tidegraph.plans import catalog, registry
+from tidegraph.sources import graphs
 
 YEARS = {0: 2000, 1: 2000, 2: 2000, 3: 2001, 4: 2001, 5: 2001, 6: 2002, 7: 2002, 8: 2003, 9: 2003, 10: 2004, 11: 2004}
 START = [(0, 1), (1, 0), (1, 2), (3, 0), (3, 4), (4, 5), (2, 3), (6, 7), (6, 2), (8, 6), (8, 9), (9, 8), (10, 8), (11, 10), (10, 9)]
@@ -512,3 +513,16 @@ def test_parts_at_cuts_need_no_components(spark, monkeypatch):
     monkeypatch.setattr(inc, "started", None)
     rows = pairs(inc.parts_at(nodes, df, delta, [0, 10, 40]), "cut", "id", "part")
     assert rows == {(n, v, p) for n, cut in enumerate((0, 10, 40)) for v, p in parts(year, edges + new[:cut]).items()}
+
+
+def test_first_metrics_do_not_depend_on_the_bound(spark, monkeypatch):
+    """Beyond one task, where no island of the batch fits a task either, counts are those of one task, and none is left out."""
+    n = 300
+    edges = [(v, w) for v in range(3, n) for w in (v - 1, v - 3)]
+    new = [(k, v, v + 30) for k, v in enumerate(range(0, n - 40, 3))] + [(200, n + 1, 5), (201, 7, 7)]
+    monkeypatch.setattr(graphs, "local_graph", lambda spark, _: (frames(spark, {v: 2000 for v in range(n)}, [])[0], None, spark.createDataFrame([(a, b, 5) for a, b in edges] + [(a, b, 0) for _, a, b in new], "src long, dst long, b long")))
+    found = []
+    for most in (2_000_000, 400):
+        monkeypatch.setattr(kernel, "LOCAL_ROWS", most)
+        found.append([tuple(catalog.QUERIES[name](spark, "").first()) for name in ("inc_metrics", "bat_metrics")])
+    assert found[0] == found[1] == [(len(new) - 1, len(new) - 1), (len(new) - 1, len(new) - 1, 1)]
